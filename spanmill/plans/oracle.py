@@ -10,7 +10,7 @@ from .views import base_events_sql, base_lines_sql, rate_values
 
 
 V1 = f"""
-ev as ({base_events_sql("epoch_ms(ts)", "chr(10)")}),
+ev as ({base_events_sql("(epoch_us(ts) // 1000)", "chr(10)")}),
 leaf as (select *, start_ms + duration_ms as end_ms,
   last_value(case when kind = 'llm_call' then span_id end ignore nulls) over (
     partition by container order by start_ms, span_id rows between unbounded preceding and 1 preceding) as prev_call from ev),
@@ -121,7 +121,7 @@ xcall as (select m.run_id, m.ctx, e.baseline, case when m.pattern is not null th
 """
 
 V2 = f"""
-li as ({base_lines_sql("epoch_ms(l_shipdate)")}),
+li as ({base_lines_sql("(epoch_us(l_shipdate) // 1000)")}),
 ls as (select *, start_ms + duration_ms as end_ms, case when kind = 'llm_call' then
     (tok_input * 3000000 + tok_output * 15000000 + 500000) // 1000000 end as cost,
     case when kind = 'llm_call' then tok_input + tok_output end as tot,
