@@ -12,7 +12,7 @@ from ..functions.money import (break_shape, closed_end, context_tokens, effectiv
 from ..functions.text import error_snippet
 from ..schema import TOOL_KINDS
 from ..session import land
-from ..skew import CHUNK, bounded, scan
+from ..skew import CHUNK, chunk_edges, rechunk, scan
 from .overview import run_totals
 from .pricing import (RATES, context_excess, dominant_model, dominant_rates, downgrade_map, main_calls_ranked,
                       reprice_cells, reprice_spans, with_rates)
@@ -211,7 +211,7 @@ def _claimed_calls(t: Trace) -> DataFrame:
         F.lit(None).cast("long").alias("head_ms"), CHUNK)
     both = own.unionByName(calls)
     if t.chunked:
-        both = _rechunk(both, calls)
+        both = rechunk(both, chunk_edges(calls, "at"), "at")
     j = scan(both, ["run_id", "scope_id"], ["at", "tag"], {"hit": ("last", F.col("c"))}, t.chunked)
     win = j.filter("tag = 1 and hit is not null and at <= hit.c_end").select(
         "run_id", "call_id", "cost_micro", F.col("hit.c_start").alias("c_start"), F.col("hit.c_id").alias("c_id"))
@@ -225,16 +225,6 @@ def _claimed_calls(t: Trace) -> DataFrame:
         "run_id", "call_id", "cost_micro", F.col("c.c_id").alias("first_id"))
 
 
-def _rechunk(both: DataFrame, calls: DataFrame) -> DataFrame:
-    # an interval starts where an earlier one ended, which can lie in a later chunk than its cluster's head
-    edges = calls.filter(f"{CHUNK} > 0").groupBy("run_id", CHUNK).agg(F.min("at").alias("lo"))
-    edges = edges.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("lo", CHUNK))).alias("edges"))
-    at = F.try_element_at(F.filter("edges", lambda e: e["lo"] <= F.col("at")), F.lit(-1))[CHUNK]
-    first = F.try_element_at(F.col("edges"), F.lit(1))[CHUNK]
-    return (both.drop(CHUNK).join(bounded(edges), "run_id", "left")
-            .withColumn(CHUNK, F.coalesce(at, first, F.lit(0))).drop("edges"))
-
-
 def retry_loop(t: Trace) -> DataFrame:
     cl = retry_clusters(t)
     billed = claimed_calls(t).groupBy("run_id", "first_id").agg(F.sum("cost_micro").alias("w"))
@@ -497,7 +487,7 @@ def reactions(t: Trace, failures: DataFrame) -> DataFrame:
                        F.struct(F.col("span_id").alias("id"), F.col("cost_micro").alias("cost")).alias("call"), CHUNK)
     both = f.unionByName(c)
     if t.chunked:
-        both = _rechunk(both, c)
+        both = rechunk(both, chunk_edges(c, "at"), "at")
     return scan(both, ["run_id", "scope_id"], ["at", "tag", "span_id"], {"next": ("next_first", F.col("call"))},
                 t.chunked).filter("tag = 0").select("run_id", "span_id", F.col("next.id").alias("call_id"),
                                                     F.col("next.cost").alias("cost_micro"))

@@ -173,6 +173,34 @@ def _merge(kind: str, local: Column, carry: Column) -> Column:
     return F.coalesce(local, carry)
 
 
+def global_row_number(df: DataFrame, order: Sequence[Column | str], out: str = "rn") -> DataFrame:
+    """1-based position in a total order without a single-partition window.
+
+    Rows are range-partitioned and landed; every partition numbers its own rows and adds the
+    row count of the partitions before it (one small row per partition).
+    """
+    d = cut(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))
+    per = d.groupBy("_pid").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_pid").rowsBetween(*_BEFORE))
+    offs = pin(per.select("_pid", F.coalesce(before, F.lit(0)).alias("_off")), 100_000)
+    w = Window.partitionBy("_pid").orderBy(*order)
+    return d.join(offs, "_pid").withColumn(out, F.row_number().over(w) + F.col("_off")).drop("_pid", "_off")
+
+
+def chunk_edges(df: DataFrame, at: str) -> DataFrame:
+    """First value of ``at`` in every chunk of the hot runs (a few rows per hot run)."""
+    e = df.filter(F.col(CHUNK) > 0).groupBy("run_id", CHUNK).agg(F.min(at).alias("lo"))
+    return e.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("lo", CHUNK))).alias("edges"))
+
+
+def rechunk(df: DataFrame, edges: DataFrame, at: str) -> DataFrame:
+    """Assign ``chunk`` by ``at`` for rows whose ordering value differs from the span start."""
+    hit = F.try_element_at(F.filter("edges", lambda e: e["lo"] <= F.col(at)), F.lit(-1))[CHUNK]
+    first = F.try_element_at(F.col("edges"), F.lit(1))[CHUNK]
+    return (df.drop(CHUNK).join(pin(edges), "run_id", "left")
+            .withColumn(CHUNK, F.coalesce(hit, first, F.lit(0))).drop("edges"))
+
+
 def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
            hot: DataFrame | None = None, salt_by: str = "span_id", salts: int = 64) -> DataFrame:
     """Equi-join ``left`` to a side that is unique on ``on``; rows of ``hot`` keys are salted."""
