@@ -104,7 +104,9 @@ def claim_reactions(t: Trace, failures: DataFrame) -> DataFrame:
     own = calls.select("run_id", "span_id", F.col("idx").alias("own_idx"))
     first = nz("n_before") + 1
     s = s.join(own, ["run_id", "span_id"], "left").withColumn(
-        "first_idx", F.when(F.col("own_idx") == first, first + 1).otherwise(first)).drop("own_idx")
+        "first_idx", F.when(F.col("own_idx") == first, first + 1).otherwise(first))
+    # a failed call without duration that ties with earlier calls could be offered itself: rare, done per scope
+    risky = s.filter("own_idx > first_idx").select(*key).distinct()
     s = scan(s, key, o, {"j": ("rownum", None)}, t.chunked)
     s = s.withColumn("gap", F.col("first_idx") - F.col("j"))
     s = scan(s, key, o, {"lead_gap": ("max", F.col("gap"))}, t.chunked).withColumn("idx", F.col("j") + F.col("lead_gap"))
@@ -113,9 +115,11 @@ def claim_reactions(t: Trace, failures: DataFrame) -> DataFrame:
     s = s.withColumn("fresh", (F.col("p_idx").isNull() | (F.col("idx") > F.col("p_idx") + 1)).cast("long"))
     s = scan(s, key, o, {"block": ("sum", F.col("fresh"))}, t.chunked)
     s = s.withColumn("back", ~F.col("fresh").cast("boolean") & (F.col("p_start") > F.col("at_start")))
-    bad = s.filter("back").select(*key, "block").distinct()
+    s = s.join(risky.withColumn("risky", F.lit(True)), key, "left").withColumn(
+        "block", F.when(F.col("risky"), F.lit(-1)).otherwise(F.col("block")))
+    bad = s.filter("back or risky").select(*key, "block").distinct()
     straight = s.join(bad, [*key, "block"], "left_anti").select(*key, "span_id", "idx")
-    tangled = s.join(bad, [*key, "block"], "left_semi").select(*key, "block", "span_id", "start_ms", "first_idx")
+    tangled = s.join(bad, [*key, "block"], "left_semi").select(*key, "block", "span_id", "start_ms", "first_idx", nz("own_idx").alias("own_idx"))
     again = tangled.groupBy(*key, "block").applyInPandas(_hand_out(), "run_id string, scope_id string, span_id string, idx bigint")
     claim = straight.unionByName(again)
     return claim.join(calls.select(*key, "idx", F.col("span_id").alias("call_id"), "cost_micro"), [*key, "idx"]).select(
@@ -131,13 +135,19 @@ def _hand_out():
         nxt: dict[int, int] = {}
         b = block.sort_values(["start_ms", "span_id"])
         got = []
-        for f in b["first_idx"]:
-            i, path = int(f), []
+
+        def free(i: int) -> int:
+            path = []
             while i in nxt:
                 path.append(i)
                 i = nxt[i]
             for p in path:
                 nxt[p] = i
+            return i
+
+        for f, own in zip(b["first_idx"], b["own_idx"]):
+            i = free(int(f))
+            i = free(i + 1) if i == own else i
             nxt[i] = i + 1
             got.append(i)
         return b.assign(idx=got)[["run_id", "scope_id", "span_id", "idx"]]
