@@ -91,7 +91,7 @@ def alert_processor(min_failures: int = 3, max_gap: int = 3, min_prefix: int = 2
             self.last = handle.getMapState("last", "model string", "span_id string, end_ms bigint, rd bigint, wr bigint, one_h boolean")
             self.seq = handle.getValueState("seq", "n bigint")
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             import json
             latest = None
             for pdf in rows:
@@ -104,9 +104,9 @@ def alert_processor(min_failures: int = 3, max_gap: int = 3, min_prefix: int = 2
                 self.handle.registerTimer(latest + slack_ms + 1)
             return iter(())
 
-        def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             import json
-            done = expired.getExpiryTimeInMs() - slack_ms
+            done = expiredTimerInfo.getExpiryTimeInMs() - slack_ms
             ready = sorted(k for k in self.wait.keys() if k[0] < done)
             out = []
             for k in ready:
