@@ -183,5 +183,5 @@ def instructions_file(source: Column | str) -> Column:
 
 def tok_label(n: Column) -> Column:
     """1.2M / 3.4k / 12."""
-    return (F.when(n >= 1_000_000, F.concat(F.format_number(n / 1e6, "0.0"), F.lit("M")))
-            .when(n >= 1000, F.concat(F.format_number(n / 1e3, "0.0"), F.lit("k"))).otherwise(n.cast("string")))
+    return (F.when(n >= 1_000_000, F.concat(F.format_string("%.1f", n / 1e6), F.lit("M")))
+            .when(n >= 1000, F.concat(F.format_string("%.1f", n / 1e3), F.lit("k"))).otherwise(n.cast("string")))

@@ -156,3 +156,21 @@ def assert_no_paths(*frames: DataFrame, basenames: DataFrame | None = None) -> N
                         found.append(f"{f.name}: known project name")
     if found:
         raise ValueError("path check failed: " + "; ".join(found))
+
+
+def attr_valid(key: Column, value: Column, tool: Column, tool_ids: list[str], subs: dict[str, list[str]], runners: list[str]) -> Column:
+    """Closed-vocabulary check of a tool attribute that arrived from outside."""
+    from .toolusage import ACTIVITIES, FLAGS
+    arr = F.from_json(value, "array<string>")
+
+    def all_in(allowed: list[str], limit: int) -> Column:
+        ok = F.array(*[F.lit(a) for a in allowed])
+        return arr.isNotNull() & (F.size(arr) > 0) & (F.size(arr) <= limit) & (F.size(F.array_distinct(arr)) == F.size(arr)) & (F.size(F.array_except(arr, ok)) == 0)
+
+    sub_ok = value.isin("run", "script", "inline")
+    for t, names in subs.items():
+        sub_ok = sub_ok | ((tool == t) & value.isin(names))
+    return F.coalesce(
+        F.when(key == "activity", value.isin(ACTIVITIES)).when(key == "tool", value.isin(tool_ids)).when(key == "toolVia", value.isin(runners))
+        .when(key == "toolSub", sub_ok).when(key == "toolsAlso", all_in(tool_ids, 8)).when(key == "toolFlags", all_in(FLAGS, len(FLAGS)))
+        .when(key == "hookCount", value.rlike(r"^\d+$")), F.lit(False))

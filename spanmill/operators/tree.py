@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import nz, total_tokens
 from ..schema import SCOPE_KINDS
-from ..skew import hot_groups, lookup, scan, with_chunks
+from ..skew import hot_groups, hot_limit, lookup, scan, with_chunks
 from ..session import cut
 
 NODE = ["run_id", "span_id"]
@@ -25,46 +25,48 @@ def root_of_run(spans: DataFrame) -> DataFrame:
                  .alias("root_id")))
 
 
+NO_PATH = "array<struct<id:string,kind:string>>"
+
+
 def _double(nodes: DataFrame) -> DataFrame:
-    """Rows (run_id, span_id, kind, parent_id) -> path, dangling, loops."""
-    base = nodes.select(*NODE, "kind", "parent_id")
-    info = base.select("run_id", F.col("span_id").alias("ptr"), F.col("kind").alias("p_kind"),
-                       F.col("parent_id").alias("p_ptr"))
-    step = base.withColumn("ptr", F.col("parent_id"))
-    hot = _hot(step)
-    # first hop also tells dangling links apart
-    state = lookup(step, info, ["run_id", "ptr"], hot=hot).select(
-        *NODE, F.col("parent_id").isNotNull().alias("linked"),
-        (F.col("parent_id").isNotNull() & F.col("p_kind").isNull()).alias("dangling"),
-        F.when(F.col("p_kind").isNotNull(),
-               F.array(F.struct(F.col("ptr").alias("id"), F.col("p_kind").alias("kind"))))
-        .otherwise(F.array().cast("array<struct<id:string,kind:string>>")).alias("path"),
-        F.when(F.col("p_kind").isNotNull(), F.col("p_ptr")).alias("ptr"))
+    """Rows (run_id, span_id, kind, parent_id) -> path, dangling; a looping row keeps a non-null ptr.
+
+    Pointer doubling: every round joins the open rows to the state of their pointer, so the number
+    of rounds is the logarithm of the depth. Invariant: path lists the ancestors up to, not
+    including, ptr.
+    """
+    state = nodes.select(*NODE, "kind", F.col("parent_id").alias("ptr"), F.array().cast(NO_PATH).alias("path"),
+                         F.lit(False).alias("dangling"))
     loop = F.exists("path", lambda p: p["id"] == F.col("span_id")) | (
         F.size(F.array_distinct("path")) < F.size("path"))
-    # invariant: path lists the ancestors up to (not including) ptr
+    first = True
     while True:
-        state = cut(state)
-        if state.filter(F.col("ptr").isNotNull() & ~loop).isEmpty():
-            break
-        nxt = state.select("run_id", F.col("span_id").alias("ptr"), F.col("path").alias("p_path"),
-                           F.col("ptr").alias("p_ptr"))
-        kinds = info.select("run_id", "ptr", "p_kind")
-        hot = _hot(state)
-        j = lookup(lookup(state, nxt, ["run_id", "ptr"], hot=hot), kinds, ["run_id", "ptr"], hot=hot)
-        state = j.select(
-            *NODE, "linked", "dangling",
-            F.when(F.col("ptr").isNull() | F.col("p_kind").isNull() | loop, F.col("path")).otherwise(
-                F.concat("path", F.array(F.struct(F.col("ptr").alias("id"), F.col("p_kind").alias("kind"))),
-                         F.coalesce("p_path", F.array().cast("array<struct<id:string,kind:string>>")))
-            ).alias("path"),
-            F.when(loop, F.col("ptr")).otherwise(F.col("p_ptr")).alias("ptr"))
-    return state
-
-
-def _hot(state: DataFrame) -> DataFrame | None:
-    hot = hot_groups(state.filter("ptr is not null"), ["run_id", "ptr"])
-    return None if hot.isEmpty() else cut(hot)
+        open_ = state.filter(F.col("ptr").isNotNull() & ~loop)
+        hot = _hot(open_)
+        if hot is None:
+            return state
+        info = state.select("run_id", F.col("span_id").alias("ptr"), F.col("kind").alias("p_kind"),
+                            F.col("path").alias("p_path"), F.col("ptr").alias("p_ptr"))
+        step = lookup(state, info, ["run_id", "ptr"], hot=hot[0])
+        known = F.col("p_kind").isNotNull()
+        go = F.col("ptr").isNotNull() & known & ~loop
+        state = cut(step.select(
+            *NODE, "kind", F.when(loop, F.col("ptr")).when(known, F.col("p_ptr")).alias("ptr"),
+            F.when(go, F.concat("path", F.array(F.struct(F.col("ptr").alias("id"), F.col("p_kind").alias("kind"))), "p_path"))
+            .otherwise(F.col("path")).alias("path"),
+            (F.col("dangling") | (F.lit(first) & F.col("ptr").isNotNull() & ~known)).alias("dangling")))
+        first = False
+
+
+def _hot(open_: DataFrame) -> tuple[DataFrame | None] | None:
+    """None when nothing is open; else the pointers shared by too many rows, if any."""
+    per = open_.groupBy("run_id", "ptr").agg(F.count("*").alias("n"))
+    most = per.agg(F.max("n")).first()[0]
+    if most is None:
+        return None
+    if most <= hot_limit(open_):
+        return (None,)
+    return (cut(hot_groups(open_, ["run_id", "ptr"])),)
 
 
 def repair_tree(spans: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -381,3 +381,65 @@ def u11b(spark, sf):
 def u12(spark, sf):
     return L.spend_spine(event_trace(spark, sf).spans, 40)
 
+
+
+@register("f3_closed_duration", v1("""select run_id, span_id, case when status = 'in_progress' then null else coalesce(duration_ms, greatest(0, end_ms - start_ms)) end as dur, ctx as context_tokens, tot as total_tokens
+  from spans"""))
+def f3(spark, sf):
+    from ..functions.money import closed_duration, context_tokens, total_tokens
+    return event_trace(spark, sf).spans.select("run_id", "span_id", closed_duration().alias("dur"), context_tokens().alias("context_tokens"),
+                                               total_tokens().alias("total_tokens"))
+
+
+@register("f7_effective_write_rate", v1("select run_id, span_id, one_h, w1h_u / 1000000e0 as write_1h_rate, eff_write as effective_rate from calls where pattern is not null"))
+def f7(spark, sf):
+    from ..functions.money import clamped_1h, effective_write_rate, write_1h_rate
+    return event_trace(spark, sf).spans.filter("kind = 'llm_call' and pattern is not null").select(
+        "run_id", "span_id", clamped_1h().alias("one_h"), (write_1h_rate() / 1e6).alias("write_1h_rate"), effective_write_rate().alias("effective_rate"))
+
+
+@register("f9_break_shape", v1("""select run_id, a_id, span_id, case when ctx < 0.6e0 * a_ctx then 'compaction' when tok_cache_read < 5000 then 'front' else 'history' end as shape
+  from pairs where a_id is not null"""))
+def f9(spark, sf):
+    from ..functions.money import break_shape, nz
+    p = R.live_cache_1h(event_trace(spark, sf)).filter("a is not null")
+    return p.select("run_id", F.col("a.span_id").alias("a_id"), "span_id", break_shape(F.col("a.ctx"), F.col("ctx"), nz("tok_cache_read")).alias("shape"))
+
+
+@register("f17_model_tier", v1("""select model, case when c like 'claude-%' then 'claude' when c like 'gpt-5%' then 'gpt' end as family,
+  case when c like 'claude-%-opus%' or c like 'claude-opus%' then 1 when c like 'claude-sonnet%' then 2 when c like 'gpt-5%-mini%' then 1 end as stage from canon"""))
+def f17(spark, sf):
+    from ..operators.pricing import model_tier
+    d = event_trace(spark, sf).spans.filter("model is not null").select("model").distinct()
+    return d.select("model", model_tier().alias("t")).select("model", "t.family", "t.stage")
+
+
+@register("f22_run_keys", vf("select run_id, project, branch, day from facts"))
+def f22(spark, sf):
+    from ..functions.text import branch_key, local_day, project_key
+    return facts(spark, sf).select("run_id", project_key().alias("project"), branch_key().alias("branch"), local_day("start_ms").alias("day"))
+
+
+@register("k3_day_model_pivot", vf("""select day, sum(cost_micro)::bigint as cost_micro, sum(wasted_micro)::bigint as wasted_micro, count(*) as runs,
+  sum((select coalesce(sum(cost), 0) from bymodel b where b.run_id = f.run_id and b.model = 'claude-opus-4.5'))::bigint as opus,
+  sum((select coalesce(sum(cost), 0) from bymodel b where b.run_id = f.run_id and b.model = 'gpt-5.4-mini'))::bigint as mini from facts f group by day"""))
+def k3(spark, sf):
+    from ..sinks.export import day_model_pivot
+    return day_model_pivot(facts(spark, sf)).select("day", "cost_micro", "wasted_micro", "runs", F.col("`claude-opus-4.5`").alias("opus"), F.col("`gpt-5.4-mini`").alias("mini"))
+
+
+@register("u4_hook_summary", v1("""select run_id, parent_id as span_id, count(*) as hook_count, case when count(tool_id) = count(*) and min(tool_id) = max(tool_id) and min(activity) = max(activity)
+   or count(*) = 1 then min(tool_id) end as tool_id from ft where name = 'Bash' group by 1, 2"""))
+def u4(spark, sf):
+    s = event_trace(spark, sf).spans.filter("name = 'Bash' and status = 'error'").select("run_id", F.col("parent_id").alias("span_id"), "tool_id", "activity")
+    n = s.groupBy("run_id", "span_id").agg(F.count("*").cast("int").alias("hook_count"))
+    return U.hook_summary_identity(s.join(n, ["run_id", "span_id"])).select("run_id", "span_id", "hook_count", "tool_id")
+
+
+@register("s34_scale_up", v2("select run_id, kind, count(*) * 3 - case when kind = 'session' then 2 * count(*) else 0 end as spans, sum(coalesce(tot, 0))::bigint * 3 as tokens from ls group by 1, 2"))
+def s34(spark, sf):
+    from ..functions.money import nz, total_tokens
+    from ..sources.drill import scale_up
+    from .views import raw_line_spans
+    d = scale_up(raw_line_spans(spark, sf), 3)
+    return d.groupBy("run_id", "kind").agg(F.count("*").alias("spans"), nz(F.sum(F.when(F.col("model").isNotNull(), total_tokens()))).alias("tokens"))

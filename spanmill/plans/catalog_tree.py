@@ -193,3 +193,15 @@ def r8(spark, sf):
 def r9(spark, sf):
     t = event_trace(spark, sf)
     return P.context_cap_estimates(t.spans, t.pricing, (40_000, 60_000, 90_000), t.chunked)
+
+
+@register("t1_repair_tree", v2("""select run_id, span_id, case when span_id = root_id then null when i % 5 = 3 then root_id else parent_id end as parent_id from (
+  select run_id, span_id, parent_id, node_no as i, 'o' || order_key || '_1' as root_id from li)"""))
+def t1(spark, sf):
+    """Every fifth node gets a dangling parent or one inside a two-node cycle; all end under the root."""
+    from .views import raw_line_spans
+    raw = raw_line_spans(spark, sf)
+    i = F.substring_index("span_id", "_", -1).cast("int")
+    self_loop = F.when(i % 2 == 0, F.col("span_id")).otherwise(F.lit("gone"))
+    raw = raw.withColumn("parent_id", F.when(i % 5 == 3, self_loop).otherwise(F.col("parent_id")))
+    return T.repair_tree(raw)[0].select("run_id", "span_id", "parent_id")

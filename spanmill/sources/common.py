@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import RAW_SPAN_DDL, RUN_DDL, WARNING_DDL, conform
+from ..skew import pin
 
 PREVIEW = 200
 
@@ -34,23 +35,22 @@ def loaded(runs: DataFrame, spans: DataFrame, warnings: DataFrame) -> Loaded:
 
 
 def numbered_lines(spark: SparkSession, path: str, glob: str = "*.jsonl", modified_after: str | None = None) -> DataFrame:
-    """(file, line, value) with exact 1-based line numbers and without reading a file in one task.
+    """(file, line, value) with exact 1-based line numbers, without moving the text or reading a file in one task.
 
-    Files are split; a split numbers its own lines and adds the line counts of the splits before it,
-    so the only window over a whole file has one row per split.
+    Rows of a file split are consecutive in their scan task, so a line is its running row id minus the
+    split's first one, plus the line counts of the splits before it: one small row per split.
     """
     r = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     if modified_after:
         r = r.option("modifiedAfter", modified_after)
     t = r.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                             F.monotonically_increasing_id().alias("mid"), "value")
-    per = t.groupBy("file", "block").agg(F.count("*").alias("n"))
+    per = t.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("mid").alias("first"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    per = per.select("file", "block", F.coalesce(before, F.lit(0)).alias("off"))
-    w = Window.partitionBy("file", "block").orderBy("mid")
-    t = t.withColumn("i", F.row_number().over(w)).join(per, ["file", "block"])
-    line = (F.col("i") + F.col("off")).cast("bigint")
-    return t.select("file", line.alias("line"), F.when(line == 1, F.regexp_replace("value", "^﻿", "")).otherwise(F.col("value")).alias("value"))
+    per = pin(per.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("off")), 2_000_000)
+    t = t.join(per, ["file", "block"])
+    line = (F.col("mid") + F.col("off")).cast("bigint")
+    return t.select("file", line.alias("line"), F.when(line == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")).alias("value"))
 
 
 def list_sources(spark: SparkSession, path: str, glob: str, unit: Column) -> DataFrame:

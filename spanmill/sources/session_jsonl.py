@@ -32,7 +32,7 @@ def read_records(spark: SparkSession, path: str, modified_after: str | None = No
                                            F.lit(".jsonl"))).otherwise(F.col("file"))
     t = t.withColumns({"agent": agent, "session": session})
     bad = t.filter("v is null").select("session", F.lit("unparseable JSONL line").alias("message"), "file", "line")
-    rec = t.filter(F.schema_of_variant("v").startswith("OBJECT")).withColumns({
+    rec = t.filter("v is not null").filter(F.ltrim("value").startswith("{")).withColumns({
         "type": vstr("v", "$.type"), "uuid": vstr("v", "$.uuid"), "ts": vstr("v", "$.timestamp")})
     rec = rec.filter(~F.coalesce(F.col("type").rlike(r"^x-[a-z]+-scrub$"), F.lit(False))).drop("value")
     return rec.withColumn("ms", iso_ms("ts")), bad
@@ -51,7 +51,8 @@ def _content(df: DataFrame) -> DataFrame:
 
 def assemble_llm_calls(rec: DataFrame) -> DataFrame:
     """Assistant records that share a message id are one call."""
-    a = _content(rec.filter("type = 'assistant'")).filter(F.schema_of_variant("msg").startswith("OBJECT"))
+    a = _content(rec.filter("type = 'assistant'"))
+    a = a.filter(F.coalesce(vget("msg", "$.id", "variant"), vget("msg", "$.model", "variant"), F.col("content"), vget("msg", "$.usage", "variant")).isNotNull())
     a = a.withColumn("key", F.coalesce(vstr("msg", "$.id"), F.col("uuid"), F.concat(F.lit("rec-"), F.col("line"))))
     model, stop, usage = vstr("msg", "$.model"), vstr("msg", "$.stop_reason"), vget("msg", "$.usage", "variant")
     has_usage = F.schema_of_variant(usage).startswith("OBJECT")
