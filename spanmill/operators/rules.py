@@ -12,7 +12,7 @@ from ..functions.money import (break_shape, closed_end, context_tokens, effectiv
 from ..functions.text import error_snippet
 from ..schema import TOOL_KINDS
 from ..session import land
-from ..skew import CHUNK, chunk_edges, rechunk, scan
+from ..skew import CHUNK, chunk_edges, rechunk, scan, with_chunks
 from .overview import run_totals
 from .pricing import (RATES, context_excess, dominant_model, dominant_rates, downgrade_map, main_calls_ranked,
                       reprice_cells, reprice_spans, with_rates)
@@ -532,15 +532,20 @@ REGISTRY = [retry_loop, low_cache_hit, context_bloat, expensive_subagents, dead_
 
 
 def apply_rules(t: Trace, rules=None) -> DataFrame:
-    """All findings, numbered i1.. per run in (rule order, first evidence) and graded."""
-    from pyspark.sql import Window
+    """All findings, numbered i1.. per run in (rule order, first evidence) and graded.
+
+    The findings are landed once; numbering goes through ``scan``, since a hot run has many of them.
+    """
     th = t.thresholds
-    rows = reduce(DataFrame.unionByName, [r(t) for r in (rules or REGISTRY)])
+    rows = land(reduce(DataFrame.unionByName, [r(t) for r in (rules or REGISTRY)]))
+    rows = rows.withColumn("ev", F.array_join(F.slice("evidence", 1, 10), ","))
+    order = ["rule_order", "first_ms", "first_id", "ev"]
+    rows, chunked = with_chunks(rows, ["run_id"], order)
+    rows = scan(rows, ["run_id"], order, {"rn": ("rownum", None)}, chunked).drop("ev", CHUNK)
     rows = rows.join(t.totals.select("run_id", F.col("cost_micro").alias("run_micro")), "run_id")
-    w = Window.partitionBy("run_id").orderBy("rule_order", "first_ms", "first_id", F.col("evidence").cast("string"))
     sev = severity(F.col("waste_micro"), F.col("run_micro"), th.warn_share, th.warn_floor, th.crit_share, th.crit_floor)
-    return rows.withColumn("finding_id", F.concat(F.lit("i"), F.row_number().over(w).cast("string"))).withColumn(
-        "severity", sev).withColumn("rule_class", rule_class())
+    return rows.withColumn("finding_id", F.concat(F.lit("i"), F.col("rn").cast("string"))).withColumn(
+        "severity", sev).withColumn("rule_class", rule_class()).drop("rn")
 
 
 def evidence_rows(t: Trace, findings: DataFrame) -> DataFrame:

@@ -188,18 +188,22 @@ def error_clusters(t: Trace, occ: DataFrame, findings: DataFrame | None = None)
         F.min_by("kind", at).alias("kind"), F.min_by("mcp_server", at).alias("mcp_server"))
     g = g.join(longest, key)
     if findings is not None:
-        cited = evidence_rows(t, findings).select("run_id", "span_id", "finding_id", "rule").join(
-            occ.select(*key, "span_id"), ["run_id", "span_id"])
-        ids = cited.select(*key, "finding_id", "rule").distinct().groupBy(*key).agg(
-            F.array_join(F.array_sort(F.collect_list("finding_id")), ",").alias("findings"),
-            F.bool_or(F.col("rule") == "retry-loop").alias("in_retry"))
+        ids = cluster_findings(t, occ, findings).groupBy(*key).agg(
+            F.count("*").alias("findings"), F.bool_or(F.col("rule") == "retry-loop").alias("in_retry"))
         g = g.join(ids, key, "left")
     else:
-        g = g.withColumn("findings", F.lit(None).cast("string")).withColumn("in_retry", F.lit(False))
+        g = g.withColumn("findings", F.lit(None).cast("bigint")).withColumn("in_retry", F.lit(False))
     loop = (F.col("longest") >= LOOP_RUN) | F.coalesce("in_retry", F.lit(False))
     return g.withColumn("outcome", F.when(F.col("last_recovery") != "ok", "unrecovered").when(loop, "looping").otherwise("recovered")).select(
         *key, "owner", "label", "kind", "mcp_server", "failures", "first_ms", "last_ms", "reaction_micro", "longest",
-        F.coalesce("findings", F.lit("")).alias("findings"), "outcome")
+        nz("findings").alias("findings"), "outcome")
+
+
+def cluster_findings(t: Trace, occ: DataFrame, findings: DataFrame) -> DataFrame:
+    """(run, class, tool, finding): findings whose evidence includes a failure of the cluster."""
+    cited = evidence_rows(t, findings).select("run_id", "span_id", "finding_id", "rule")
+    return cited.join(occ.select("run_id", "error_class", "tool", "span_id"), ["run_id", "span_id"]).select(
+        "run_id", "error_class", "tool", "finding_id", "rule").distinct()
 
 
 def triage_run(t: Trace, occ: DataFrame, clusters: DataFrame) -> DataFrame:

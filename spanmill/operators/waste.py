@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import break_shape, closed_end, context_tokens, nz, severity, usd
+from ..skew import scan, with_chunks
 from .rules import Trace, evidence_rows, rule_label
 
 PAIR_RULES = ["cache-prefix-break", "idle-cache-expiry"]
@@ -98,8 +99,10 @@ def context_series(t: Trace) -> DataFrame:
 def rank_findings(findings: DataFrame) -> DataFrame:
     """Worst first within a run: estimate, severity, id."""
     sev = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    w = Window.partitionBy("run_id").orderBy(F.desc(nz("waste_micro")), sev, "finding_id")
-    return findings.withColumn("rank", F.row_number().over(w))
+    f = findings.withColumns({"worst": -nz("waste_micro"), "sev": sev})
+    order = ["worst", "sev", "finding_id"]
+    f, chunked = with_chunks(f, ["run_id"], order)
+    return scan(f, ["run_id"], order, {"rank": ("rownum", None)}, chunked).drop("worst", "sev", "chunk")
 
 
 def findings_by_span(evidence: DataFrame) -> DataFrame:

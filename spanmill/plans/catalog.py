@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,9 +11,16 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 
 
 def register(name: str, sql: str | None = None):
+    """Register a query; the views assume a UTC session, so the wrapper sets it."""
     def deco(fn):
-        QUERIES[name] = (fn, sql)
-        return fn
+        @wraps(fn)
+        def utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+            if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+                spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = (utc, sql)
+        return utc
     return deco
 
 

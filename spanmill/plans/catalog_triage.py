@@ -64,10 +64,10 @@ def e2(spark, sf):
 CLU = OCC + ", " + CLAIM + """, os as (select *, lag(next_id) over (partition by run_id, error_class, tool order by start_ms, span_id) as p_next from o),
   ost as (select *, sum(case when p_next is distinct from span_id then 1 else 0 end) over (partition by run_id, error_class, tool order by start_ms, span_id) as st from os),
   lng as (select run_id, error_class, tool, max(n) as longest from (select run_id, error_class, tool, st, count(*) as n from ost group by all) group by all),
-  cit as (select o.run_id, o.error_class, o.tool, string_agg(distinct e.finding_id, ',' order by e.finding_id) as findings, bool_or(e.rule = 'retry-loop') as in_retry
+  cit as (select o.run_id, o.error_class, o.tool, count(distinct e.finding_id) as findings, bool_or(e.rule = 'retry-loop') as in_retry
     from o join ev0 e using (run_id, span_id) group by all),
   ec as (select run_id, error_class, tool, any_value(owner) as owner, count(*) as failures, min(start_ms) as first_ms, max(start_ms) as last_ms,
-    coalesce(sum(reaction_micro), 0)::bigint as reaction_micro, any_value(longest) as longest, coalesce(any_value(findings), '') as findings,
+    coalesce(sum(reaction_micro), 0)::bigint as reaction_micro, any_value(longest) as longest, coalesce(any_value(findings), 0) as findings,
     case when arg_max(recovery, seq) <> 'ok' then 'unrecovered' when any_value(longest) >= 3 or coalesce(any_value(in_retry), false) then 'looping' else 'recovered' end as outcome
     from o left join re using (run_id, span_id) join lng using (run_id, error_class, tool) left join cit using (run_id, error_class, tool) group by run_id, error_class, tool)"""
 
@@ -77,6 +77,11 @@ def e3(spark, sf):
     return clusters(spark, sf).drop("label", "kind", "mcp_server")
 
 
+@register("e3b_cluster_findings", vr("select distinct run_id, error_class, tool, e.finding_id, e.rule from o join ev0 e using (run_id, span_id)", OCC + ", " + NEXT))
+def e3b(spark, sf):
+    return E.cluster_findings(trace(spark, sf), occurrences(spark, sf), findings(spark, sf))
+
+
 @register("e4_triage_run", vr("""select s.run_id, s.cancelled, coalesce(tool_errors, 0) as tool_errors, coalesce(model_errors, 0) as model_errors, coalesce(reaction, 0)::bigint as reaction_micro,
     coalesce(recovered, 0) as recovered, coalesce(redacted, false) as redacted, coalesce(oy, 0) as owner_you, coalesce(oa, 0) as owner_agent, coalesce(om, 0) as owner_model, coalesce(ow, 0) as owner_work,
     coalesce(att, false) as needs_attention, case when coalesce(tool_errors, 0) + coalesce(model_errors, 0) = 0 then 'none' when att then 'alarm' else 'quiet' end as tone

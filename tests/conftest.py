@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from spanmill.session import build_session
     s = build_session("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__driver__memory="4g",
-                      spark__ui__showConsoleProgress="false")
+                      spark__ui__showConsoleProgress="false", spark__sql__codegen__wholeStage="false")
     s.sparkContext.setLogLevel("OFF")
     yield s
     s.stop()
