@@ -81,11 +81,13 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
          specs: Mapping[str, tuple[str, Column | None]], chunked: bool = False) -> DataFrame:
     """Ordered window expressions; with ``chunked`` computed per (keys, chunk) plus carries.
 
-    ``chunk`` must rise with ``order`` inside every ``keys`` group.
+    The chunked form lands its input once. ``chunk`` must rise with ``order`` inside every ``keys`` group.
     """
     if not chunked:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[_unwrap(k, _local(k, e, w)).alias(n) for n, (k, e) in specs.items()])
+    # rows and chunk summaries both read the input: land it, or chained scans would recompute it 2^n times
+    df = cut(df)
     part = [*keys, CHUNK]
     w = Window.partitionBy(*part).orderBy(*order)
     at = F.struct(*[F.col(c) for c in order])
