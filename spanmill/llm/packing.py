@@ -30,6 +30,7 @@ from .common import chunks, keyed
 
 LIMIT, GRAIN, GAP, END_ID, CACHE = 1024, 4, 1e-3, 0, 300_000
 CHUNK_ROWS = 200_000
+ROUNDS = 1500  # pivots at most; what is left to gain then is below the last bound
 PIECES = "k1 long, k2 long, doc {id}, start long, length long, crc long, tokens long"
 # a space between two white-space characters (or two spaces) may belong to a longer white-space token
 _JOINED = re.compile(r"\s \s|  ")
@@ -113,25 +114,50 @@ def knapsack(sizes: np.ndarray, values: np.ndarray, room: int) -> tuple[float, n
     return float(best[room]), counts
 
 
-def solve_lp(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP, rounds: int = 20_000) -> tuple[np.ndarray, np.ndarray, float]:
+def first_basis(sizes: np.ndarray, demand: np.ndarray, room: int) -> np.ndarray:
+    """A feasible basis: greedy patterns (largest size first, each used until one of its sizes is exhausted). A pattern holds no size that
+    was exhausted before, so the columns are triangular in that order; sizes that run out together get a pattern of their own."""
+    left, m = demand.astype(float).copy(), len(sizes)
+    columns: dict[int, np.ndarray] = {}
+    while (left > 0).any():
+        pattern, space = np.zeros(m), room
+        for i in range(m - 1, -1, -1):
+            if left[i] > 0 and sizes[i] <= space:
+                pattern[i] = min(space // sizes[i], max(1, int(left[i])))
+                space -= int(pattern[i]) * int(sizes[i])
+        used = np.flatnonzero(pattern)
+        ratio = left[used] / pattern[used]
+        out = used[ratio.argmin()]
+        left[used] -= pattern[used] * ratio.min()
+        left[out] = 0
+        gone = used[left[used] <= 1e-9]
+        left[gone] = 0
+        columns[int(out)] = pattern
+        for i in gone:
+            if i != out:
+                columns[int(i)] = np.eye(m)[i] * (room // sizes[i])
+    return np.stack([columns[i] for i in range(m)], 1)
+
+
+def solve_lp(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
     """Column generation: (pattern matrix, one column per basic pattern; its uses; lower bound on the sequences)."""
-    m = len(sizes)
-    basis = np.diag((room // sizes).astype(float))
-    inverse = np.diag(1.0 / np.diag(basis))
-    x = inverse @ demand
+    basis = first_basis(sizes, demand, room)
+    inverse = np.linalg.inv(basis)
+    x = np.maximum(inverse @ demand, 0)
     bound = float((sizes * demand).sum() / room)
     for step in range(rounds):
+        if x.sum() <= bound * (1 + gap):
+            break
         dual = np.maximum(inverse.sum(0), 0)
         value, column = knapsack(sizes, dual, room)
-        if value > 0:
-            bound = max(bound, x.sum() / value)
+        bound = max(bound, x.sum() / max(value, 1.0))
         if value <= 1 + 1e-9 or x.sum() <= bound * (1 + gap):
             break
         d = inverse @ column
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
         r = int(ratio.argmin())
         basis[:, r] = column
-        if step % 200 == 199:  # fresh inverse against rounding errors
+        if step % 100 == 99:  # fresh inverse against rounding errors
             inverse = np.linalg.inv(basis)
         else:
             inverse[r] /= d[r]
@@ -139,7 +165,7 @@ def solve_lp(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP,
             rest[r] = 0
             inverse -= np.outer(rest, inverse[r])
         x = np.maximum(inverse @ demand, 0)
-    return basis.astype(int), x, bound
+    return np.rint(basis).astype(int), x, bound
 
 
 def plan(histogram: dict[int, int], room: int, gap: float = GAP) -> list[tuple[dict[int, int], int]]:

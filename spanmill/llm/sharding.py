@@ -42,8 +42,8 @@ def _drawn(share, n):
 
 def split_ranges(m: DataFrame, range_rows: int) -> DataFrame:
     """Rows with ``range``, an array of slice numbers whose order is the order of the keys."""
-    total = m.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
-    out = m.withColumn("range", F.array().cast("array<int>"))
+    out = land(m.withColumn("range", F.array().cast("array<int>")))
+    total = out.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
     if not total["n"]:
         return out
     due_b, due_n = total["b"] / FAN, max(1.0, min(total["n"] / FAN, range_rows))
@@ -79,7 +79,7 @@ def shard(docs: DataFrame, shards: int = 40, text: str = "text", id: str = "doc_
     p = land(m.withColumn("run", run).join(rng, "range").withColumn("at", F.col("before") + F.col("run") - F.col("size")))
     group = p.groupBy("t2", "crc").agg(F.min("at").alias("g0"), F.sum("size").alias("gb"), F.count("*").alias("gn"), F.max("total").alias("gt"))
     group = group.filter((F.col("gn") > 1) & (F.col("gb") < F.col("gt") * GROUP / shards)).select("t2", "crc", "g0", "gb")
-    p = p.join(group, ["t2", "crc"], "left").withColumn("mid", F.coalesce(F.col("g0") + F.col("gb") / 2, F.col("at") + F.col("size") / 2))
+    p = p.join(land(group), ["t2", "crc"], "left").withColumn("mid", F.coalesce(F.col("g0") + F.col("gb") / 2, F.col("at") + F.col("size") / 2))
     p = land(p.select("range", *order, "crc", F.least(F.floor(F.col("mid") * shards / F.col("total")), F.lit(shards - 1)).cast("int").alias("shard")))
     n = p.groupBy("shard", "range").agg(F.count("*").alias("n"))
     n = n.select("shard", "range", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("range").rowsBetween(*_BEFORE)), F.lit(0)).alias("first"))
@@ -88,7 +88,10 @@ def shard(docs: DataFrame, shards: int = 40, text: str = "text", id: str = "doc_
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, text: str = "text", id: str = "doc_id") -> None:
-    """The documents as Parquet, one folder a shard (``shard=N``); files hold a shard's rows and several tasks write a large one."""
-    where = shard(docs, shards, text, id).select("doc", "size", "shard", "slot").distinct()
-    d = docs.withColumn("size", (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long"))
-    d.join(where, F.col(id).eqNullSafe(F.col("doc")) & (d["size"] == where["size"])).drop("doc", "size").write.partitionBy("shard").parquet(path)
+    """The documents as Parquet, one folder a shard (``shard=N``) with a column ``slot``; several tasks write a large shard."""
+    same = ["doc", "size", "crc"]
+    copy = F.row_number().over(Window.partitionBy(*same).orderBy("doc"))  # repeated rows take the slots of their group one each
+    where = shard(docs, shards, text, id).withColumn("copy", F.row_number().over(Window.partitionBy(*same).orderBy("shard", "slot")))
+    d = packed(docs, text, id).select("row", "doc", (F.octet_length("body") + OVERHEAD).cast("long").alias("size"), F.crc32(F.col("body")).alias("crc")).withColumn("copy", copy)
+    on = [d["doc"].eqNullSafe(where["doc"]), *(d[c] == where[c] for c in ("size", "crc", "copy"))]
+    d.join(where, on).select("row.*", where["slot"], where["shard"]).write.partitionBy("shard").parquet(path)

@@ -52,7 +52,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     h = np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends)], np.uint64)
     ones = np.zeros(64, np.int64)
     for lo in range(0, n, 1 << 16):
-        ones += np.unpackbits(h[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0)
+        ones += np.unpackbits(h[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
