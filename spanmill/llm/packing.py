@@ -139,11 +139,30 @@ def first_basis(sizes: np.ndarray, demand: np.ndarray, room: int) -> np.ndarray:
     return np.stack([columns[i] for i in range(m)], 1)
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row choice. Elementwise on purpose, like all of the solver: at most limit / grain rows, no thread pool."""
+    n = len(a)
+    t = np.hstack([a.astype(float), np.eye(n)])
+    for i in range(n):
+        p = i + int(np.abs(t[i:, i]).argmax())
+        t[[i, p]] = t[[p, i]]
+        t[i] /= t[i, i]
+        f = t[:, i].copy()
+        f[i] = 0
+        rows = np.flatnonzero(f)
+        t[rows] -= f[rows, None] * t[i]
+    return t[:, n:]
+
+
+def _times(a: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return (a * v).sum(1)
+
+
 def solve_lp(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
     """Column generation: (pattern matrix, one column per basic pattern; its uses; lower bound on the sequences)."""
     basis = first_basis(sizes, demand, room)
-    inverse = np.linalg.inv(basis)
-    x = np.maximum(inverse @ demand, 0)
+    inverse = _inverse(basis)
+    x = np.maximum(_times(inverse, demand), 0)
     bound = float((sizes * demand).sum() / room)
     for step in range(rounds):
         if x.sum() <= bound * (1 + gap):
@@ -153,18 +172,18 @@ def solve_lp(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP,
         bound = max(bound, x.sum() / max(value, 1.0))
         if value <= 1 + 1e-9 or x.sum() <= bound * (1 + gap):
             break
-        d = inverse @ column
+        d = _times(inverse, column)
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
         r = int(ratio.argmin())
         basis[:, r] = column
         if step % 100 == 99:  # fresh inverse against rounding errors
-            inverse = np.linalg.inv(basis)
+            inverse = _inverse(basis)
         else:
             inverse[r] /= d[r]
             rest = d.copy()
             rest[r] = 0
             inverse -= np.outer(rest, inverse[r])
-        x = np.maximum(inverse @ demand, 0)
+        x = np.maximum(_times(inverse, demand), 0)
     return np.rint(basis).astype(int), x, bound
 
 
