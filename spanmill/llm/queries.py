@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, line_dedup, packing, secrets, sharding, simhash, substring_dedup
+from . import ann, decontamination, html_text, line_dedup, packing, secrets, sharding, simhash, substring_dedup, toxicity
 from .common import documents
 
 
@@ -31,10 +31,20 @@ def op4_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_recurrent_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumnRenamed("doc", "page_id")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(documents(spark, sf_dir)).withColumnRenamed("doc", "doc_id")
 
 
+def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents(spark, sf_dir)
+    model = toxicity.train(d, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(d, model).withColumnsRenamed({"doc": "doc_id", "rejected": "toxic"})
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = substring_dedup.dedup_substrings(documents(spark, sf_dir), n=20, digest=True)
     return d.select(F.col("doc").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
@@ -55,7 +65,9 @@ QUERIES = {
     "op2_sampled_splitter_shards": (op2_sampled_splitter_shards, None),
     "op3_prefix_decontamination": (op3_prefix_decontamination, decontamination.SQL),
     "op4_simhash_pigeonring": (op4_simhash_pigeonring, None),
+    "op5_recurrent_html_text": (op5_recurrent_html_text, None),
     "op6_secret_scan": (op6_secret_scan, None),
+    "op7_toxicity_chain": (op7_toxicity_chain, None),
     "op8_substring_dedup": (op8_substring_dedup, substring_dedup.SQL),
     "op9_line_dedup": (op9_line_dedup, line_dedup.SQL),
     "op10_column_generation_packing": (op10_column_generation_packing, None),
