@@ -1,10 +1,11 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after the other by linear models over the presence of words; each model also sees the log-odds of the
+Categories are predicted one after the other by linear models over words that are present and word beginnings that are frequent in the
+text (inflected forms share their beginning); each model also sees the log-odds of the
 categories before it. These come out of fold while training (a row's earlier probability is from a model that has not seen the row), so
-later models learn how good the earlier ones really are. The last category decides, at the threshold with the best out-of-fold F1.
+later models learn how good the earlier ones really are. The last category decides, at the threshold with the best out-of-fold F1 (the one next to one half among about equals).
 
-Training uses a bounded sample: the ``sample`` labelled rows whose ids hash lowest, their ``features`` most telling words (chi-squared over
+Training uses a bounded sample: the ``sample`` labelled rows whose ids hash lowest, their ``features`` most telling features (chi-squared over
 the sample, at least ``min_docs`` documents), and one task that fits them (L1 logistic regression by accelerated proximal gradient; at
 most sample x features numbers). Everything else covers all rows: every document is scored on its whole text.
 
@@ -26,9 +27,10 @@ from pyspark.sql import functions as F
 from ..session import land
 from .common import chunks, packed
 from .substring_dedup import _arrow, _column
-from .tokens import ALNUM, Words
+from .tokens import ALNUM, Words, mix, word_hashes
 
-SAMPLE, FEATURES, MIN_DOCS, FOLDS = 6000, 256, 5, 4
+SAMPLE, FEATURES, MIN_DOCS, FOLDS, L1 = 6000, 384, 5, 4, 2e-3
+PREFIXES, LEVELS = (4, 5, 6, 7, 8), (0.006, 0.015, 0.04)  # bytes of a word beginning; shares of the words of a text
 # earlier to later; conditions over the label table
 CATEGORIES = {"toxic_prose": "toxic = 1 and quality = 1", "toxic_junk": "toxic = 1 and quality = 0", "toxic": "toxic = 1"}
 
@@ -42,29 +44,51 @@ def sample_documents(docs: DataFrame, labels: DataFrame, categories: Mapping[str
     return land(d.join(F.broadcast(y), d["doc"] == y["lid"]).select("doc", "body", "y"))  # at most ``sample`` ids are broadcast
 
 
-def _present(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(text, word hash), each pair once."""
-    order = np.lexsort((w.h[0], w.text))
-    t, h = w.text[order], w.h[0][order]
-    new = np.r_[True, (t[1:] != t[:-1]) | (h[1:] != h[:-1])] if len(t) else np.empty(0, bool)
-    return t[new], h[new]
+def _salted(h: np.ndarray, k: int) -> np.ndarray:
+    return mix(h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+
+
+def evidence(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, level), each once: level -1 for a word that is present, level i for a word beginning whose share of all words of the
+    text is at least LEVELS[i]. With ``wanted`` (sorted hashes) only these are looked at."""
+    w = Words(texts, ALNUM, lower=True, pair=False)
+    out_t, out_h, out_l = [], [], []
+    for k in (0, *PREFIXES):
+        ends = w.ends if k == 0 else np.minimum(w.ends, w.starts + k)
+        h = _salted(word_hashes(w.buf, w.starts, ends) if k else w.h[0], k)
+        t = w.text
+        long = np.ones(len(h), bool) if k == 0 else w.ends - w.starts >= k
+        if wanted is not None and len(wanted):
+            long &= wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+        elif wanted is not None:
+            long[:] = False
+        t, h = t[long], h[long]
+        order = np.lexsort((h, t))
+        t, h = t[order], h[order]
+        first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (h[1:] != h[:-1])]) if len(t) else np.empty(0, int)
+        n = np.diff(np.append(first, len(t)))
+        t, h = t[first], h[first]
+        for level, share in [(-1, 0.0)] if k == 0 else enumerate(LEVELS):
+            hit = n >= share * w.count[t]
+            out_t.append(t[hit]), out_h.append(h[hit]), out_l.append(np.full(int(hit.sum()), level))
+    return np.concatenate(out_t), np.concatenate(out_h), np.concatenate(out_l)
 
 
 def words_task(schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
-            t, h = _present(Words(texts, ALNUM, lower=True, pair=False))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64), pa.int64()), _column(part, "y").take(pa.array(t))], schema=schema)
+            t, h, level = evidence(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64), pa.int64()), pa.array(level, pa.int32()), _column(part, "y").take(pa.array(t))], schema=schema)
     return run
 
 
-def select_words(s: DataFrame, n_categories: int, features: int, min_docs: int) -> list[int]:
-    """Hashes of the most telling words, sorted as unsigned numbers; at most ``features``."""
+def select_words(s: DataFrame, n_categories: int, features: int, min_docs: int) -> list[list[int]]:
+    """[hash, level] of the most telling words and word beginnings, sorted (hashes as unsigned numbers); at most ``features``."""
     total = s.agg(F.count("*").alias("n"), *[F.sum(F.get("y", F.lit(i))).alias(f"p{i}") for i in range(n_categories)]).first()
     if not total["n"]:
         return []
-    ddl = "h long, y array<int>"
-    w = s.mapInArrow(words_task(_arrow(ddl)), ddl).groupBy("h").agg(F.count("*").alias("df"), *[F.sum(F.get("y", F.lit(i))).alias(f"a{i}") for i in range(n_categories)])
+    ddl = "h long, level int, y array<int>"
+    w = s.mapInArrow(words_task(_arrow(ddl)), ddl).groupBy("h", "level").agg(F.count("*").alias("df"), *[F.sum(F.get("y", F.lit(i))).alias(f"a{i}") for i in range(n_categories)])
     scores = []
     for i in range(n_categories):
         n, p = float(total["n"]), float(total[f"p{i}"] or 0)
@@ -75,25 +99,40 @@ def select_words(s: DataFrame, n_categories: int, features: int, min_docs: int)
     if not scores:
         return []
     best = scores[0] if len(scores) == 1 else F.greatest(*scores)
-    top = w.filter(F.col("df") >= min_docs).orderBy(best.desc(), "h").limit(features).select("h").collect()
-    return sorted(r["h"] & ((1 << 64) - 1) for r in top)
+    top = w.filter(F.col("df") >= min_docs).orderBy(best.desc(), "h", "level").limit(features).select("h", "level").collect()
+    return sorted([r["h"] & ((1 << 64) - 1), r["level"]] for r in top)
 
 
-def _features(w: Words, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) pairs of the words in the vocabulary, each once."""
-    if not len(vocabulary) or not len(w.h[0]):
-        return np.empty(0, int), np.empty(0, int)
-    at = np.minimum(np.searchsorted(vocabulary, w.h[0]), len(vocabulary) - 1)
-    hit = vocabulary[at] == w.h[0]
-    pair = np.unique(w.text[hit].astype(np.int64) * len(vocabulary) + at[hit])
-    return pair // len(vocabulary), pair % len(vocabulary)
+class Vocabulary:
+    """Look-up of the chosen features in texts."""
 
+    def __init__(self, chosen: list[list[int]]):
+        self.size = len(chosen)
+        self.hashes = np.unique(np.array([h for h, _ in chosen], np.uint64))
+        self.keys = self._key(np.array([h for h, _ in chosen], np.uint64), np.array([v for _, v in chosen], np.int64))
+        self.order = np.argsort(self.keys)
 
-def vectors_task(vocabulary: list[int], schema: pa.Schema):
+    @staticmethod
+    def _key(h: np.ndarray, level: np.ndarray) -> np.ndarray:
+        return mix(h + (level + 2).astype(np.uint64))
+
+    def find(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, feature) pairs, each once, by text."""
+        t, h, level = evidence(texts, self.hashes)
+        if not self.size or not len(t):
+            return np.empty(0, int), np.empty(0, int)
+        key = self._key(h, level)
+        at = self.order[np.minimum(np.searchsorted(self.keys, key, sorter=self.order), self.size - 1)]
+        hit = self.keys[at] == key
+        pair = np.unique(t[hit].astype(np.int64) * self.size + at[hit])
+        return pair // self.size, pair % self.size
+
+
+def vectors_task(chosen: list[list[int]], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = np.array(vocabulary, np.uint64)
+        v = Vocabulary(chosen)
         for part, texts in chunks(batches):
-            t, f = _features(Words(texts, ALNUM, lower=True, pair=False), v)
+            t, f = v.find(texts)
             ends = np.searchsorted(t, np.arange(len(texts) + 1))
             yield pa.RecordBatch.from_arrays([_column(part, "doc").cast(pa.string()), _column(part, "y"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(f, pa.int32()))], schema=schema)
     return run
@@ -108,8 +147,17 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit(x: np.ndarray, y: np.ndarray, l1: float = 1e-3, steps: int = 200) -> np.ndarray:
-    """Weights and bias (last) of an L1 logistic regression; one class only: its smoothed rate."""
+def fit(x: np.ndarray, y: np.ndarray, l1: float = L1, steps: int = 150) -> np.ndarray:
+    """Weights and bias (last): L1 logistic regression chooses the inputs, a second one with hardly any penalty weighs them."""
+    w = _fit(x, y, l1, steps)
+    chosen = np.flatnonzero(w[:-1])
+    out = np.zeros(x.shape[1] + 1)
+    out[[*chosen, -1]] = _fit(x[:, chosen], y, l1 / 100, steps)
+    return out
+
+
+def _fit(x: np.ndarray, y: np.ndarray, l1: float, steps: int) -> np.ndarray:
+    """Accelerated proximal gradient; one class only: its smoothed rate."""
     n, k = x.shape
     w = np.zeros(k + 1)
     rate = (y.sum() + 0.5) / (n + 1)
@@ -153,11 +201,10 @@ def train_chain(x: np.ndarray, y: np.ndarray, folds: int = FOLDS) -> tuple[list[
     truth = y[:, -1]
     if not truth.any():
         return models, 2.0
-    best, threshold = -1.0, 0.5
-    for t in np.linspace(0.1, 0.9, 17):
-        f1 = 2 * (truth[p >= t].sum()) / max(1, (p >= t).sum() + truth.sum())
-        if f1 > best + 1e-12 or (abs(f1 - best) <= 1e-12 and abs(t - 0.5) < abs(threshold - 0.5)):
-            best, threshold = f1, float(t)
+    grid = np.linspace(0.1, 0.9, 17)
+    f1 = np.array([2 * truth[p >= t].sum() / max(1, (p >= t).sum() + truth.sum()) for t in grid])
+    near = grid[f1 >= f1.max() - 0.005]  # of thresholds that are about as good, the one next to one half
+    threshold = float(near[np.abs(near - 0.5).argmin()])
     return models, threshold
 
 
@@ -184,11 +231,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: Mapping[str, str] = CA
     return {"names": list(categories), "vocabulary": vocabulary} | json.loads(rows.first()["model"])
 
 
-def probabilities(texts: list[bytes], model: dict, vocabulary: np.ndarray) -> np.ndarray:
-    t, f = _features(Words(texts, ALNUM, lower=True, pair=False), vocabulary)
+def probabilities(texts: list[bytes], model: dict, vocabulary: Vocabulary) -> np.ndarray:
+    t, f = vocabulary.find(texts)
     out = np.zeros((len(texts), len(model["names"])))
     for c, w in enumerate(np.asarray(w) for w in model["models"]):
-        k = len(vocabulary)
+        k = vocabulary.size
         z = np.bincount(t, w[:k][f], len(texts)) + w[-1]
         for e in range(c):
             z += w[k + e] * logit(out[:, e])
@@ -198,7 +245,7 @@ def probabilities(texts: list[bytes], model: dict, vocabulary: np.ndarray) -> np
 
 def score_task(model: dict, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = np.array(model["vocabulary"], np.uint64)
+        v = Vocabulary(model["vocabulary"])
         for part, texts in chunks(batches):
             p = probabilities(texts, model, v)
             yield pa.RecordBatch.from_arrays([_column(part, "doc"), *(pa.array(c) for c in p.T), pa.array(p[:, -1] >= model["threshold"])], schema=schema)
@@ -214,7 +261,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", id: str = "doc_id")
 
 def clean_task(model: dict, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = np.array(model["vocabulary"], np.uint64)
+        v = Vocabulary(model["vocabulary"])
         for part, texts in chunks(batches, text):
             yield part.filter(pa.array(probabilities(texts, model, v)[:, -1] < model["threshold"]))
     return run
