@@ -139,7 +139,7 @@ def mcp_server(tool: Column | str) -> Column:
 
 
 def mcp_tool_name(tool: Column | str) -> Column:
-    rest = F.array_join(F.slice(F.split(c(tool), "__"), 3, 1000), "__")
+    rest = F.array_join(F.slice(F.split(c(tool), "__"), 3, F.greatest(F.size(F.split(c(tool), "__")) - 2, F.lit(0))), "__")
     return F.when(c(tool).startswith("mcp__") & (rest != ""), rest).otherwise(c(tool))
 
 

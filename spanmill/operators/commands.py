@@ -74,10 +74,10 @@ def segments(command: Column) -> Column:
 
 
 def classify_commands(commands: DataFrame, col: str = "command", tools: DataFrame | None = None,
-                      subs: DataFrame | None = None) -> DataFrame:
+                      subs: DataFrame | None = None, also_limit: int | None = None) -> DataFrame:
     """One row per distinct command: primary tool, sub, runner, activity and the tools it also ran.
 
-    Primary = best activity rank, earliest on ties; also-ran = up to eight others in order of
+    Primary = best activity rank, earliest on ties; also-ran = the others (``also_limit`` of them, all by default) in order of
     appearance, without search and file utilities.
     """
     spark = commands.sparkSession
@@ -111,7 +111,7 @@ def classify_commands(commands: DataFrame, col: str = "command", tools: DataFram
     also = F.filter(F.array_distinct(F.transform("all", lambda x: x["tool_id"])),
                     lambda x: F.col("p.tool_id").isNull() | (x != F.col("p.tool_id")))
     return g.select("command", "p.tool_id", F.col("p.sub").alias("tool_sub"), F.col("p.via").alias("via"), F.col("p.act").alias("activity"),
-                    F.slice(also, 1, 8).alias("tools_also"), "p.program", "p.script")
+                    (also if also_limit is None else F.slice(also, 1, also_limit)).alias("tools_also"), "p.program", "p.script")
 
 
 def with_command_tools(spans: DataFrame, command_col: str = "command", **kw) -> DataFrame:

@@ -7,22 +7,23 @@ from pyspark.sql import functions as F
 
 from ..functions.money import break_shape, closed_end, context_tokens, nz, severity, usd
 from ..skew import scan, with_chunks
-from .rules import Trace, evidence_rows, rule_label
+from .rules import Thresholds, Trace, evidence_rows, rule_label
 
 PAIR_RULES = ["cache-prefix-break", "idle-cache-expiry"]
 
 
-def waste_groups(findings: DataFrame, warn_floor: int = 50_000) -> DataFrame:
+def waste_groups(findings: DataFrame, thresholds: Thresholds | None = None) -> DataFrame:
     """Per run and rule: count, sum, share, severity of the sum, folded and unpriced flags."""
+    th = thresholds or Thresholds()
     w = F.col("waste_micro")
     g = findings.groupBy("run_id", "rule").agg(
         F.max("rule_class").alias("rule_class"), F.count("*").alias("findings"), nz(F.sum(w)).alias("micro"),
         F.max("run_micro").alias("run_micro"), F.bool_or(w.isNull()).alias("unpriced"),
-        F.bool_or(w.isNotNull()).alias("any_priced"), F.bool_and(w.isNotNull() & (w < warn_floor)).alias("folded"))
+        F.bool_or(w.isNotNull()).alias("any_priced"), F.bool_and(w.isNotNull() & (w < th.warn_floor)).alias("folded"))
     return g.select(
         "run_id", "rule", rule_label().alias("label"), "rule_class", "findings", usd("micro").alias("usd"),
         F.when(F.col("run_micro") > 0, F.col("micro") / F.col("run_micro")).otherwise(0.0).alias("share"),
-        severity(F.when(F.col("any_priced"), F.col("micro")), F.col("run_micro")).alias("severity"), "folded", "unpriced")
+        severity(F.when(F.col("any_priced"), F.col("micro")), F.col("run_micro"), th.warn_share, th.warn_floor, th.crit_share, th.crit_floor).alias("severity"), "folded", "unpriced")
 
 
 def break_shapes(findings: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def _occurrences(t: Trace, findings: DataFrame) -> DataFrame:
     f = findings.select("run_id", "finding_id", "rule", "rule_class", "severity", "waste_micro")
     j = f.join(g, ["run_id", "finding_id"]).join(starts, "run_id")
     return j.withColumn("pair", F.col("rule").isin(PAIR_RULES) & (F.col("n_ev") == 2)).withColumn(
-        "shape", F.when(F.col("rule") == "cache-prefix-break", break_shape(F.col("a_ctx"), F.col("b_ctx"), F.col("b_rd"))))
+        "shape", F.when(F.col("rule") == "cache-prefix-break", break_shape(F.col("a_ctx"), F.col("b_ctx"), F.col("b_rd"), t.thresholds.break_shrink, t.thresholds.break_retained)))
 
 
 def waste_occurrences(t: Trace, findings: DataFrame) -> DataFrame:

@@ -7,18 +7,19 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import privacy, rules
 from ..operators.pricing import price_spans
 from ..operators.rules import Thresholds, Trace
 from ..operators.tree import place
 from ..session import land
-from ..sources.common import Loaded, collapse_run_ids, quarantine
+from ..sources.common import Loaded, collapse_run_ids, quarantine, winning_spans
 from ..sources.otlp import OtlpSource
 from ..sources.session_jsonl import SessionJsonlSource
 from ..sources.store import StoreSource
 
-# registry order = priority when two sources hold the same run id
+# of runs with one id the one with the newest start wins, then the first by file names, whatever the source
 SOURCES = [SessionJsonlSource(), StoreSource(), OtlpSource()]
 
 
@@ -36,6 +37,7 @@ def read_all(spark: SparkSession, inputs: Sequence[tuple[str, str, dict]], sourc
     """``inputs`` = (source name, path, options); other readers join by being passed in ``sources``."""
     by_name = {s.name: s for s in (sources or SOURCES)}
     parts = [by_name[n].read(spark, p, **o) for n, p, o in inputs]
+    parts = [Loaded(x.runs.withColumn("load", F.lit(i)), x.spans.withColumn("load", F.lit(i)), x.warnings) for i, x in enumerate(parts)]
     return Loaded(*(reduce(DataFrame.unionByName, [getattr(x, f) for x in parts]) for f in ("runs", "spans", "warnings")))
 
 
@@ -44,7 +46,9 @@ def build(spark: SparkSession, data: Loaded, pricing: DataFrame, thresholds: Thr
     """Silver tables and findings of one load."""
     ok, rejects = quarantine(data.runs)
     runs = land(collapse_run_ids(ok))
-    placed, warn, chunked = place(land(data.spans.join(runs.select("run_id"), "run_id", "left_semi")))
+    spans = winning_spans(data.spans, runs)
+    runs = runs.drop("load")
+    placed, warn, chunked = place(land(spans))
     spans, warnings = price_spans(placed, pricing), data.warnings.unionByName(warn)
     p = privacy.resolve_profile(profile)
     if p != "full":

@@ -25,7 +25,8 @@ def _cell(c: Column) -> Column:
 
 def _num(micro: str) -> Column:
     """Shortest plain decimal of micro-dollars."""
-    d = F.format_string("%d.%06d", F.call_function("div", F.col(micro), F.lit(1_000_000)), F.pmod(F.col(micro), F.lit(1_000_000)))
+    size = F.abs(F.col(micro))
+    d = F.format_string("%s%d.%06d", F.when(F.col(micro) < 0, "-").otherwise(""), F.call_function("div", size, F.lit(1_000_000)), F.pmod(size, F.lit(1_000_000)))
     return F.regexp_replace(F.regexp_replace(d, "0+$", ""), r"\.$", "")
 
 
@@ -51,12 +52,18 @@ def sessions_csv(facts: DataFrame, findings: DataFrame, path: str) -> None:
     _write_lines(lines, SESSION_COLUMNS, ["start_ms", "run_id"], path)
 
 
+def day_model_costs(facts: DataFrame, tz: str = "UTC") -> DataFrame:
+    """Day and model, one row each: the long form of the pivot, for vocabularies too wide for columns."""
+    by = facts.select(local_day("start_ms", tz).alias("day"), F.explode("by_model").alias("model", "micro"))
+    return by.groupBy("day", "model").agg(F.sum("micro").alias("cost_micro"))
+
+
 def day_model_pivot(facts: DataFrame, tz: str = "UTC") -> DataFrame:
     """Day x model cost table over all days; model columns in name order."""
     d = facts.withColumn("day", local_day("start_ms", tz))
     base = d.groupBy("day").agg(F.sum("cost_micro").alias("cost_micro"), F.sum("wasted_micro").alias("wasted_micro"), F.count("*").alias("runs"))
     by = d.select("day", F.explode("by_model").alias("model", "micro")).groupBy("day", "model").agg(F.sum("micro").alias("micro"))
-    names = [r["model"] for r in by.select("model").distinct().orderBy("model").limit(1000).collect()]
+    names = [r["model"] for r in by.select("model").distinct().orderBy("model").collect()]  # model names: a vocabulary, all of it
     wide = by.groupBy("day").pivot("model", names).agg(F.sum("micro")).fillna(0) if names else by.select("day").distinct()
     return base.join(wide, "day", "left").fillna(0)
 
@@ -87,28 +94,20 @@ def span_json() -> Column:
                     F.struct(F.col("prov_file").alias("file"), F.col("prov_line").alias("line"), F.col("prov_record").alias("recordId")).alias("provenance"))
 
 
-def write_trace_json(runs: DataFrame, spans: DataFrame, findings: DataFrame | None, path: str, max_spans: int = 100_000) -> None:
-    """Run documents, one per line. A run above ``max_spans`` keeps its spans as lines of their own
-    under ``<path>/spans`` (with its run id), so no row ever holds an unbounded session."""
-    n = spans.groupBy("run_id").agg(F.count("*").alias("n"))
-    small = spans.join(n.filter(F.col("n") <= max_spans), "run_id", "left_semi")
-    nested = small.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("span_seq", F.to_json(span_json()).alias("s")))),
-                                                     lambda x: x["s"]).alias("spans"))
-    head = runs.join(nested, "run_id", "left")
-    if findings is not None:
-        f = findings.select("run_id", F.struct(F.col("finding_id").alias("id"), F.col("rule").alias("ruleId"), "severity", F.col("evidence").alias("spanIds"),
-                                               usd("waste_micro").alias("estimatedWasteUSD")).alias("i"), "rule_order", "first_ms")
-        head = head.join(f.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rule_order", "first_ms", "i"))), lambda x: x["i"]).alias("insights")), "run_id", "left")
-    else:
-        head = head.withColumn("insights", F.lit(None).cast("string"))
+def write_trace_json(runs: DataFrame, spans: DataFrame, findings: DataFrame | None, path: str) -> None:
+    """Runs as JSON lines, one shape for all sizes: ``runs`` (headers), ``spans`` and ``findings`` (a line each, with the run id).
+
+    No row holds a whole session, and ``read_run_lines`` reads the folder back.
+    """
     doc = F.struct(F.col("run_id").alias("id"), F.struct(F.col("source").alias("tool"), "format", "files").alias("source"), "title",
                    F.struct(F.col("project_name").alias("name"), F.col("project_path").alias("path"), F.col("git_branch").alias("gitBranch")).alias("project"),
-                   iso("start_ms").alias("startedAt"), iso("end_ms").alias("endedAt"), F.col("duration_ms").alias("durationMs"), "insights")
-    body = F.to_json(doc)
-    text = F.concat(F.substr(body, F.lit(1), F.length(body) - 1), F.lit(',"spans":['), F.array_join(F.coalesce("spans", F.array().cast("array<string>")), ","), F.lit("]}"))
-    head.select(text.alias("value")).write.mode("overwrite").text(path + "/runs")
-    big = spans.join(n.filter(F.col("n") > max_spans), "run_id", "left_semi")
-    big.select(F.to_json(F.struct("run_id", span_json().alias("span"))).alias("value")).write.mode("overwrite").text(path + "/spans")
+                   iso("start_ms").alias("startedAt"), iso("end_ms").alias("endedAt"), F.col("duration_ms").alias("durationMs"))
+    runs.select(F.to_json(doc).alias("value")).write.mode("overwrite").text(path + "/runs")
+    spans.select(F.to_json(F.struct("run_id", span_json().alias("span"))).alias("value")).write.mode("overwrite").text(path + "/spans")
+    if findings is not None:
+        f = F.struct("run_id", F.struct(F.col("finding_id").alias("id"), F.col("rule").alias("ruleId"), "severity", F.col("evidence").alias("spanIds"),
+                                        usd("waste_micro").alias("estimatedWasteUSD")).alias("insight"))
+        findings.select(F.to_json(f).alias("value")).write.mode("overwrite").text(path + "/findings")
 
 
 def write_tables(path: str, runs: DataFrame, spans: DataFrame, **more: DataFrame) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import RAW_SPAN_DDL, RUN_DDL, WARNING_DDL, conform
-from ..skew import pin
+from ..session import land
 
 PREVIEW = 200
 
@@ -35,20 +35,21 @@ def loaded(runs: DataFrame, spans: DataFrame, warnings: DataFrame) -> Loaded:
 
 
 def numbered_lines(spark: SparkSession, path: str, glob: str = "*.jsonl", modified_after: str | None = None) -> DataFrame:
-    """(file, line, value) with exact 1-based line numbers, without moving the text or reading a file in one task.
+    """(file, line, value) with exact 1-based line numbers, without reading a file in one task.
 
-    Rows of a file split are consecutive in their scan task, so a line is its running row id minus the
-    split's first one, plus the line counts of the splits before it: one small row per split.
+    Rows of a file split are consecutive in their scan task, so a line is its running row id minus the split's first one,
+    plus the line counts of the splits before it: one small row per split. The text is scanned once and landed with its split and
+    row id; counts and lines both come from the landed rows, so they agree however the session cuts files later.
     """
     r = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     if modified_after:
         r = r.option("modifiedAfter", modified_after)
     t = r.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                             F.monotonically_increasing_id().alias("mid"), "value")
+    t = land(t)
     per = t.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("mid").alias("first"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    per = pin(per.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("off")), 2_000_000)
-    t = t.join(per, ["file", "block"])
+    t = t.join(land(per.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("off"))), ["file", "block"])
     line = (F.col("mid") + F.col("off")).cast("bigint")
     return t.select("file", line.alias("line"), F.when(line == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")).alias("value"))
 
@@ -75,6 +76,19 @@ def quarantine(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return runs.filter(ok), bad
 
 
+def winning_spans(spans: DataFrame, runs: DataFrame) -> DataFrame:
+    """The spans of the copy whose header was kept, each span id once.
+
+    ``load`` (the input a row came from) is compared where both sides have it. Two copies inside one input differ in their
+    files: spans from a file of the kept header come first, then by file and line.
+    """
+    on = ["run_id", *({"load"} & {*spans.columns} & {*runs.columns})]
+    j = spans.join(runs.select(*on, F.col("files").alias("own_files")), on)
+    other = ~F.coalesce(F.array_contains("own_files", F.col("prov_file")), F.lit(False))
+    w = Window.partitionBy("run_id", "span_id").orderBy(other, "prov_file", "prov_line", F.xxhash64(*spans.columns[:20]))
+    return j.withColumn("copy", F.row_number().over(w)).filter("copy = 1").drop("copy", "own_files", "load")
+
+
 def collapse_run_ids(runs: DataFrame) -> DataFrame:
     """One header per run id: newest start, then files (row_number = 1 is limited before the shuffle)."""
     w = Window.partitionBy("run_id").orderBy(F.desc("start_ms"), F.col("files").cast("string"))

@@ -26,9 +26,25 @@ CALL_NAMES = ["claude_code.llm_request", "opencode.llm"]
 BRANCH_KEYS = [("vcs.ref.head.name", "vcs.ref.head.type"), ("vcs.repository.ref.name", "vcs.repository.ref.type"), ("git.branch", None)]
 
 
-def _docs(spark: SparkSession, path: str, ndjson: bool) -> DataFrame:
-    d = spark.read.option("multiLine", str(not ndjson).lower()).option("recursiveFileLookup", "true").schema(OTLP_JSON).json(path)
-    return d.select("*", F.col("_metadata.file_path").alias("file"))
+def _docs(spark: SparkSession, path: str, ndjson: bool | None) -> DataFrame:
+    """Documents with ``file`` and ``broken`` (the text that is no JSON). ``ndjson`` None: a file whose first line is an object of its own is read
+    line by line, the others whole. The names of the latter come to the driver, which lists the folder's files in any case."""
+    def read(paths: list[str] | str, whole: bool) -> DataFrame:
+        d = spark.read.option("multiLine", str(whole).lower()).option("recursiveFileLookup", "true").option("columnNameOfCorruptRecord", "broken")
+        d = d.schema(OTLP_JSON + ", broken STRING").json(paths)
+        return d.select("*", F.col("_metadata.file_path").alias("file"))
+
+    if ndjson is not None:
+        return read(path, not ndjson)
+    text = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"), "value")
+    head = text.filter("block = 0 and trim(value) <> ''").groupBy("file").agg(F.min_by("value", "mid").alias("line"))
+    object_line = F.coalesce(F.schema_of_variant(F.try_parse_json("line")).startswith("OBJECT"), F.lit(False))
+    whole = [r["file"] for r in head.filter(~object_line).select("file").collect()]
+    if not whole:
+        return read(path, False)
+    names = spark.createDataFrame([(f,) for f in whole], "file string")
+    return read(path, False).join(names, "file", "left_anti").unionByName(read(whole, True))
 
 
 def _map(attrs: Column) -> Column:
@@ -103,6 +119,9 @@ def flatten_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "file", F.struct("p0", "p1", "p2").alias("doc_pos"), _map(F.col("ra")).alias("resource"), _map(F.col("s.attributes")).alias("attrs"), "s.*")
     f = f.withColumns({"group_key": F.coalesce(_s("session.id"), F.concat(F.lit("trace:"), F.coalesce("traceId", F.lit("unknown")))),
                        "name": F.coalesce("name", F.lit("unknown")), "start_ms": _ms("startTimeUnixNano"), "end_ms": _ms("endTimeUnixNano")})
+    if "broken" in docs.columns:
+        broken = docs.filter("broken is not null and resourceSpans is null and resourceMetrics is null").groupBy("file").agg(F.count("*").alias("n"))
+        bad = bad.unionByName(broken.select(F.lit(None).cast("string").alias("run_id"), F.concat("n", F.lit(" unreadable document(s) skipped")).alias("message"), "file"))
     return f, bad
 
 
@@ -182,7 +201,7 @@ def inject_metrics(spans: DataFrame, metrics: DataFrame) -> DataFrame:
 class OtlpSource:
     name = "otlp"
 
-    def read(self, spark: SparkSession, path: str, ndjson: bool = False, genai: bool = False, redact: bool = False) -> Loaded:
+    def read(self, spark: SparkSession, path: str, ndjson: bool | None = None, genai: bool = False, redact: bool = False) -> Loaded:
         """Traces (and metrics beside them) of a folder; a session may span several files."""
         docs = _docs(spark, path, ndjson)
         flat, bad = flatten_spans(docs)

@@ -69,9 +69,14 @@ def read_trace_json(spark: SparkSession, path: str, multiline: bool = True) -> L
                     F.col("project.name").alias("project_name"), F.col("project.path").alias("project_path"),
                     F.col("project.gitBranch").alias("git_branch"), start.alias("start_ms"), iso_ms("endedAt").alias("end_ms"),
                     F.col("durationMs").cast("bigint").alias("duration_ms"), F.col("source.files").alias("files"))
-    s = r.select(F.col("id").alias("run_id"), F.explode("spans").alias("s"))
+    warn = r.select(F.col("id").alias("run_id"), F.explode("warnings").alias("w")).select("run_id", "w.*")
+    return loaded(runs, lifted(_span_columns(r.select(F.col("id").alias("run_id"), F.explode("spans").alias("s")))), warn)
+
+
+def _span_columns(s: DataFrame) -> DataFrame:
+    """Contract columns of span structs ``s``."""
     t = F.col("s.llm.tokens")
-    spans = s.select(
+    return s.select(
         "run_id", F.col("s.id").alias("span_id"), F.col("s.parentId").alias("parent_id"), "s.kind", "s.name", "s.status",
         F.col("s.statusReason").alias("status_reason"), iso_ms(F.col("s.startedAt")).alias("start_ms"), F.col("s.startedAt").alias("start_raw"),
         iso_ms(F.col("s.endedAt")).alias("end_ms"), F.col("s.durationMs").cast("bigint").alias("duration_ms"), "s.llm.provider", "s.llm.model",
@@ -87,8 +92,14 @@ def read_trace_json(spark: SparkSession, path: str, multiline: bool = True) -> L
         F.coalesce(F.exists(F.map_values("s.content"), lambda v: v.isNull()), F.lit(False)).alias("content_redacted"),
         plain_keys(F.try_variant_get("s.attributes", "$", "map<string,string>")).alias("attributes"),
         F.col("s.provenance.file").alias("prov_file"), F.col("s.provenance.line").alias("prov_line"), F.col("s.provenance.recordId").alias("prov_record"))
-    warn = r.select(F.col("id").alias("run_id"), F.explode("warnings").alias("w")).select("run_id", "w.*")
-    return loaded(runs, lifted(spans), warn)
+
+
+def read_run_lines(spark: SparkSession, path: str) -> Loaded:
+    """Headers and spans of a folder that ``write_trace_json`` wrote."""
+    head = read_trace_json(spark, path + "/runs", multiline=False)
+    element = spark.createDataFrame([], RUN_JSON).schema["spans"].dataType.elementType.simpleString()
+    s = spark.read.schema(f"run_id STRING, span {element}").json(path + "/spans").select("run_id", F.col("span").alias("s"))
+    return loaded(head.runs, lifted(_span_columns(s)), head.warnings)
 
 
 def read_findings(spark: SparkSession, path: str) -> DataFrame:

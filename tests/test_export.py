@@ -14,7 +14,7 @@ from spanmill.plans import load, views
 from spanmill.sinks import export
 from spanmill.sources import drill
 from spanmill.sources.session_jsonl import read_records
-from spanmill.sources.trace_json import read_trace_json
+from spanmill.sources.trace_json import read_run_lines
 
 
 @pytest.fixture(scope="module")
@@ -71,13 +71,13 @@ def test_sessions_csv(spark, sf, tmp_path):
 
 def test_trace_json_round_trip(spark, tables, tmp_path):
     _, t, _ = tables
-    for cap in (100_000, 3):
-        export.write_trace_json(t.trace.runs, t.trace.spans, t.findings, str(tmp_path / f"j{cap}"), cap)
-    back = read_trace_json(spark, str(tmp_path / "j100000" / "runs"), multiline=False)
+    export.write_trace_json(t.trace.runs, t.trace.spans, t.findings, str(tmp_path / "j"))
+    back = read_run_lines(spark, str(tmp_path / "j"))
+    assert sorted(r["run_id"] for r in back.runs.collect()) == sorted(r["run_id"] for r in t.trace.runs.collect())
     cols = ["run_id", "span_id", "parent_id", "kind", "status", "start_ms", "end_ms", "tok_input", "cost_micro", "tool_name", "output_bytes", "prompt_preview"]
     rows = lambda d: sorted(map(repr, d.select(cols).collect()))
     assert rows(back.spans) == rows(t.trace.spans)
-    assert spark.read.text(str(tmp_path / "j3" / "spans")).count() == t.trace.spans.count()
+    assert spark.read.text(str(tmp_path / "j" / "findings")).count() == t.findings.count()
 
 
 def test_write_tables(spark, tables, tmp_path):
@@ -112,7 +112,7 @@ def test_wording_and_vocabulary(spark, tables, sf):
     t = views.event_trace(spark, sf)
     f = rules.apply_rules(t)
     w = wording.worded(f, t.runs)
-    assert w.filter("title is null or suggestion is null").isEmpty() and w.filter("title like '%failed 3× in a row%'").count() > 0
+    assert w.filter("title is null or suggestion is null").isEmpty() and w.filter("title like '%after each of 3 failures%'").count() > 0
     d = spark.createDataFrame([("activity", "test", None, True), ("activity", "x", None, False), ("toolSub", "status", "git", True), ("toolSub", "status", "npm", False),
                                ("toolsAlso", '["git","git"]', None, False), ("toolFlags", '["timeout"]', None, True), ("hookCount", "-1", None, False), ("other", "x", None, False)],
                               "k string, v string, t string, ok boolean")

@@ -82,6 +82,20 @@ def test_line_numbers_across_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_line_numbers_when_the_splits_change_before_the_action(spark, tmp_path):
+    """Lines and their offsets come from one landed scan, so later settings cannot lose lines."""
+    (tmp_path / "big.jsonl").write_text("\n".join(json.dumps({"i": i, "pad": "x" * 200}) for i in range(1, 2001)))
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "40000")
+        d = common.numbered_lines(spark, str(tmp_path))
+        spark.conf.set(key, "9000")
+        assert d.select("line").distinct().count() == 2000 and d.filter(F.get_json_object("value", "$.i").cast("long") != F.col("line")).isEmpty()
+    finally:
+        spark.conf.set(key, old)
+
+
 def check_store(out, children=True):
     s = by_id(out.spans)
     assert (s["msg_2"]["tok_reasoning"], s["msg_2"]["tok_cache_read"], s["msg_2"]["prompt_preview"], s["msg_2"]["output_preview"]) == (2, 100, "do it", "ok")
@@ -132,6 +146,28 @@ def test_otlp(spark, tmp_path):
     assert (g["g1"]["kind"], g["g1"]["model"]) == ("llm_call", "gpt-5.4")
 
 
+def test_otlp_lines_and_documents_side_by_side(spark, tmp_path):
+    def doc(trace, span):
+        return {"resourceSpans": [{"resource": {"attributes": []}, "scopeSpans": [{"spans": [{"traceId": trace, "spanId": span, "name": "claude_code.llm_request", "startTimeUnixNano": "1767607200000000000", "endTimeUnixNano": "1767607201000000000"}]}]}]}
+    (tmp_path / "lines.jsonl").write_text(json.dumps(doc("t1", "a")) + "\n" + json.dumps(doc("t2", "b")) + "\n{broken\n")
+    (tmp_path / "pretty.json").write_text(json.dumps(doc("t3", "c"), indent=2))
+    (tmp_path / "bad.json").write_text("{\n  \"resourceSpans\": [")
+    out = otlp_src.read_otlp_traces(spark, str(tmp_path))
+    assert {r["span_id"] for r in out.spans.filter("kind = 'llm_call'").collect()} == {"a", "b", "c"}
+    assert sorted(r["file"].rsplit("/", 1)[1] for r in out.warnings.filter("message like '%unreadable%'").collect()) == ["bad.json", "lines.jsonl"]
+
+
+def test_a_run_read_twice_counts_once(spark, session):
+    one = session_jsonl.read_session_jsonl(spark, session[1])
+    from spanmill.plans import load, views
+    once = load.build(spark, load.read_all(spark, [("claude-code", session[1], {})]), views.pricing(spark))
+    twice = load.build(spark, load.read_all(spark, [("claude-code", session[1], {})] * 2), views.pricing(spark))
+    rows = lambda t: sorted(map(repr, t.trace.spans.select("run_id", "span_id", "parent_id", "cost_micro").collect()))
+    assert rows(once) == rows(twice) and len(rows(once)) == one.spans.count()
+    total = lambda t: sorted(tuple(r) for r in t.trace.totals.select("run_id", "cost_micro", "llm_calls").collect())
+    assert total(once) == total(twice)
+
+
 def test_price_list(spark, tmp_path):
     m = lambda **k: {"litellm_provider": "anthropic", "mode": "chat", **k}
     doc = {"claude-a": m(input_cost_per_token=3e-6, output_cost_per_token=1.5e-5, cache_creation_input_token_cost=3.75e-6, cache_creation_input_token_cost_above_1hr=6e-6),
