@@ -6,7 +6,6 @@ into spans, so a store of millions of sessions is a handful of equi-joins.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,68 +56,18 @@ def read_export_json(spark: SparkSession, path: str, ndjson: bool = False) -> tu
     return ses, msg, prt, t.filter("d is null").select(F.lit("unparseable JSON file").alias("message"), "file")
 
 
-def sqlite_source():
-    """A read-only batch data source over database files, one partition per row range of a file."""
-    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-    class Slice(InputPartition):
-        def __init__(self, file: str, lo: int, hi: int) -> None:
-            self.file, self.lo, self.hi = file, lo, hi
-
-    class Reader(DataSourceReader):
-        def __init__(self, options: dict) -> None:
-            self.table, self.files = options["table"], options["files"].split("\n")
-            self.rows = int(options.get("rows_per_partition", "200000"))
-
-        def partitions(self) -> list:
-            import sqlite3
-            out = []
-            for f in self.files:
-                con = sqlite3.connect(f"file:{f}?mode=ro", uri=True)
-                lo, hi = con.execute(f"select min(rowid), max(rowid) from {self.table}").fetchone()
-                con.close()
-                if lo is not None:
-                    out += [Slice(f, x, min(x + self.rows - 1, hi)) for x in range(lo, hi + 1, self.rows)]
-            return out or [Slice("", 0, -1)]
-
-        def read(self, part) -> Iterator[tuple]:
-            import json
-            import sqlite3
-            if not part.file:
-                return
-            con = sqlite3.connect(f"file:{part.file}?mode=ro", uri=True)
-            cur = con.execute(f"select * from {self.table} where rowid between ? and ?", (part.lo, part.hi))
-            names = [d[0] for d in cur.description]
-            for row in cur:
-                yield part.file, json.dumps(dict(zip(names, row)))
-            con.close()
-
-    class Db(DataSource):
-        @classmethod
-        def name(cls) -> str:
-            return "session_db"
-
-        def schema(self) -> str:
-            return "file string, row string"
-
-        def reader(self, schema) -> Reader:
-            return Reader(dict(self.options))
-
-    return Db
-
-
-def read_store_db(spark: SparkSession, files: list[str], rows_per_partition: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The same tables from database files; the ``data`` column is merged with the key columns."""
-    spark.dataSource.register(sqlite_source())
+def read_store_tables(spark: SparkSession, path: str, root: str = "") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The same tables from a store's database: ``session``, ``message`` and ``part`` as Parquet folders under ``path``, with the database's columns.
 
+    Land them with any tool, for instance ``spark.read.jdbc``; ``root`` is the folder whose file store the database belongs to.
+    """
     def table(name: str) -> DataFrame:
-        return (spark.read.format("session_db").option("table", name).option("files", "\n".join(files))
-                .option("rows_per_partition", str(rows_per_partition)).load().select("file", F.parse_json("row").alias("r")))
+        return spark.read.parquet(f"{path}/{name}").select(F.col("_metadata.file_path").alias("file"), F.parse_json(F.to_json(F.struct("*"))).alias("r"))
 
     s = table("session").withColumn("v", F.parse_json(F.to_json(F.struct(
         vstr("r", "$.id").alias("id"), vstr("r", "$.parent_id").alias("parentID"), vstr("r", "$.directory").alias("directory"), vstr("r", "$.title").alias("title"),
         F.struct(vget("r", "$.time_created", "bigint").alias("created"), vget("r", "$.time_updated", "bigint").alias("updated")).alias("time")))))
-    ses = s.select(vstr("r", "$.id").alias("session_id"), "v", "file", F.regexp_replace("file", "/[^/]+$", "").alias("root"))
+    ses = s.select(vstr("r", "$.id").alias("session_id"), "v", "file", F.lit(root).alias("root"))
     m = table("message").select("file", "r", F.try_parse_json(vstr("r", "$.data")).alias("v"))
     msg = m.filter("v is not null").select(vstr("r", "$.session_id").alias("session_id"), vstr("r", "$.id").alias("message_id"), "v", "file")
     p = table("part").select("file", "r", F.try_parse_json(vstr("r", "$.data")).alias("v"))
@@ -129,8 +78,10 @@ def read_store_db(spark: SparkSession, files: list[str], rows_per_partition: int
 
 
 def prefer_db_over_files(files: DataFrame, db: DataFrame) -> DataFrame:
-    """Sessions of a file store that the database of the same root does not hold."""
-    return files.join(db.select("session_id").distinct(), "session_id", "left_anti")
+    """Sessions of a file store that the database of the same root does not hold; a database without a root speaks for all."""
+    own = db.select(F.col("session_id").alias("own_id"), F.col("root").alias("own_root")).distinct()
+    same = (F.col("session_id") == F.col("own_id")) & ((F.col("own_root") == "") | F.startswith("root", F.col("own_root")))
+    return files.join(own, same, "left_anti")
 
 
 def session_roots(ses: DataFrame) -> DataFrame:
@@ -240,16 +191,20 @@ def store_spans(ses: DataFrame, msg: DataFrame, prt: DataFrame, fmt: str, redact
 class StoreSource:
     name = "opencode"
 
-    def read(self, spark: SparkSession, path: str, kind: str = "files", redact: bool = False, db_files: list[str] | None = None) -> Loaded:
-        """``kind`` = files, export or db; with ``db_files`` the file store yields sessions the database lacks."""
-        if kind == "db":
-            return self._emit(read_store_db(spark, db_files or [path]), "opencode-sqlite", redact)
+    def read(self, spark: SparkSession, path: str, kind: str = "files", redact: bool = False, tables: str | None = None) -> Loaded:
+        """``kind`` = files, export or tables (a landed database). With ``tables`` beside files both are read, and of a session that both
+        hold the database's copy is kept."""
+        if kind == "tables":
+            return self._emit(read_store_tables(spark, path), "opencode-sqlite", redact)
         if kind == "export":
             return self._emit(read_export_json(spark, path), "opencode-export", redact)
         ses, msg, prt, bad = read_store_json(spark, path)
-        if db_files:
-            ses = prefer_db_over_files(ses, read_store_db(spark, db_files)[0])
-        return self._emit((ses, msg, prt, bad), "opencode-storage", redact)
+        if not tables:
+            return self._emit((ses, msg, prt, bad), "opencode-storage", redact)
+        db = read_store_tables(spark, tables)
+        a = self._emit((prefer_db_over_files(ses, db[0]), msg, prt, bad), "opencode-storage", redact)
+        b = self._emit(db, "opencode-sqlite", redact)
+        return Loaded(*(getattr(a, f).unionByName(getattr(b, f)) for f in ("runs", "spans", "warnings")))
 
     def _emit(self, tables, fmt: str, redact: bool) -> Loaded:
         ses, msg, prt, bad = tables

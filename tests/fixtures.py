@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import sqlite3
 from pathlib import Path
 
 
@@ -110,21 +109,18 @@ def export_doc(root: Path) -> Path:
     return root
 
 
-def database(path: Path) -> Path:
+def database(spark, path: Path) -> Path:
+    """The store's tables as a database holds them, landed as Parquet."""
     ses, msgs, parts = _store_records()
-    con = sqlite3.connect(path)
-    con.execute("create table session(id text, parent_id text, directory text, title text, time_created integer, time_updated integer)")
-    con.execute("create table message(id text, session_id text, data text)")
-    con.execute("create table part(id text, message_id text, session_id text, data text)")
-    for s in ses:
-        con.execute("insert into session values(?,?,?,?,?,?)", (s["id"], s.get("parentID"), s["directory"], s["title"], s["time"].get("created"), s["time"]["updated"]))
-    for m in msgs:
-        con.execute("insert into message values(?,?,?)", (m["id"], m["sessionID"], json.dumps({k: v for k, v in m.items() if k != "id"})))
-    for p in parts:
-        con.execute("insert into part values(?,?,?,?)", (p["id"], p["messageID"], "ses_1", json.dumps({k: v for k, v in p.items() if k != "id"})))
-    con.execute("insert into part values('bad', 'msg_2', 'ses_1', '{oops')")
-    con.commit()
-    con.close()
+    rest = lambda x: json.dumps({k: v for k, v in x.items() if k != "id"})
+    rows = {
+        "session": ([(s["id"], s.get("parentID"), s["directory"], s["title"], s["time"].get("created"), s["time"]["updated"]) for s in ses],
+                    "id string, parent_id string, directory string, title string, time_created long, time_updated long"),
+        "message": ([(m["id"], m["sessionID"], rest(m)) for m in msgs], "id string, session_id string, data string"),
+        "part": ([(p["id"], p["messageID"], "ses_1", rest(p)) for p in parts] + [("bad", "msg_2", "ses_1", "{oops")], "id string, message_id string, session_id string, data string"),
+    }
+    for name, (data, ddl) in rows.items():
+        spark.createDataFrame(data, ddl).write.parquet(f"{path}/{name}")
     return path
 
 

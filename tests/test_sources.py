@@ -122,12 +122,15 @@ def test_export(spark, tmp_path):
 
 
 def test_database(spark, tmp_path):
-    db = X.database(tmp_path / "s.db")
-    tables = store.read_store_db(spark, [str(db)], rows_per_partition=2)
-    w = check_store(store.StoreSource()._emit(tables, "opencode-sqlite", False))
+    db = str(X.database(spark, tmp_path / "db"))
+    w = check_store(store.StoreSource().read(spark, db, kind="tables"))
     assert any("unparseable part row bad" in m for m in w)
-    ses = store.read_store_json(spark, str(X.file_store(tmp_path / "fs")))[0]
-    assert store.prefer_db_over_files(ses, tables[0]).isEmpty()
+    files = str(X.file_store(tmp_path / "fs"))
+    ses, held = store.read_store_json(spark, files)[0], store.read_store_tables(spark, db)[0]
+    assert store.prefer_db_over_files(ses, held).isEmpty()
+    assert store.prefer_db_over_files(ses, held.withColumn("root", F.lit("/elsewhere"))).count() == ses.count()
+    both = store.StoreSource().read(spark, files, tables=db)
+    assert [r["format"] for r in both.runs.collect()] == ["opencode-sqlite"]
 
 
 def test_otlp(spark, tmp_path):
