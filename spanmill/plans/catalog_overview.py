@@ -428,6 +428,12 @@ def k3(spark, sf):
     return day_model_pivot(facts(spark, sf)).select("day", "cost_micro", "wasted_micro", "runs", F.col("`claude-opus-4.5`").alias("opus"), F.col("`gpt-5.4-mini`").alias("mini"))
 
 
+@register("k3b_day_model_costs", vf("select f.day, b.model, sum(b.cost)::bigint as cost_micro from facts f join bymodel b using (run_id) group by 1, 2 having sum(b.cost) is not null"))
+def k3b(spark, sf):
+    from ..sinks.export import day_model_costs
+    return day_model_costs(facts(spark, sf))
+
+
 @register("u4_hook_summary", v1("""select run_id, parent_id as span_id, count(*) as hook_count, case when count(tool_id) = count(*) and min(tool_id) = max(tool_id) and min(activity) = max(activity)
    or count(*) = 1 then min(tool_id) end as tool_id from ft where name = 'Bash' group by 1, 2"""))
 def u4(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import diff as D
 from ..operators import triage as E
 from ..operators.tree import subtree_rollup
+from ..skew import global_row_number
 from .catalog import register
 from .catalog_rules import OCC, findings, trace, vr
 from .oracle import v1, v2
@@ -105,12 +106,14 @@ def e5(spark, sf):
     return E.triage_run(trace(spark, sf), occurrences(spark, sf), clusters(spark, sf)).select("run_id", "error_label")
 
 
-# pairs: each even order against the next order key
+# pairs by rank of the order key: first with second, third with fourth, so every order takes part
 def pairs(spark, sf):
-    r = line_trace(spark, sf).runs.select(F.substring("run_id", 2, 20).cast("bigint").alias("n"))
-    a, b = r.filter("n % 2 = 0"), r.filter("n % 2 = 1").select((F.col("n") - 1).alias("n"))
-    return a.join(b, "n").select(F.col("n").alias("pair_id"), F.concat(F.lit("o"), F.col("n")).alias("a_run"),
-                                 F.concat(F.lit("o"), F.col("n") + 1).alias("b_run"))
+    def make():
+        r = line_trace(spark, sf).runs.select(F.substring("run_id", 2, 20).cast("bigint").alias("n"))
+        p = global_row_number(r, ["n"], "rn").withColumn("pair", F.floor((F.col("rn") - 1) / 2))
+        p = p.groupBy("pair").agg(F.min("n").alias("a"), F.max("n").alias("b")).filter("a < b")
+        return p.select(F.col("a").alias("pair_id"), F.concat(F.lit("o"), "a").alias("a_run"), F.concat(F.lit("o"), "b").alias("b_run"))
+    return line_trace(spark, sf).once("pairs", make)
 
 
 def aligned(spark, sf):
@@ -122,8 +125,9 @@ DIFF = """ks as (select *, row_number() over (partition by run_id, parent_id, ki
   pk as (select c.run_id, c.span_id, string_agg(a.kind || '/' || a.name || '/' || a.kk, '>' order by c.dist desc) as pkey from lself c join ks a on a.run_id = c.run_id and a.span_id = c.ancestor_id group by 1, 2),
   bounds as (select run_id, min(start_ms) as t0 from ls group by 1), dp as (select l.run_id, count(t.ancestor_id) as depth, l.span_id from ls l left join ltree t using (run_id, span_id) group by all),
   full_ as (select l.*, p.pkey, l.start_ms - b.t0 as offset_ms, coalesce(l.cost, 0) as c, coalesce(l.tot, 0) as tk, d.depth from ls l join pk p using (run_id, span_id) join bounds b using (run_id) join dp d using (run_id, span_id)),
-  pr as (select a.order_key as pair_id from (select distinct order_key from ls) a join (select distinct order_key from ls) b on b.order_key = a.order_key + 1 where a.order_key % 2 = 0),
-  fa as (select pair_id, f.* from pr join full_ f on f.order_key = pair_id), fb as (select pair_id, f.* from pr join full_ f on f.order_key = pair_id + 1),
+  pr as (select order_key as pair_id, next_key as b_key from (select order_key, lead(order_key) over (order by order_key) as next_key, row_number() over (order by order_key) as rn
+    from (select distinct order_key from ls)) where rn % 2 = 1 and next_key is not null),
+  fa as (select pair_id, f.* from pr join full_ f on f.order_key = pair_id), fb as (select pair_id, f.* from pr join full_ f on f.order_key = b_key),
   al as (select coalesce(fa.pair_id, fb.pair_id) as pair_id, case when fb.span_id is null then 'removed' when fa.span_id is null then 'added' else 'matched' end as side,
     fa.span_id as a_id, fb.span_id as b_id, fa.kind as a_kind, fb.kind as b_kind, fa.name as a_name, fb.name as b_name, fa.c as a_c, fb.c as b_c, fa.tk as a_tk, fb.tk as b_tk,
     fa.duration_ms as a_d, fb.duration_ms as b_d, fa.status as a_s, fb.status as b_s, fa.offset_ms as a_o, fb.offset_ms as b_o, fa.depth as a_dep, fb.depth as b_dep
@@ -132,7 +136,7 @@ DIFF = """ks as (select *, row_number() over (partition by run_id, parent_id, ki
 
 @register("df1_diff_header", v2("""select pair_id, metric, a, b, b - a as delta, case when a <> 0 then (b - a) / a end as pct from (
   select pair_id, unnest(['cost_micro', 'tok_total', 'llm_calls', 'duration_ms']) as metric, unnest([x.c, x.tk, x.n, x.d]) as a, unnest([y.c, y.tk, y.n, y.d]) as b
-  from pr join h x on x.order_key = pair_id join h y on y.order_key = pair_id + 1)""",
+  from pr join h x on x.order_key = pair_id join h y on y.order_key = b_key)""",
     DIFF + """, h as (select order_key, coalesce(sum(cost), 0)::bigint as c, coalesce(sum(tot), 0)::bigint as tk, count(cost) as n, max(end_ms) - min(start_ms) as d from ls group by 1)"""))
 def df1(spark, sf):
     t = line_trace(spark, sf)
