@@ -25,5 +25,5 @@ def register(name: str, sql: str | None = None):
 
 
 def load() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
-    from . import catalog_overview, catalog_privacy, catalog_rules, catalog_tree, catalog_triage  # noqa: F401
+    from . import catalog_overview, catalog_privacy, catalog_rules, catalog_sources, catalog_tree, catalog_triage  # noqa: F401
     return QUERIES

@@ -1,0 +1,63 @@
+"""Reader queries: log lines are written from the events table into the shared folder, read back and compared with the table."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import scratch
+from ..sources.otlp import OtlpSource
+from ..sources.session_jsonl import dedupe_records, read_records
+from .catalog import register
+
+
+def _written(spark: SparkSession, sf: str, *lines: Column) -> str:
+    """The events as JSON lines; returns the folder."""
+    path = scratch(spark, "logs")
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("at", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    e.select(F.explode(F.array(*lines)).alias("value")).write.text(path)
+    return path
+
+
+def _record(uuid: Column, kind: str) -> Column:
+    return F.to_json(F.struct(F.lit(kind).alias("type"), uuid.alias("uuid"), F.col("at").alias("timestamp")))
+
+
+@register("s1_read_records", """select 'u' || event_id as uuid, 'user' as type, epoch_ms(date_trunc('milliseconds', ts)) as ms from events
+  union all select 'a' || event_id, 'assistant', epoch_ms(date_trunc('milliseconds', ts)) from events""")
+def s1(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line of a folder of transcripts, once; lines in a file are numbered without gaps (checked here)."""
+    u, a = F.concat(F.lit("u"), "event_id"), F.concat(F.lit("a"), "event_id")
+    rec, _ = read_records(spark, _written(spark, sf, _record(u, "user"), _record(a, "assistant")), glob="*.txt")
+    last = rec.groupBy("file").agg((F.max("line") == F.count("*")).alias("gapless"))
+    return rec.join(last.filter("gapless"), "file").select("uuid", "type", "ms")
+
+
+@register("s2_dedupe_records", "select 'u' || event_id as uuid, epoch_ms(date_trunc('milliseconds', ts)) as ms from events")
+def s2(spark: SparkSession, sf: str) -> DataFrame:
+    """A record written twice in a transcript counts once."""
+    u = F.concat(F.lit("u"), "event_id")
+    rec, _ = read_records(spark, _written(spark, sf, _record(u, "user"), _record(u, "user")), glob="*.txt")
+    return dedupe_records(rec).select("uuid", "ms")
+
+
+def _otlp(span: Column, start: Column) -> Column:
+    one = F.struct(F.lit("t").alias("traceId"), span.alias("spanId"), F.lit("claude_code.llm_request").alias("name"), start.alias("startTimeUnixNano"), start.alias("endTimeUnixNano"),
+                   F.array(F.struct(F.lit("session.id").alias("key"), F.struct(F.col("user_id").cast("string").alias("stringValue")).alias("value"))).alias("attributes"))
+    return F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(one).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans")))
+
+
+@register("s21_otlp_spans", "select event_id::varchar as span_id, 'llm_call' as kind, epoch_ms(date_trunc('milliseconds', ts)) as start_ms from events")
+def s21(spark: SparkSession, sf: str) -> DataFrame:
+    """Newline-delimited OTLP documents, found to be such by the reader itself."""
+    nano = F.concat(F.unix_millis(F.col("ts").cast("timestamp")).cast("string"), F.lit("000000"))
+    path = _written(spark, sf, _otlp(F.col("event_id").cast("string"), nano))
+    return OtlpSource().read(spark, path).spans.filter("kind = 'llm_call'").select("span_id", "kind", "start_ms")
+
+
+@register("s31_quarantine", """select 'unparseable JSONL line' as message, count(*) as n from events""")
+def s31(spark: SparkSession, sf: str) -> DataFrame:
+    """Broken lines become warnings, one each."""
+    bad = F.concat(F.lit('{"type": "user", "uuid": '), F.col("event_id").cast("string"))
+    _, warnings = read_records(spark, _written(spark, sf, _record(F.col("event_id").cast("string"), "user"), bad), glob="*.txt")
+    return warnings.groupBy("message").agg(F.count("*").alias("n"))

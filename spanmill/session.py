@@ -42,10 +42,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str = "landed") -> str:
+    """A new path in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def land(df: DataFrame) -> DataFrame:
     """Write a columnar table into the shared folder and read it back (pruning and statistics intact)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    base = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{base}/landed-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -23,9 +23,9 @@ MATCHER_EVENTS = ["PreToolUse", "PostToolUse", "PostToolUseFailure", "Permission
 EVENT_RE, MATCHER_RE = r"^[A-Za-z][A-Za-z0-9]*$", r"^[A-Za-z0-9_-]{1,64}(?::[A-Za-z0-9_-]{1,64}){0,2}$"
 
 
-def read_records(spark: SparkSession, path: str, modified_after: str | None = None) -> tuple[DataFrame, DataFrame]:
+def read_records(spark: SparkSession, path: str, modified_after: str | None = None, glob: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
     """(records, warnings): parsed objects with file, line, session file and agent id; bad lines apart."""
-    t = numbered_lines(spark, path, "*.jsonl", modified_after).filter(F.trim("value") != "")
+    t = numbered_lines(spark, path, glob, modified_after).filter(F.trim("value") != "")
     t = t.filter(~F.col("file").endswith("/journal.jsonl")).withColumn("v", F.try_parse_json("value"))
     agent = F.regexp_extract("file", AGENT_FILE, 3)
     session = F.when(agent != "", F.concat(F.regexp_extract("file", AGENT_FILE, 1), F.lit("/"), F.regexp_extract("file", AGENT_FILE, 2),
