@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from ..session import land
 from .common import chunks, keyed
 
-LIMIT, GRAIN, GAP, END_ID, CACHE = 1024, 4, 1e-3, 0, 300_000
+LIMIT, GRAIN, GAP, END_ID, CACHE = 1024, 4, 1e-3, 0, 400_000
 CHUNK_ROWS = 200_000
 ROUNDS = 1500  # pivots at most; what is left to gain then is below the last bound
 PIECES = "k1 long, k2 long, doc {id}, start long, length long, crc long, tokens long"
@@ -42,8 +44,8 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Ids of texts. Pre-tokens never cross a space with a non-space beside it, so units cut there are encoded once and kept
-    (at most ``CACHE`` of them); other texts are encoded whole."""
+    """Ids of texts. Pre-tokens never cross a space with a non-space beside it, so units cut there are encoded once and the first
+    ``CACHE`` of them kept for the life of the worker; other texts are encoded whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,36 +53,33 @@ class Encoder:
         self.kept: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        units: list[list[str] | None] = []
-        missing: dict[str, None] = {}
-        kept = self.kept
-        if len(kept) > CACHE:
-            kept.clear()
-        for t in texts:
-            if _JOINED.search(t):
-                units.append(None)
-                continue
-            # the space goes to the front of the unit that follows it
-            u = t.replace(" ", "\0 ").split("\0") if "\0" not in t else None
-            units.append(u)
-            for x in u or ():
-                if x not in kept:
-                    missing[x] = None
-        new = list(missing)
-        kept.update(zip(new, self._ids(new)))
-        return [np.frombuffer(self._ids([t])[0] if u is None else b"".join(map(kept.__getitem__, u)), "<u4") for t, u in zip(texts, units)]
+        # the space goes to the front of the unit that follows it
+        units = [None if _JOINED.search(t) or "\0" in t else t.replace(" ", "\0 ").split("\0") for t in texts]
+        new = list({x for u in units if u for x in u}.difference(self.kept))
+        ids = dict(zip(new, self._ids(new)))
+        if len(self.kept) < CACHE:
+            self.kept.update(ids)
+            get = self.kept.__getitem__
+        else:
+            kept = self.kept
+            get = lambda x: ids[x] if x in ids else kept[x]
+        return [np.frombuffer(self._ids([t])[0] if u is None else b"".join(map(get, u)), "<u4") for t, u in zip(texts, units)]
+
+
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def pieces_task(path: str | None, limit: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        enc = None
+        enc = encoder(path or default_vocabulary())
         for part, texts in chunks(batches):
-            enc = enc or Encoder(path or default_vocabulary())
             row, start, length, crc, tokens = [], [], [], [], []
             for i, ids in enumerate(enc.encode([t.decode() for t in texts])):
                 ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
