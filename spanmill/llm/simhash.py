@@ -184,7 +184,7 @@ def links(fps: DataFrame, t: int = BITS_APART, block: int = BLOCK) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = SHINGLE, t: int = BITS_APART) -> DataFrame:
-    """k1, k2, doc, fp (long), component (smallest id reachable): one row per document."""
+    """k1, k2, doc, fp (long), root (fingerprint that names the component), component (smallest id in it): one row per document."""
     d = keyed(docs, text, id)
     ddl = f"k1 long, k2 long, doc {d.schema['doc'].dataType.simpleString()}, fp long"
     f = land(d.mapInArrow(fingerprints_task(shingle, _arrow(ddl)), ddl))
@@ -192,14 +192,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", shi
     roots = components(links(ids.select("fp"), t))
     r = land(ids.join(roots, ids["fp"] == roots["a"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = land(r.groupBy("root").agg(F.min("first").alias("component")))
-    return f.join(land(r.join(least, "root").select("fp", "component")), "fp")
+    return f.join(land(r.join(least, "root").select("fp", "root", "component")), "fp")
 
 
 def keep_one(docs: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = SHINGLE, t: int = BITS_APART) -> DataFrame:
     """The rows of ``docs`` that stay: one per component, the one with the smallest id (of equal rows, one)."""
-    n = near_duplicates(docs, text, id, shingle, t)
+    return keep_first(docs, near_duplicates(docs, text, id, shingle, t), text, id)
+
+
+def keep_first(docs: DataFrame, n: DataFrame, text: str, id: str) -> DataFrame:
+    """One row of ``docs`` per root; ``n`` has k1, k2, doc, root of every document."""
     rank = F.struct(F.col("doc").isNull().alias("none"), "doc", "k1", "k2")
-    best = n.groupBy("component").agg(F.min(rank).alias("best")).select("best.k1", "best.k2").distinct()
+    best = n.groupBy("root").agg(F.min(rank).alias("best")).select("best.k1", "best.k2").distinct()
     j = packed(docs, text, id).select("row", *row_keys()).join(land(best), ["k1", "k2"])
     first = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1"))
     return j.withColumn("copy", first).filter("copy = 1").select("row.*")

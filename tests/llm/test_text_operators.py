@@ -155,6 +155,14 @@ def test_simhash(docs, none, texts):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_goes_by_text_not_by_id(spark):
+    r = random.Random(9)
+    other = [" ".join(f"w{r.randrange(10**6)}" for _ in range(80)) for _ in range(5)]
+    rows = [(None, other[0]), (None, other[1]), (None, other[2]), (None, other[2]), (7, other[3]), (7, other[4]), (8, other[4])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["text"] for r in kept)) == sorted(other) and sorted(r["doc_id"] for r in kept if r["doc_id"]) == [7, 7]
+
+
 @pytest.mark.parametrize("block", [4096, 7])
 def test_pigeonring_finds_every_link(spark, block):
     r = random.Random(block)
