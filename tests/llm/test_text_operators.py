@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanmill.llm import components as cc
-from spanmill.llm import decontamination, line_dedup, packing, secrets, sharding, simhash, substring_dedup
+from spanmill.llm import decontamination, line_dedup, near_copies, packing, secrets, sharding, simhash, substring_dedup
 
 CLASH = "doc_id long, text string, row string, k1 string, doc int, h1 int, size int, kept int, body string, n_chars long"
 
@@ -163,6 +163,59 @@ def test_keep_one_goes_by_text_not_by_id(spark):
     assert sorted((r["text"] for r in kept)) == sorted(other) and sorted(r["doc_id"] for r in kept if r["doc_id"]) == [7, 7]
 
 
+def five_words(t: str | None) -> frozenset:
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub(r"[A-Z]", lambda m: m[0].lower(), t or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+
+def slow_groups(rows: list[tuple[int, str | None]]) -> list[list[int]]:
+    sets = {i: five_words(t) for i, t in rows}
+    root = slow_components(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    return sorted(sorted(v) for v in _invert(root).values())
+
+
+def planted_copies() -> tuple[list[tuple[int, str]], set[int]]:
+    """60 texts with copies that differ in a few words, so that similarities lie on both sides of 0.8; and the ids of the originals."""
+    r, rows = random.Random(5), []
+    for k in range(60):
+        base = [f"w{r.randrange(10**6)}" for _ in range(r.randint(60, 400))]
+        rows.append((k * 10, " ".join(base)))
+        for c in range(1, 5):
+            w = list(base)
+            for at in r.sample(range(len(w)), round(len(w) * r.uniform(0.002, 0.03)) or 1):
+                w[at] = f"w{r.randrange(10**6)}"
+            rows.append((k * 10 + c, " ".join(w)))
+    return rows, {k * 10 for k in range(60)}
+
+
+@pytest.mark.parametrize("block", [near_copies.BLOCK, 2])
+def test_near_copies_by_similarity(spark, block):
+    rows, originals = planted_copies()
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_copies.near_copies(d, block=block).select("root", "doc").collect()
+    groups = sorted(sorted(v) for v in _invert({r["doc"]: bytes(r["root"]) for r in got}).values())
+    want = slow_groups(rows)
+    assert 60 < len(want) < 200 and groups == want
+    if block > 2:
+        assert originals <= {g[0] for g in want} and sorted(r["doc_id"] for r in near_copies.keep_one(d).collect()) == sorted(g[0] for g in want)
+        assert len(want) < simhash.keep_one(d).count()
+
+
+def test_near_copies_cases(spark, docs, none, texts):
+    numbered = list(enumerate(t for _, t in texts))
+    got = near_copies.near_copies(spark.createDataFrame(numbered, "doc_id long, text string")).collect()
+    assert sorted(sorted(v) for v in _invert({r["doc"]: bytes(r["root"]) for r in got}).values()) == slow_groups(numbered)
+    assert near_copies.keep_one(docs).columns == docs.columns and near_copies.keep_one(none).count() == 0
+    assert near_copies.keep_one(docs).count() == len(slow_groups(numbered))
+
+
+def test_pipeline_stage_drops_edited_copies(spark, sf):
+    import corpus_pipeline
+    rows, _ = planted_copies()
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_near_duplicates(spark, d, sf).collect()) == [g[0] for g in slow_groups(rows)]
+
+
 @pytest.mark.parametrize("block", [4096, 7])
 def test_pigeonring_finds_every_link(spark, block):
     r = random.Random(block)
