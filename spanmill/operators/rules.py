@@ -122,7 +122,7 @@ RULES = [
     ("scattered-tool-failures", "waste", "Scattered tool failures"),
     ("oversized-output", "opportunity", "Oversized tool output"),
 ]
-EVIDENCE_ARRAY = 10_000  # longer retry clusters keep first and last in the array, all of them in evidence_rows
+EVIDENCE_ARRAY = 10_000  # rows of longer retry clusters are read from the clusters instead of the array; the result is the same
 RULE_ORDER = {r: i for i, (r, _, _) in enumerate(RULES)}
 
 
@@ -229,11 +229,10 @@ def retry_loop(t: Trace) -> DataFrame:
     cl = retry_clusters(t)
     billed = claimed_calls(t).groupBy("run_id", "first_id").agg(F.sum("cost_micro").alias("w"))
     last = cl.filter("span_id = last_id").select("run_id", "first_id", error_snippet("output_preview").alias("last_error"))
-    ev = _ordered_ids(cl.filter(F.col("n") <= EVIDENCE_ARRAY), ["run_id", "first_id"])
-    h = (cl.filter("span_id = first_id").join(ev, ["run_id", "first_id"], "left").join(billed, ["run_id", "first_id"], "left")
+    ev = _ordered_ids(cl, ["run_id", "first_id"])
+    h = (cl.filter("span_id = first_id").join(ev, ["run_id", "first_id"]).join(billed, ["run_id", "first_id"], "left")
          .join(last, ["run_id", "first_id"], "left"))
-    ids = F.coalesce("ids", F.array("first_id", "last_id"))
-    return _finding(h, "retry-loop", ids, F.col("start_ms"), F.col("first_id"), nz("w"),
+    return _finding(h, "retry-loop", F.col("ids"), F.col("start_ms"), F.col("first_id"), nz("w"),
                     name=F.col("name"), failures=F.col("n"), kind=F.col("kind"), mcp_server=F.col("mcp_server"),
                     last_error=F.col("last_error"), scope=F.col("scope_id"), target=F.col("target"))
 
@@ -549,7 +548,7 @@ def apply_rules(t: Trace, rules=None) -> DataFrame:
 
 
 def evidence_rows(t: Trace, findings: DataFrame) -> DataFrame:
-    """(run, finding, span, pos) for every evidence span, also of clusters too long for an array."""
+    """(run, finding, span, pos) for every evidence span; the array of a finding holds the same ids."""
     long = (F.col("rule") == "retry-loop") & (F.coalesce(F.col("facts")["failures"].try_cast("bigint"), F.lit(0)) > EVIDENCE_ARRAY)
     short = findings.filter(~long).select("run_id", "finding_id", "rule", F.posexplode("evidence").alias("pos", "span_id"))
     o = scan(retry_clusters(t).filter(F.col("n") > EVIDENCE_ARRAY), ["run_id", "first_id"], ["start_ms", "span_id"],

@@ -105,3 +105,16 @@ def test_evidence_beyond_the_array(traces, monkeypatch):
     assert rows(rules.evidence_rows(p, f2).select("run_id", "finding_id", "span_id", "pos")) == whole
 
 
+def test_evidence_array_is_whole_at_every_size(traces, monkeypatch, tmp_path, spark):
+    from spanmill.sinks import export
+    p, _ = traces
+    cols = ["run_id", "finding_id", "evidence"]
+    f = rules.apply_rules(p)
+    whole = rows(f.select(cols))
+    assert f.filter("rule = 'retry-loop' and size(evidence) > 2").count() > 0
+    monkeypatch.setattr(rules, "EVIDENCE_ARRAY", 2)
+    f2 = rules.apply_rules(p)
+    assert rows(f2.select(cols)) == whole
+    export.write_trace_json(p.runs, p.spans, f2, str(tmp_path / "j"))
+    back = spark.read.schema("run_id string, insight struct<id:string,spanIds:array<string>>").json(str(tmp_path / "j" / "findings"))
+    assert rows(back.select("run_id", "insight.id", "insight.spanIds")) == whole
