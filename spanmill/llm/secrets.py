@@ -31,7 +31,10 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 KINDS = ("assign", "access", "hex", "guess")
 HINTS = ("pass", "pwd", "secret", "token", "api", "credential", "login", "pin")
 
-CONTEXT = re.compile(r"(?i:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_ -]?key|credentials?|login|pin))\b[\"'`]?\s{0,4}(?:is|was|=>|->|:=|[:=])\s{0,4}[\"'`]?([^\s\"'`<>]{6,})")
+# a key word anywhere in an identifier (db_password, secretKey, MYSQL_PWD); the short ones only at the end of a part (dbpass, PIN_CODE, not passenger)
+KEY = re.compile(r"(?i:pass(?:word|wd|phrase|code|key)|pwd|secret|token|api[_ -]?key|credential|login)|(?i:pass|pin)(?![A-Za-z])|(?:[Pp]ass|[Pp]in)(?=[A-Z])")
+CONTEXT = re.compile(r"([A-Za-z0-9_-]*+)[\"'`]?\s*+(?:is|was|=>|->|:=|[:=])\s*+[\"'`]?([^\s\"'`<>]{6,})")
+IDENTIFIER = re.compile(r"[A-Za-z0-9_-]*+")
 MIN_COST, LONGEST, SURE = 10.0, 24, 256
 
 # fixed values: frequent password words, most frequent first
@@ -133,13 +136,22 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], min_cost: float = M
     if not any(h in low for h in HINTS):
         return []
     out = []
-    for m in CONTEXT.finditer(text):
-        value = m.group(1).rstrip(".,;:!?)]}")
-        start, end = m.start(1), m.start(1) + len(value)
-        if len(value) < 6 or any(s <= start and end <= e for s, _, e in base):
+    run = used = 0  # ends of the last identifier looked at and of the last value found
+    for key in KEY.finditer(text):
+        if key.end() <= run:
+            continue
+        m = CONTEXT.match(text, key.end())
+        if m is None:
+            run = IDENTIFIER.match(text, key.end()).end()
+            continue
+        run = m.end(1)
+        value = m.group(2).rstrip(".,;:!?)]}")
+        start, end = m.start(2), m.start(2) + len(value)
+        if len(value) < 6 or start < used or any(s <= start and end <= e for s, _, e in base):
             continue
         if guess_cost(value) >= min_cost:
             out.append((start, 3, end))
+            used = end
     return out
 
 

@@ -270,6 +270,20 @@ def test_secrets(docs, none, spark):
     assert secrets.scan_secrets(docs).count() == docs.count() and secrets.scan_secrets(none).count() == 0
 
 
+@pytest.mark.parametrize("key", ["DB_PASSWORD=", "user_password:", "client_secret = ", "secret_key=", "access_token: ", "dbPassword=", "MYSQL_PWD=", "secretKey: ", "dbpass=", "token2:",
+                                 "api-key-prod => ", "passKey=", "password          =        ", "db_password=\"", "the api key is ", "x-credentials: "])
+def test_secret_contexts_inside_identifiers(key):
+    value = "Xk9$pQ!z7#Lm"
+    t = f"a {key}{value}"
+    at = t.index(value)
+    assert secrets.guess_spans(t, secrets.base_spans(t)) == [(at, 3, at + len(value))]
+
+
+def test_secret_contexts_that_are_none():
+    assert all(not secrets.guess_spans(t, []) for t in ("passenger: Xk9$pQ!z7#Lm", "pinned = Xk9$pQ!z7#Lm", "password Xk9$pQ!z7#Lm", "password_hint_is here"))
+    assert secrets.guess_spans("pwd" * 200_000 + " " * 200_000, []) == []
+
+
 def test_guess_cost_is_the_minimum_over_segmentations():
     def slow(v):
         per = secrets.math.log10(secrets._alphabet(v))
