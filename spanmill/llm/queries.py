@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, html_text, line_dedup, packing, secrets, sharding, simhash, substring_dedup, toxicity
+from . import ann, decontamination, html_text, lexical, line_dedup, packing, secrets, sharding, simhash, substring_dedup, toxicity
 from .common import documents
 
 
@@ -60,6 +60,10 @@ def op10_column_generation_packing(spark: SparkSession, sf_dir: str) -> DataFram
     return p.select(F.col("doc").alias("doc_id"), "start", "length", F.col("crc").alias("ids_crc32"), F.col("tokens").alias("doc_tokens"), "sequence_id", "offset")
 
 
+def op11_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
 QUERIES = {
     "op1_collision_counting_ann": (op1_collision_counting_ann, None),
     "op2_sampled_splitter_shards": (op2_sampled_splitter_shards, None),
@@ -71,4 +75,5 @@ QUERIES = {
     "op8_substring_dedup": (op8_substring_dedup, substring_dedup.SQL),
     "op9_line_dedup": (op9_line_dedup, line_dedup.SQL),
     "op10_column_generation_packing": (op10_column_generation_packing, None),
+    "op11_block_max_search": (op11_block_max_search, lexical.SQL),
 }
