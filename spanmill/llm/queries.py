@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, html_text, lexical, line_dedup, packing, secrets, sharding, simhash, substring_dedup, toxicity
+from . import ann, decontamination, html_text, lexical, line_dedup, packing, quality, secrets, sharding, simhash, substring_dedup, toxicity
 from .common import documents
 
 
@@ -64,6 +64,12 @@ def op11_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
 
 
+def op13_target_ratio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents(spark, sf_dir)
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
+    return quality.judge(d, quality.train(d, trusted)).withColumnRenamed("doc", "doc_id")
+
+
 QUERIES = {
     "op1_collision_counting_ann": (op1_collision_counting_ann, None),
     "op2_sampled_splitter_shards": (op2_sampled_splitter_shards, None),
@@ -76,4 +82,5 @@ QUERIES = {
     "op9_line_dedup": (op9_line_dedup, line_dedup.SQL),
     "op10_column_generation_packing": (op10_column_generation_packing, None),
     "op11_block_max_search": (op11_block_max_search, lexical.SQL),
+    "op13_target_ratio_quality": (op13_target_ratio_quality, quality.SQL),
 }
