@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, html_text, lexical, line_dedup, packing, quality, secrets, sharding, simhash, substring_dedup, toxicity
+from . import ann, decontamination, html_text, lexical, line_dedup, packing, quality, secrets, sharding, simhash, spelling, substring_dedup, toxicity
 from .common import documents
 
 
@@ -64,6 +64,10 @@ def op11_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
 
 
+def op12_partenum_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.groups(spelling.vocabulary(documents(spark, sf_dir), min_len=6, min_count=5, drop_every=199), ratio=5)
+
+
 def op13_target_ratio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
@@ -82,5 +86,6 @@ QUERIES = {
     "op9_line_dedup": (op9_line_dedup, line_dedup.SQL),
     "op10_column_generation_packing": (op10_column_generation_packing, None),
     "op11_block_max_search": (op11_block_max_search, lexical.SQL),
+    "op12_partenum_spelling": (op12_partenum_spelling, None),
     "op13_target_ratio_quality": (op13_target_ratio_quality, quality.SQL),
 }
