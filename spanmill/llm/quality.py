@@ -3,12 +3,13 @@
 1. N-grams are words and pairs of neighbouring words, unchanged. A word's hash is the polynomial of its code points over ``BASE`` modulo
    ``PRIME``; a pair's hash joins the two; the bucket is the hash modulo ``buckets``.
 2. Two multinomials over the buckets are counted over all documents: the trusted ones (``trusted`` holds their ids) and the raw corpus.
-   The number of buckets grows with the corpus: the power of two at or above 8 sqrt(bytes of text), between ``LEAST`` and ``MOST``. MOST bounds
-   what is broadcast (4 bytes a bucket, 16 MB); it is reached at about 0.3 TB, from where on buckets are shared by more n-grams.
+   The number of buckets grows with the corpus: the power of two at or above sqrt(bytes of text), between ``LEAST`` and ``MOST``. MOST bounds
+   what is broadcast (4 bytes a bucket, 16 MB); it is reached at about 18 TB, from where on buckets are shared by more n-grams.
+   Only trusted texts are shuffled, to meet their ids: a broadcast of at most ``SIEVE`` hashed ids (8 MB) keeps most others out before.
 3. A bucket's weight is floor(10^6 ln((t + PRIOR) / (e + PRIOR))): t its trusted count, e = r T / R the count that the raw corpus would
    give in as many n-grams. PRIOR smooths both alike, so n-grams too rare to tell weigh about nothing.
 4. A document's score is the sum of its n-grams' weights div their number, in integers, so it does not depend on order or partitions.
-   The verdict is score >= ``threshold`` for every document (default: n-grams on average 7 % less likely in trusted texts).
+   The verdict is score >= ``threshold`` for every document (default: n-grams on average 9 % less likely in trusted texts).
 
 Cases: a null text has no words, and a document without words fails; repeated rows count as often as they occur and get equal results;
 repeated or null ids in ``trusted`` count once or not at all; a document with a null id is never trusted; without trusted
@@ -31,12 +32,12 @@ from .substring_dedup import _arrow, _column
 from .tokens import SPACED, SPACES, Words
 
 PRIME, BASE, JOIN = (1 << 31) - 1, 1_000_003, 69_069  # 2^31 - 1 and two odd multipliers below it (arbitrary)
-LEAST, MOST, PRIOR, THRESHOLD = 1 << 10, 1 << 22, 10, -75_000
+LEAST, MOST, SIEVE, PRIOR, THRESHOLD = 1 << 16, 1 << 22, 1 << 20, 10, -90_000
 MIN_WORDS, MAX_REPEAT = 50, 50
 SYMBOLS = "#*$%&|<>"
 FLUSH = 1 << 31
 LONG = 2048
-COUNTS = "bucket int, raw long, trusted long"
+COUNTS = "bucket int, n long"
 SCORES = "doc {id}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score long"
 
 _pow = np.ones(LONG + 1, np.int64)
@@ -87,23 +88,21 @@ class Grams:
 
 def count_task(buckets: int, schema: pa.Schema):
     """Counts of the task's n-grams per bucket; a bucket has a row for each task that holds it."""
-    def rows(raw: np.ndarray, trusted: np.ndarray) -> pa.RecordBatch:
-        b = np.flatnonzero(raw)
-        return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(raw[b], pa.int64()), pa.array(trusted[b], pa.int64())], schema=schema)
+    def rows(counts: np.ndarray) -> pa.RecordBatch:
+        b = np.flatnonzero(counts)
+        return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(counts[b], pa.int64())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, trusted, held = np.zeros(buckets, np.uint32), np.zeros(buckets, np.uint32), 0
-        for part, texts in chunks(batches):
-            g = Grams(texts, buckets)
-            good = _column(part, "good").to_numpy(zero_copy_only=False).astype(bool)
-            if held + len(g.bucket) >= FLUSH:
-                yield rows(raw, trusted)
-                raw[:], trusted[:], held = 0, 0, 0
-            held += len(g.bucket)
-            for to, some in ((raw, g.bucket), (trusted, g.bucket[good[g.gram_text]])):
-                at, n = np.unique(some, return_counts=True)
-                to[at] += n.astype(np.uint32)
-        yield rows(raw, trusted)
+        counts, held = np.zeros(buckets, np.uint32), 0
+        for _, texts in chunks(batches):
+            some = Grams(texts, buckets).bucket
+            if held + len(some) >= FLUSH:
+                yield rows(counts)
+                counts[:], held = 0, 0
+            held += len(some)
+            at, n = np.unique(some, return_counts=True)
+            counts[at] += n.astype(np.uint32)
+        yield rows(counts)
     return run
 
 
@@ -145,9 +144,9 @@ def score_task(weights, schema: pa.Schema):
 
 
 def buckets_for(size: int) -> int:
-    """The power of two at or above 8 sqrt(size), between LEAST and MOST."""
+    """The power of two at or above sqrt(size), between LEAST and MOST."""
     b = LEAST
-    while b < MOST and b * b < 64 * size:
+    while b < MOST and b * b < size:
         b *= 2
     return b
 
@@ -157,9 +156,12 @@ def train(docs: DataFrame, trusted: DataFrame, text: str = "text", id: str = "do
     d = packed(docs, text, id).select("doc", "body")
     size = d.agg(F.coalesce(F.sum(F.octet_length("body").cast("long")), F.lit(0))).first()[0]
     buckets = buckets_for(size)
-    ids = trusted.select(F.col(f"`{trusted_id or id}`").alias("doc")).dropna().distinct().withColumn("good", F.lit(True))
-    d = d.join(ids, "doc", "left").select(F.coalesce("good", F.lit(False)).alias("good"), "body")
-    c = land(d.mapInArrow(count_task(buckets, _arrow(COUNTS)), COUNTS).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")))
+    ids = land(trusted.select(F.col(f"`{trusted_id or id}`").alias("doc")).dropna().distinct())
+    spot = F.pmod(F.xxhash64("doc"), F.lit(SIEVE)).alias("spot")
+    good = d.withColumn("spot", spot).join(F.broadcast(ids.select(spot).distinct()), "spot", "left_semi").join(ids.hint("merge"), "doc", "left_semi")
+    parts = [x.select("body").mapInArrow(count_task(buckets, _arrow(COUNTS)), COUNTS).select("bucket", r.alias("raw"), t.alias("trusted"))
+             for x, r, t in ((d, F.col("n"), F.lit(0)), (good, F.lit(0), F.col("n")))]
+    c = land(parts[0].unionByName(parts[1]).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")))
     raw, good = c.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("trusted"), F.lit(0))).first()
     expected = F.col("raw").cast("double") * F.lit(float(good)) / F.lit(float(max(raw, 1)))
     w = c.select("bucket", F.floor(F.lit(1e6) * F.log((F.col("trusted") + F.lit(float(PRIOR))) / (expected + F.lit(float(PRIOR))))).cast("int").alias("w")).toArrow()
@@ -193,7 +195,7 @@ def keep_good(docs: DataFrame, weights, text: str = "text", threshold: int = THR
 SQL = r"""
 with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 size as (select sum(strlen(text)) as bytes from d),
-b as (select min(2 ** k)::bigint as buckets from size, range(10, 23) as r(k) where 2 ** k * 2 ** k >= 64 * bytes or k = 22),
+b as (select min(2 ** k)::bigint as buckets from size, range(16, 23) as r(k) where 2 ** k * 2 ** k >= bytes or k = 22),
 u as (select w, list_reduce(list_prepend(0::bigint, list_transform(regexp_extract_all(w, '(?s).'), lambda c: unicode(c)::bigint)),
                             lambda a, c: (a * 1000003 + c) % 2147483647) as h from (select distinct unnest(w) as w from d)),
 o as (select doc_id, unnest(w) as w, generate_subscripts(w, 1) as i from d),
@@ -213,5 +215,5 @@ f as (select d.doc_id, len(w) as n_words, coalesce(len(array_to_string(w, '')),
              len(w) < 50 or 100 * coalesce(repeat, 0) > 50 * len(w) as base_failed, coalesce((total - ((total % n) + n) % n) // n, 0) as score
       from d left join l using (doc_id) left join c using (doc_id) left join s using (doc_id))
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines,
-       n_repeat_words::bigint as n_repeat_words, base_failed, not base_failed and score >= -75000 as kept, score::bigint as score from f
+       n_repeat_words::bigint as n_repeat_words, base_failed, not base_failed and score >= -90000 as kept, score::bigint as score from f
 """

@@ -163,7 +163,7 @@ def test_groups(spark, bucket):
 def brute_quality(texts, trusted):
     space = re.compile(SPACE)
     size = sum(len((t or "").encode()) for _, t in texts)
-    buckets = next(2**k for k in range(10, 23) if 4**k >= 64 * size or k == 22)
+    buckets = next(2**k for k in range(16, 23) if 4**k >= size or k == 22)
 
     def h(w):
         x = 0
@@ -190,7 +190,7 @@ def brute_quality(texts, trusted):
         cover = {j + o for j in range(len(w) - 2) if seen[tuple(w[j : j + 3])] > 1 for o in range(3)}
         lines = [x for x in (t or "").split("\n") if space.search(x)]
         failed = len(w) < 50 or 100 * len(cover) > 50 * len(w)
-        out.append((i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(cover), score, failed, not failed and score >= -75_000))
+        out.append((i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(cover), score, failed, not failed and score >= -90_000))
     return sorted(out, key=repr)
 
 
@@ -221,4 +221,4 @@ def test_held_out_quality(spark):
 
 
 def test_buckets_grow():
-    assert [quality.buckets_for(x) for x in (0, 10**6, 10**9, 10**15)] == [1 << 10, 1 << 13, 1 << 18, 1 << 22]
+    assert [quality.buckets_for(x) for x in (0, 10**9, 10**11, 10**15)] == [1 << 16, 1 << 16, 1 << 19, 1 << 22]
