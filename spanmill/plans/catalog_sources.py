@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import scratch
 from ..sources.otlp import OtlpSource
 from ..sources.session_jsonl import dedupe_records, read_records
+from ..streaming.live import tailed_records
 from .catalog import register
 
 
@@ -61,3 +62,19 @@ def s31(spark: SparkSession, sf: str) -> DataFrame:
     bad = F.concat(F.lit('{"type": "user", "uuid": '), F.col("event_id").cast("string"))
     _, warnings = read_records(spark, _written(spark, sf, _record(F.col("event_id").cast("string"), "user"), bad), glob="*.txt")
     return warnings.groupBy("message").agg(F.count("*").alias("n"))
+
+
+@register("st1_tailed_records", """select 'u' || event_id as uuid, 'user' as type, epoch_ms(date_trunc('milliseconds', ts)) as ms from events
+  union all select 'a' || event_id, 'assistant', epoch_ms(date_trunc('milliseconds', ts)) from events""")
+def st1(spark: SparkSession, sf: str) -> DataFrame:
+    """The same lines followed as a stream of byte ranges, in steps of at most 8 MB."""
+    u, a = F.concat(F.lit("u"), "event_id"), F.concat(F.lit("a"), "event_id")
+    at = scratch(spark, "tail")
+    lines = tailed_records(spark, _written(spark, sf, _record(u, "user"), _record(a, "assistant")), f"{at}/ledger", suffix=".txt", max_bytes=8 << 20, split_bytes=1 << 20)
+    q = (lines.select("uuid", "type", F.unix_millis("event_ts").alias("ms")).writeStream.format("parquet").option("path", f"{at}/out")
+         .option("checkpointLocation", f"{at}/checkpoint").start())
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.read.schema("uuid string, type string, ms bigint").parquet(f"{at}/out")

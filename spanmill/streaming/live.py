@@ -12,16 +12,27 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..functions.money import nz, total_tokens
 from ..schema import RAW_SPAN_DDL
 from ..session import ensure_checkpoint_dir
+from .tail import tail
 
 WATERMARK = "24 hours"
 
 
 def live_lines(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Tail of a log folder that receives new chunk files; records with file, id and event time."""
+    """Records of a log folder that receives finished chunk files, with file, id and event time."""
     t = (spark.readStream.format("text").option("maxFilesPerTrigger", str(max_files)).option("recursiveFileLookup", "true").load(path)
-         .select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v")))
+         .select(F.col("_metadata.file_path").alias("file"), "value"))
+    return _records(t)
+
+
+def tailed_records(spark: SparkSession, path: str, ledger: str, **options) -> DataFrame:
+    """Records of log files that are still written, each line once; ``position`` is the line's first byte."""
+    return _records(tail(spark, path, ledger, **options))
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    t = lines.withColumn("v", F.try_parse_json("value")).drop("value")
     return t.filter("v is not null").select(
-        "file", F.try_variant_get("v", "$.uuid", "string").alias("uuid"), F.try_variant_get("v", "$.type", "string").alias("type"),
+        *[c for c in t.columns if c != "v"], F.try_variant_get("v", "$.uuid", "string").alias("uuid"), F.try_variant_get("v", "$.type", "string").alias("type"),
         F.try_variant_get("v", "$.sessionId", "string").alias("session_id"),
         F.try_to_timestamp(F.try_variant_get("v", "$.timestamp", "string")).alias("event_ts"), "v")
 
