@@ -1,7 +1,8 @@
 """Run-to-run diffs, for one pair or many pairs in one job.
 
 Two spans match when the chain (kind, name, k-th occurrence among equal siblings) from the root is
-the same on both sides, so the recursive sibling pairing becomes one full outer join on a path key.
+the same on both sides, so the recursive sibling pairing becomes one full outer join on a path key: 128 bits that fold
+the hashes of (depth, kind, name, k) along the chain, whatever its length. Depth, kind and name are compared as well.
 """
 
 from __future__ import annotations
@@ -10,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import nz, total_tokens
+from ..session import land
 from ..skew import scan
-from .tree import self_closure
+from .tree import NODE, up_scan
 
 HEADER = ["cost_micro", "tok_input", "tok_output", "tok_cache_read", "tok_cache_write", "tok_reasoning", "tok_total",
           "tool_errors", "llm_calls", "max_depth", "duration_ms"]
@@ -32,14 +34,12 @@ def diff_header(totals: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def path_keys(spans: DataFrame, chunked: bool = False) -> DataFrame:
-    """Per span the chain of (kind, name, occurrence) from the root, as one string key."""
+    """run_id, span_id, path_a, path_b: two 64-bit folds over the chain of (depth, kind, name, occurrence) from the root."""
     s = spans.withColumn("pk", F.coalesce("parent_id", F.lit("")))
     s = scan(s, ["run_id", "pk", "kind", "name"], ["start_ms", "span_id"], {"k": ("rownum", None)}, chunked)
-    step = s.select("run_id", F.col("span_id").alias("ancestor_id"),
-                    F.concat_ws("\u0001", "kind", "name", F.col("k").cast("string")).alias("step"))
-    up = self_closure(spans).join(step, ["run_id", "ancestor_id"]).groupBy("run_id", "span_id").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("dist")).alias("d"), "step"))).alias("a"))
-    return up.select("run_id", "span_id", F.array_join(F.transform("a", lambda x: x["step"]), "\u0002").alias("path_key"))
+    s = land(s.select(*NODE, "parent_id", *[F.xxhash64(F.lit(seed), "depth", "kind", "name", "k").alias(c) for c, seed in (("own_a", 1), ("own_b", 2))]))
+    up, _ = up_scan(s, {"up_a": ("xor", F.col("own_a")), "up_b": ("xor", F.col("own_b"))})
+    return up.join(s, NODE).select(*NODE, F.col("own_a").bitwiseXOR(F.col("up_a")).alias("path_a"), F.col("own_b").bitwiseXOR(F.col("up_b")).alias("path_b"))
 
 
 def diff_many(spans: DataFrame, pairs: DataFrame, chunked: bool = False) -> DataFrame:
@@ -49,15 +49,16 @@ def diff_many(spans: DataFrame, pairs: DataFrame, chunked: bool = False) -> Data
     call = (F.col("kind") == "llm_call") & F.col("model").isNotNull()
     t0 = s.groupBy("run_id").agg(F.min("start_ms").alias("t0"))
     s = s.join(path_keys(s, chunked), ["run_id", "span_id"]).join(t0, "run_id").select(
-        "run_id", "span_id", "kind", "name", "status", "depth", "path_key", "start_ms", (F.col("start_ms") - F.col("t0")).alias("offset_ms"),
+        "run_id", "span_id", "kind", "name", "status", "depth", "path_a", "path_b", "start_ms", (F.col("start_ms") - F.col("t0")).alias("offset_ms"),
         F.when(call & (F.col("cost_source") != "unknown"), nz("cost_micro")).otherwise(0).cast("bigint").alias("cost"),
         F.when(call, total_tokens()).otherwise(0).cast("bigint").alias("tokens"), nz("duration_ms").alias("dur"))
 
     def side(p: str) -> DataFrame:
         d = pairs.select("pair_id", F.col(p + "_run").alias("run_id")).join(s, "run_id")
-        return d.select("pair_id", "path_key", *[F.col(c).alias(p + "_" + c) for c in s.columns if c != "path_key"])
+        step = F.struct("depth", F.coalesce("kind", F.lit("")), F.coalesce("name", F.lit(""))).cast("struct<depth:int,kind:string,name:string>")
+        return d.select("pair_id", "path_a", "path_b", step.alias("step"), *[F.col(c).alias(p + "_" + c) for c in s.columns if c not in ("path_a", "path_b")])
 
-    j = side("a").join(side("b"), ["pair_id", "path_key"], "full")
+    j = side("a").join(side("b"), ["pair_id", "path_a", "path_b", "step"], "full").drop("path_a", "path_b", "step")
     what = F.when(F.col("b_span_id").isNull(), "removed").when(F.col("a_span_id").isNull(), "added").otherwise("matched")
     return j.withColumn("side", what)
 

@@ -88,14 +88,12 @@ def scrub_identity(runs: DataFrame, spans: DataFrame, table: DataFrame,
 def nearest_container(spans: DataFrame) -> DataFrame:
     """(run, span, container): nearest self-or-ancestor session or subagent."""
     keep = F.col("kind").isin("session", "subagent")
-    hit = F.try_element_at(F.filter("path", lambda p: p["kind"].isin("session", "subagent")), F.lit(1))["id"]
-    return spans.select(*NODE, F.when(keep, F.col("span_id")).otherwise(hit).alias("container_id"))
+    return spans.select(*NODE, F.when(keep, F.col("span_id")).otherwise(F.col("container_id")).alias("container_id"))
 
 
 def prune_to_metadata(spans: DataFrame) -> DataFrame:
     """Sessions and subagents only, hanging under their nearest surviving ancestor."""
-    hit = F.try_element_at(F.filter("path", lambda p: p["kind"].isin("session", "subagent")), F.lit(1))["id"]
-    return spans.filter("kind in ('session', 'subagent')").withColumn("parent_id", hit)
+    return spans.filter("kind in ('session', 'subagent')").withColumn("parent_id", F.col("container_id"))
 
 
 def reanchor_evidence(evidence: DataFrame, spans: DataFrame) -> DataFrame:

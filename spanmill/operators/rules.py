@@ -16,7 +16,7 @@ from ..skew import CHUNK, chunk_edges, rechunk, scan, with_chunks
 from .overview import run_totals
 from .pricing import (RATES, context_excess, dominant_model, dominant_rates, downgrade_map, main_calls_ranked,
                       reprice_cells, reprice_spans, with_rates)
-from .tree import closure, self_closure
+from .tree import agent_sums, agents_within
 
 
 @dataclass(frozen=True)
@@ -280,24 +280,25 @@ def expensive_roots(t: Trace) -> DataFrame:
 
 def _expensive_roots(t: Trace) -> DataFrame:
     th = t.thresholds
-    calls = t.spans.filter("kind = 'llm_call'")
-    sub = (self_closure(calls, "cost_micro").filter("ancestor_kind = 'subagent'")
-           .groupBy("run_id", F.col("ancestor_id").alias("root_id")).agg(nz(F.sum("cost_micro")).alias("sub_micro")))
+    own = (t.spans.filter("kind = 'llm_call' and owner_id is not null").groupBy("run_id", F.col("owner_id").alias("agent_id"))
+           .agg(nz(F.sum("cost_micro")).alias("sub_micro")))
+    sub = agent_sums(t.spans, own, ["sub_micro"]).withColumnRenamed("agent_id", "root_id")
     q = (sub.join(t.totals.select("run_id", F.col("cost_micro").alias("run_micro")), "run_id")
          .filter((F.col("run_micro") > 0) & (F.col("sub_micro") > F.lit(th.sub_min_share) * F.col("run_micro"))
                  & (F.col("sub_micro") > th.sub_min_cost)))
     subs = t.spans.filter("kind = 'subagent'").select(
-        "run_id", F.col("span_id").alias("root_id"), "start_ms", "path", F.coalesce("agent_name", "name").alias("agent"))
-    q = q.join(subs, ["run_id", "root_id"])
-    outer = q.select("run_id", F.explode("path.id").alias("root_id")).distinct()
-    return q.join(outer, ["run_id", "root_id"], "left_anti")
+        "run_id", F.col("span_id").alias("root_id"), "start_ms", F.coalesce("agent_name", "name").alias("agent"))
+    q = land(q.join(subs, ["run_id", "root_id"]))
+    flagged = q.select("run_id", F.col("root_id").alias("agent_id"), F.lit(1).cast("bigint").alias("flagged"))
+    innermost = agent_sums(t.spans, flagged, ["flagged"]).filter("flagged = 1").select("run_id", F.col("agent_id").alias("root_id"))
+    return q.join(innermost, ["run_id", "root_id"], "left_semi")
 
 
 def expensive_subagents(t: Trace) -> DataFrame:
     roots = expensive_roots(t)
     calls = t.calls
-    under = (closure(calls).join(roots.select("run_id", F.col("root_id").alias("ancestor_id")), ["run_id", "ancestor_id"])
-             .select("run_id", "span_id", F.col("ancestor_id").alias("root_id")).join(calls, ["run_id", "span_id"]))
+    inside = agents_within(t.spans, roots).select("run_id", F.col("agent_id").alias("owner_id"), "root_id")
+    under = calls.join(inside, ["run_id", "owner_id"])
     dom = dominant_model(under, ["run_id", "root_id"])
     tgt = dom.join(t.downgrades.select("model", "suggestion"), "model", "left").drop("model")
     rated = tgt.withColumnRenamed("suggestion", "target")
@@ -351,10 +352,7 @@ def model_mismatch(t: Trace) -> DataFrame:
 
 def _within(t: Trace, roots: DataFrame) -> DataFrame:
     """Cells that are, or lie under, one of the roots."""
-    subs = t.spans.filter("kind = 'subagent'")
-    return (self_closure(subs).join(roots.select("run_id", F.col("root_id").alias("ancestor_id")),
-                                    ["run_id", "ancestor_id"])
-            .select("run_id", F.col("span_id").alias("cell_id"), F.lit(True).alias("inside")).distinct())
+    return agents_within(t.spans, roots).select("run_id", F.col("agent_id").alias("cell_id"), F.lit(True).alias("inside"))
 
 
 # -- W5 --------------------------------------------------------------------

@@ -24,8 +24,7 @@ def _shares(spans: DataFrame) -> DataFrame:
     """
     tools = spans.filter(F.col("kind").isin(TOOL_KINDS)).select(
         "run_id", _tool_name().alias("name"), "parent_id",
-        F.try_element_at(F.filter("path", lambda p: p["kind"] == "llm_call"), F.lit(1))["id"].alias("call_id"),
-        F.try_element_at("path", F.lit(1))["kind"].alias("p_kind"))
+        "call_id", F.col("parent_kind").alias("p_kind"))
     direct = tools.filter("call_id is not null").select("run_id", "call_id", "name").distinct()
     boxed = (tools.filter("call_id is null and p_kind in ('turn', 'subagent')")
              .select("run_id", F.col("parent_id").alias("box"), "name").distinct())

@@ -1,19 +1,27 @@
-"""Tree toolkit: repair, materialised ancestor paths and what derives from them.
+"""Tree toolkit: repair, what a span's ancestors say, sums over subtrees, and interval labels.
 
-The path of a span is the array of its ancestors, nearest first, as
-``(id, kind, seq)``. It is built once per load by pointer doubling (log2 of the
-depth in joins) and stored, so closure, depth, scope and owner are projections.
+No span carries the list of its ancestors (a chain of n spans would hold n^2 / 2 entries). Two jobs of pointer doubling with state of fixed width take its
+place, each log2(depth) rounds of joins on the parent pointer:
+
+* ``up_scan`` folds values over a span's proper ancestors: their number, the nearest of a kind, the top one, a hash of the path.
+* ``subtree`` folds values over a span's descendants and itself.
+
+``place`` stores depth, scope, owner, enclosing call and container per span. ``intervals`` numbers the spans of a run depth first, so that "lies under"
+is a comparison of numbers. ``closure`` lists ancestor pairs where a caller asks for them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import nz, total_tokens
 from ..schema import SCOPE_KINDS
+from ..session import cut, land
 from ..skew import hot_groups, hot_limit, lookup, scan, with_chunks
-from ..session import cut
 
 NODE = ["run_id", "span_id"]
 
@@ -25,69 +33,114 @@ def root_of_run(spans: DataFrame) -> DataFrame:
                  .alias("root_id")))
 
 
-NO_PATH = "array<struct<id:string,kind:string>>"
+def _pointers(open_: DataFrame) -> tuple[int, int, DataFrame | None]:
+    """Open rows, the most of one run, and the pointers that too many rows share (None if there are none)."""
+    per = open_.groupBy("run_id", "ptr").agg(F.count("*").alias("n")).groupBy("run_id").agg(F.sum("n").alias("s"), F.max("n").alias("m"))
+    total, widest, most = per.agg(F.sum("s"), F.max("s"), F.max("m")).first()
+    hot = cut(hot_groups(open_, ["run_id", "ptr"])) if total and most > hot_limit(open_) else None
+    return total or 0, widest or 0, hot
 
 
-def _double(nodes: DataFrame) -> DataFrame:
-    """Rows (run_id, span_id, kind, parent_id) -> path, dangling; a looping row keeps a non-null ptr.
+def _start(kind: str, dtype) -> Column:
+    if kind == "list":
+        return F.array().cast(f"array<{dtype.simpleString()}>")
+    return F.lit(0).cast("bigint") if kind in ("sum", "xor") else F.lit(None).cast(dtype)
 
-    Pointer doubling: every round joins the open rows to the state of their pointer, so the number
-    of rounds is the logarithm of the depth. Invariant: path lists the ancestors up to, not
-    including, ptr.
-    """
-    state = nodes.select(*NODE, "kind", F.col("parent_id").alias("ptr"), F.array().cast(NO_PATH).alias("path"),
-                         F.lit(False).alias("dangling"))
-    loop = F.exists("path", lambda p: p["id"] == F.col("span_id")) | (
-        F.size(F.array_distinct("path")) < F.size("path"))
-    first = True
-    while True:
-        open_ = state.filter(F.col("ptr").isNotNull() & ~loop)
-        hot = _hot(open_)
-        if hot is None:
-            return state
-        info = state.select("run_id", F.col("span_id").alias("ptr"), F.col("kind").alias("p_kind"),
-                            F.col("path").alias("p_path"), F.col("ptr").alias("p_ptr"))
-        step = lookup(state, info, ["run_id", "ptr"], hot=hot[0])
-        known = F.col("p_kind").isNotNull()
-        go = F.col("ptr").isNotNull() & known & ~loop
-        state = cut(step.select(
-            *NODE, "kind", F.when(loop, F.col("ptr")).when(known, F.col("p_ptr")).alias("ptr"),
-            F.when(go, F.concat("path", F.array(F.struct(F.col("ptr").alias("id"), F.col("p_kind").alias("kind"))), "p_path"))
-            .otherwise(F.col("path")).alias("path"),
-            (F.col("dangling") | (F.lit(first) & F.col("ptr").isNotNull() & ~known)).alias("dangling")))
-        first = False
-
-
-def _hot(open_: DataFrame) -> tuple[DataFrame | None] | None:
-    """None when nothing is open; else the pointers shared by too many rows, if any."""
-    per = open_.groupBy("run_id", "ptr").agg(F.count("*").alias("n"))
-    most = per.agg(F.max("n")).first()[0]
-    if most is None:
-        return None
-    if most <= hot_limit(open_):
-        return (None,)
-    return (cut(hot_groups(open_, ["run_id", "ptr"])),)
 
+def _fold(kind: str, acc: Column, at: Column, beyond: Column) -> Column:
+    """What was gathered so far, the pointer's own value, and what the pointer had gathered."""
+    if kind == "sum":
+        return acc + at + beyond
+    if kind == "xor":
+        return acc.bitwiseXOR(at).bitwiseXOR(beyond)
+    if kind == "near":
+        return F.coalesce(acc, at, beyond)
+    if kind == "far":
+        return F.coalesce(beyond, at, acc)
+    return F.concat(acc, F.array(at), beyond)
 
-def repair_tree(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Re-attach dangling spans and members of parent cycles to the earliest root; add ``path``.
 
-    Returns the spans with repaired ``parent_id`` and ``path``, and one warning row per touched run.
+def up_scan(nodes: DataFrame, specs: Mapping[str, tuple[str, Column]]) -> tuple[DataFrame, DataFrame | None]:
+    """Values folded over the proper ancestors of every row of ``nodes`` (run_id, span_id, parent_id and what ``specs`` reads).
+
+    ``specs``: name -> (kind, value of a row as an ancestor), kind one of ``sum`` and ``xor`` (bigint, not null), ``near`` and ``far`` (the first non-null value going up,
+    or the last), ``list`` (all, nearest first). Returns (run_id, span_id, names, dangling) and, if some rows run into a parent cycle, the rows on cycles.
+
+    A dangling row has no ancestors and those below it end with it.
+    Every round, the open rows take over what their pointer has gathered and its pointer; rows that reach a root are finished and are not written again.
+    A round in which no row finishes proves that all open rows run in circles: each open row that did not had an ancestor that would have finished.
     """
-    state = _double(spans)
-    broken = state.filter("dangling or exists(path, p -> p.id = span_id)").select(*NODE)
+    own = nodes.select(*NODE, F.col("parent_id").alias("ptr"), *[e.alias("o_" + n) for n, (_, e) in specs.items()])
+    types = {n: own.schema["o_" + n].dataType for n in specs}
+    state = land(own.select("*", *[_start(k, types[n]).alias("a_" + n) for n, (k, _) in specs.items()], F.lit(False).alias("dangling")))
+    done, open_ = [state.filter("ptr is null")], state.filter("ptr is not null")
+    hops, before, loops = 1, None, None
+    while True:
+        total, widest, hot = _pointers(open_)
+        if total == 0:
+            break
+        if total == before and hops >= widest:
+            loops = open_.select("run_id", F.col("ptr").alias("span_id")).distinct()
+            done.append(open_)
+            break
+        info = reduce(DataFrame.unionByName, [*done, open_]).select(
+            "run_id", F.col("span_id").alias("ptr"), F.col("ptr").alias("p_ptr"), *[F.col(c + n).alias("p_" + c + n) for n in specs for c in ("o_", "a_")], F.lit(True).alias("known"))
+        step = lookup(open_, info, ["run_id", "ptr"], hot=hot)
+        acc = [F.when(F.col("known"), _fold(k, F.col("a_" + n), F.col("p_o_" + n), F.col("p_a_" + n))).otherwise(F.col("a_" + n)).alias("a_" + n) for n, (k, _) in specs.items()]
+        new = land(step.select(*NODE, F.col("p_ptr").alias("ptr"), *["o_" + n for n in specs], *acc, (F.lit(before is None) & F.col("known").isNull()).alias("dangling")))
+        done.append(new.filter("ptr is null"))
+        open_, before, hops = new.filter("ptr is not null"), total, hops * 2
+    out = reduce(DataFrame.unionByName, done)
+    return out.select(*NODE, *[F.col("a_" + n).alias(n) for n in specs], "dangling"), loops
+
+
+def subtree(spans: DataFrame, values: Mapping[str, tuple[str, Column]]) -> DataFrame:
+    """run_id, span_id and per name a value folded over the span and all its descendants; ``values``: name -> (sum, min or max, value).
+
+    Round k adds to every span what the rows 2^k below it have gathered, so the work is rows x log2(depth). Parents must be repaired.
+    """
+    fold = {"sum": F.sum, "min": F.min, "max": F.max}
+    join = {"sum": lambda a, b: a + F.coalesce(b, F.lit(0).cast("bigint")), "min": F.least, "max": F.greatest}
+    state = land(spans.select(*NODE, F.col("parent_id").alias("ptr"), *[v.alias(n) for n, (_, v) in values.items()]))
+    before = None
+    while True:
+        open_ = state.filter("ptr is not null")
+        total, _, hot = _pointers(open_)
+        if total == 0:
+            return state.drop("ptr")
+        if total == before:
+            raise ValueError("parents form a cycle; repair the tree first")
+        before = total
+        give = open_.groupBy("run_id", F.col("ptr").alias("span_id")).agg(*[fold[k](n).alias("g_" + n) for n, (k, _) in values.items()])
+        step = lookup(state, state.select("run_id", F.col("span_id").alias("ptr"), F.col("ptr").alias("p_ptr")), ["run_id", "ptr"], hot=hot)
+        step = step.join(give, NODE, "left")
+        state = land(step.select(*NODE, F.col("p_ptr").alias("ptr"), *[join[k](F.col(n), F.col("g_" + n)).alias(n) for n, (k, _) in values.items()]))
+
+
+def _places() -> dict[str, tuple[str, Column]]:
+    """What ``place`` asks of the ancestors."""
+    one = F.struct(F.col("span_id").alias("id"), F.col("kind").alias("kind"))
+    return {"depth": ("sum", F.lit(1).cast("bigint")), "scope": ("near", F.when(F.col("kind").isin(SCOPE_KINDS), one)), "top": ("far", one),
+            "owner_id": ("near", F.when(F.col("kind") == "subagent", F.col("span_id"))), "call_id": ("near", F.when(F.col("kind") == "llm_call", F.col("span_id"))),
+            "parent_kind": ("near", F.col("kind"))}
+
+
+def _repaired(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Spans with repaired parents, the values of ``_places`` per span, warnings. Only runs with broken links are ranked again."""
+    ranks, loops = up_scan(spans, _places())
+    broken = ranks.filter("dangling").select(*NODE)
+    broken = cut(broken.unionByName(loops) if loops is not None else broken)
     if broken.isEmpty():
-        out = lookup(spans, state.select(*NODE, "path"), NODE)
-        empty = spans.sparkSession.createDataFrame([], "run_id string, message string, file string, line bigint")
-        return out, empty
-    broken = cut(broken)
+        return spans, ranks.drop("dangling"), spans.sparkSession.createDataFrame([], "run_id string, message string, file string, line bigint")
     roots = root_of_run(spans)
     fixed = (spans.join(broken.withColumn("broken", F.lit(True)), NODE, "left").join(roots, "run_id", "left")
              .withColumn("parent_id", F.when(F.col("broken") & ~F.col("span_id").eqNullSafe(F.col("root_id")),
                                              F.col("root_id")).otherwise(F.col("parent_id")))
              .drop("broken", "root_id"))
     fixed = cut(fixed)
-    path = _double(fixed).select(*NODE, "path")
+    touched = broken.select("run_id").distinct()
+    again, _ = up_scan(fixed.join(touched, "run_id", "left_semi"), _places())
+    ranks = ranks.join(touched, "run_id", "left_anti").unionByName(again).drop("dangling")
     ranked = _first_ids(broken)
     warn = (ranked.groupBy("run_id").agg(
         F.count("*").alias("n"),
@@ -97,37 +150,45 @@ def repair_tree(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.lit(" span(s) with broken parent links re-attached to the run root ("),
             F.array_join("ids", ", "), F.when(F.col("n") > 10, F.lit(", …")).otherwise(F.lit("")), F.lit(")")
         ).alias("message"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("bigint").alias("line")))
-    return fixed.join(path, NODE, "left"), warn
+    return fixed, ranks, warn
 
 
-def _first_ids(broken: DataFrame) -> DataFrame:
-    b, chunked = with_chunks(broken, ["run_id"], ["span_id"])
-    return scan(b, ["run_id"], ["span_id"], {"rn": ("rownum", None)}, chunked)
+def repair_tree(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Re-attach dangling spans and members of parent cycles to the earliest root; with ``path``, the ancestors as (id, kind), nearest first.
+
+    Returns the spans and one warning row per touched run. ``place`` does without the path.
+    """
+    fixed, _, warn = _repaired(spans)
+    return fixed.join(_ancestors(fixed).withColumnRenamed("up", "path"), NODE, "left"), warn
 
 
-def scope_id() -> Column:
-    """Nearest self-or-ancestor subagent/session, else the top-most ancestor (or the span itself)."""
-    hit = F.try_element_at(F.filter("path", lambda p: p["kind"].isin(SCOPE_KINDS)), F.lit(1))["id"]
-    return F.when(F.col("kind").isin(SCOPE_KINDS), F.col("span_id")).otherwise(
-        F.coalesce(hit, F.try_element_at("path", F.lit(-1))["id"], F.col("span_id")))
+def repaired_parents(spans: DataFrame) -> DataFrame:
+    """The spans with repaired ``parent_id`` alone."""
+    return _repaired(spans)[0]
 
 
-def scope_kind() -> Column:
-    hit = F.try_element_at(F.filter("path", lambda p: p["kind"].isin(SCOPE_KINDS)), F.lit(1))["kind"]
-    return F.when(F.col("kind").isin(SCOPE_KINDS), F.col("kind")).otherwise(
-        F.coalesce(hit, F.try_element_at("path", F.lit(-1))["kind"], F.col("kind")))
+def _ancestors(spans: DataFrame) -> DataFrame:
+    """run_id, span_id, up: all proper ancestors as (id, kind), nearest first; as long as the span is deep."""
+    return up_scan(spans, {"up": ("list", F.struct(F.col("span_id").alias("id"), F.col("kind").alias("kind")))})[0].select(*NODE, "up")
 
 
-def owner_id() -> Column:
-    """Nearest proper subagent ancestor; null = main session."""
-    return F.try_element_at(F.filter("path", lambda p: p["kind"] == "subagent"), F.lit(1))["id"]
+def _first_ids(broken: DataFrame) -> DataFrame:
+    b, chunked = with_chunks(broken, ["run_id"], ["span_id"])
+    return scan(b, ["run_id"], ["span_id"], {"rn": ("rownum", None)}, chunked)
 
 
 def place(spans: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-    """Repair, then add depth, scope, owner, ``chunk`` and ``span_seq``; the silver ``spans`` table."""
-    fixed, warn = repair_tree(spans)
-    s = fixed.select("*", F.size("path").alias("depth"), scope_id().alias("scope_id"),
-                     scope_kind().alias("scope_kind"), owner_id().alias("owner_id"))
+    """Repair, then add depth, scope, owner, enclosing call and container, ``chunk`` and ``span_seq``; the silver ``spans`` table.
+
+    The scope is the nearest subagent or session, the span itself included, else the top-most ancestor; the owner is the nearest proper subagent (null: main
+    session); the container is the nearest proper subagent or session.
+    """
+    fixed, ranks, warn = _repaired(spans)
+    own = F.col("kind").isin(SCOPE_KINDS)
+    s = lookup(fixed, ranks, NODE).withColumns({
+        "depth": F.col("depth").cast("int"), "container_id": F.col("scope.id"),
+        "scope_id": F.when(own, F.col("span_id")).otherwise(F.coalesce("scope.id", "top.id", "span_id")),
+        "scope_kind": F.when(own, F.col("kind")).otherwise(F.coalesce("scope.kind", "top.kind", "kind"))}).drop("scope", "top")
     s, chunked = with_chunks(s, ["run_id"], ["start_ms"])
     s = scan(s.withColumn("start_raw", F.coalesce("start_raw", F.lit(""))), ["run_id"],
              ["start_ms", "start_raw", "span_id"], {"span_seq": ("rownum", None)}, chunked)
@@ -135,29 +196,35 @@ def place(spans: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
 
 
 def closure(spans: DataFrame) -> DataFrame:
-    """(run, span, ancestor, dist) for every proper ancestor; a projection of the stored path."""
-    return spans.select(*NODE, F.posexplode("path").alias("pos", "anc")).select(
-        *NODE, F.col("anc.id").alias("ancestor_id"), F.col("anc.kind").alias("ancestor_kind"),
-        (F.col("pos") + 1).alias("dist"))
+    """(run, span, ancestor, dist) for every proper ancestor: as many rows as the depths add up to."""
+    return _ancestors(spans).select(*NODE, F.posexplode("up").alias("pos", "anc")).select(
+        *NODE, F.col("anc.id").alias("ancestor_id"), F.col("anc.kind").alias("ancestor_kind"), (F.col("pos") + 1).alias("dist"))
 
 
-def self_closure(spans: DataFrame, *cols: str) -> DataFrame:
-    """Closure with the span itself at distance 0, carrying the named columns."""
-    me = F.array(F.struct(F.col("span_id").alias("id"), F.col("kind").alias("kind")))
-    return spans.select(*NODE, *cols, F.posexplode(F.concat(me, F.col("path"))).alias("dist", "anc")).select(
-        *NODE, *cols, "dist", F.col("anc.id").alias("ancestor_id"), F.col("anc.kind").alias("ancestor_kind"))
+def intervals(spans: DataFrame, chunked: bool = False) -> DataFrame:
+    """run_id, span_id, enter, leave: spans numbered depth first from 0, siblings by ``span_seq``; b lies under a if a.enter < b.enter <= a.leave.
+
+    A span enters behind its parent and the subtrees of its earlier siblings, so its number is the sum of these steps along its path.
+    """
+    size = subtree(spans, {"size": ("sum", F.lit(1).cast("bigint"))})
+    s = spans.select(*NODE, "parent_id", "span_seq", *(["chunk"] if chunked else []), F.coalesce("parent_id", F.lit("")).alias("pk")).join(size, NODE)
+    s = scan(s, ["run_id", "pk"], ["span_seq"], {"upto": ("sum", F.col("size"))}, chunked)
+    s = land(s.withColumn("step", F.col("upto") - F.col("size") + F.when(F.col("parent_id").isNull(), 0).otherwise(1)))
+    up, _ = up_scan(s, {"above": ("sum", F.col("step"))})
+    enter = F.col("above") + F.col("step")
+    return s.join(up, NODE).select(*NODE, enter.alias("enter"), (enter + F.col("size") - 1).alias("leave"))
 
 
 def depth(spans: DataFrame) -> DataFrame:
-    return spans.select(*NODE, F.size("path").alias("depth"))
+    return spans.select(*NODE, "depth")
 
 
 def scope_of(spans: DataFrame) -> DataFrame:
-    return spans.select(*NODE, scope_id().alias("scope_id"), scope_kind().alias("scope_kind"))
+    return spans.select(*NODE, "scope_id", "scope_kind")
 
 
 def owner_of(spans: DataFrame) -> DataFrame:
-    return spans.select(*NODE, owner_id().alias("owner_id"))
+    return spans.select(*NODE, "owner_id")
 
 
 def main_scope_calls(spans: DataFrame) -> DataFrame:
@@ -168,14 +235,30 @@ def main_scope_calls(spans: DataFrame) -> DataFrame:
 def subtree_rollup(spans: DataFrame) -> DataFrame:
     """Per span: priced cost, unpriced calls, tokens and calls of its subtree (itself included)."""
     call = (F.col("kind") == "llm_call") & F.col("model").isNotNull()
-    v = spans.withColumn("is_call", call).withColumn("tot", total_tokens())
-    return (self_closure(v, "is_call", "cost_micro", "cost_source", "tot")
-            .groupBy("run_id", F.col("ancestor_id").alias("span_id")).agg(
-                nz(F.sum(F.when(F.col("is_call") & (F.col("cost_source") != "unknown"), F.col("cost_micro"))))
-                .alias("subtree_micro"),
-                F.count(F.when(F.col("is_call") & (F.col("cost_source") == "unknown"), 1)).alias("unpriced_calls"),
-                nz(F.sum(F.when(F.col("is_call"), F.col("tot")))).alias("subtree_tokens"),
-                F.count(F.when(F.col("is_call"), 1)).alias("subtree_calls")))
+    known = call & (F.col("cost_source") != "unknown")
+    count = lambda c: F.coalesce(c, F.lit(False)).cast("bigint")
+    return subtree(spans, {
+        "subtree_micro": ("sum", F.when(known, nz("cost_micro")).otherwise(0).cast("bigint")), "unpriced_calls": ("sum", count(call & (F.col("cost_source") == "unknown"))),
+        "subtree_tokens": ("sum", F.when(call, nz(total_tokens())).otherwise(0).cast("bigint")), "subtree_calls": ("sum", count(call))})
+
+
+def agents(spans: DataFrame) -> DataFrame:
+    """The tree of subagents: run_id, span_id, parent_id (the subagent around it)."""
+    return spans.filter("kind = 'subagent'").select(*NODE, F.col("owner_id").alias("parent_id"))
+
+
+def agent_sums(spans: DataFrame, own: DataFrame, cols: list[str]) -> DataFrame:
+    """run_id, agent_id and the sums of ``own`` (run_id, agent_id, cols) over each subagent and all below it."""
+    a = agents(spans).join(own.withColumnRenamed("agent_id", "span_id"), NODE, "left").fillna(0, cols)
+    return subtree(a, {c: ("sum", F.col(c).cast("bigint")) for c in cols}).withColumnRenamed("span_id", "agent_id")
+
+
+def agents_within(spans: DataFrame, roots: DataFrame) -> DataFrame:
+    """run_id, agent_id, root_id: the subagents that are or lie under one of ``roots`` (run_id, root_id), with the nearest one."""
+    a = agents(spans).join(roots.select("run_id", F.col("root_id").alias("span_id"), F.col("root_id").alias("own")), NODE, "left")
+    a = land(a)
+    up, _ = up_scan(a, {"above": ("near", F.col("own"))})
+    return up.join(a.select(*NODE, "own"), NODE).select("run_id", F.col("span_id").alias("agent_id"), F.coalesce("own", "above").alias("root_id")).filter("root_id is not null")
 
 
 def agent_subtree_costs(spans: DataFrame) -> DataFrame:
@@ -195,26 +278,23 @@ def agent_tree_rollup(spans: DataFrame) -> DataFrame:
     """Subagents nested by nearest subagent: own and total cost, tokens and calls."""
     call = (F.col("kind") == "llm_call") & F.col("model").isNotNull()
     m = (spans.filter(call).withColumn("tot", total_tokens()))
-    agents = spans.filter("kind = 'subagent'").select(
+    named = spans.filter("kind = 'subagent'").select(
         "run_id", F.col("span_id").alias("agent_id"), F.col("owner_id").alias("parent_agent"),
         F.coalesce("agent_name", "name").alias("agent_name"))
     sums = [nz(F.sum("cost_micro")).alias("micro"), nz(F.sum("tot")).alias("tokens"), F.count("*").alias("calls")]
     own = m.filter("owner_id is not null").groupBy("run_id", F.col("owner_id").alias("agent_id")).agg(*sums)
-    tot = (closure(m.select(*NODE, "path")).filter("ancestor_kind = 'subagent'")
-           .join(m.select(*NODE, "cost_micro", "tot"), NODE)
-           .groupBy("run_id", F.col("ancestor_id").alias("agent_id")).agg(*sums))
+    tot = agent_sums(spans, own, ["micro", "tokens", "calls"])
     o = own.select("run_id", "agent_id", F.col("micro").alias("own_micro"), F.col("tokens").alias("own_tokens"))
     t = tot.select("run_id", "agent_id", F.col("micro").alias("total_micro"),
                    F.col("tokens").alias("total_tokens"), F.col("calls").alias("total_calls"))
-    j = agents.join(o, ["run_id", "agent_id"], "left").join(t, ["run_id", "agent_id"], "left")
+    j = named.join(o, ["run_id", "agent_id"], "left").join(t, ["run_id", "agent_id"], "left")
     return j.fillna(0, ["own_micro", "own_tokens", "total_micro", "total_tokens", "total_calls"])
 
 
 def find_spans(spans: DataFrame, query: str) -> DataFrame:
     """Case-insensitive name match plus every ancestor of a match."""
-    hit = spans.filter(F.lower("name").contains(query.strip().lower()))
-    return hit.select(*NODE).unionByName(
-        closure(hit).select("run_id", F.col("ancestor_id").alias("span_id"))).distinct()
+    hit = F.coalesce(F.lower("name").contains(query.strip().lower()), F.lit(False))
+    return subtree(spans, {"hits": ("sum", hit.cast("bigint"))}).filter("hits > 0").select(*NODE)
 
 
 def concurrency_groups(spans: DataFrame, chunked: bool = False) -> DataFrame:
@@ -235,13 +315,11 @@ def concurrency_groups(spans: DataFrame, chunked: bool = False) -> DataFrame:
 
 def preorder_key(spans: DataFrame) -> DataFrame:
     """Depth-first sort key per span: the canonical positions of root .. span."""
-    seqs = spans.select("run_id", F.col("span_id").alias("ancestor_id"), F.col("span_seq").alias("anc_seq"))
-    up = (self_closure(spans).join(seqs, ["run_id", "ancestor_id"])
-          .groupBy(*NODE).agg(F.collect_list(F.struct((-F.col("dist")).alias("d"), "anc_seq")).alias("a")))
-    return up.select(*NODE, F.transform(F.array_sort("a"), lambda x: x["anc_seq"]).alias("order_path"))
+    up, _ = up_scan(spans, {"up": ("list", F.col("span_seq"))})
+    return up.join(spans.select(*NODE, "span_seq"), NODE).select(*NODE, F.concat(F.reverse("up"), F.array("span_seq")).alias("order_path"))
 
 
-def tree_preorder(spans: DataFrame) -> DataFrame:
-    """Depth-first listing of every run; a total sort by (run, order_path), no per-run window."""
-    return (preorder_key(spans).join(spans.select(*NODE, "depth", "name"), NODE)
-            .orderBy("run_id", "order_path"))
+def tree_preorder(spans: DataFrame, chunked: bool = False) -> DataFrame:
+    """Depth-first listing of every run; a total sort by (run, enter), no per-run window."""
+    return (intervals(spans, chunked).join(spans.select(*NODE, "depth", "name"), NODE)
+            .orderBy("run_id", "enter"))

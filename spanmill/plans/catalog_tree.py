@@ -205,3 +205,11 @@ def t1(spark, sf):
     self_loop = F.when(i % 2 == 0, F.col("span_id")).otherwise(F.lit("gone"))
     raw = raw.withColumn("parent_id", F.when(i % 5 == 3, self_loop).otherwise(F.col("parent_id")))
     return T.repair_tree(raw)[0].select("run_id", "span_id", "parent_id")
+
+
+@register("t12b_tree_intervals", v2("""select run_id, span_id, row_number() over (partition by run_id order by op) - 1 as enter,
+  row_number() over (partition by run_id order by op) - 2 + (select count(*) from lself d where d.run_id = k.run_id and d.ancestor_id = k.span_id) as leave from (
+  select c.run_id, c.span_id, list(a.seq order by c.dist desc) as op from lself c join ls a on a.run_id = c.run_id and a.span_id = c.ancestor_id group by 1, 2) k"""))
+def t12b(spark, sf):
+    t = line_trace(spark, sf)
+    return T.intervals(t.spans, t.chunked)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import basename, error_preview, exit_code, is_user_rejection, mcp_server, stable_run_id, target_spec, tool_target
 from ..operators.commands import classify_commands
 from ..operators.toolusage import command_outcome_flags, hook_summary_identity
-from ..operators.tree import repair_tree, self_closure
+from ..operators.tree import repaired_parents, subtree
 from ..session import land
 from .common import (PREVIEW, Loaded, byte_length, iso_ms, line_count, loaded, numbered_lines, span_between, text_of, vget, vint, vstr)
 
@@ -221,11 +221,9 @@ def reach_transcripts(records: DataFrame, calls: DataFrame, delegations: DataFra
 
 def extend_containers(spans: DataFrame) -> DataFrame:
     """Sessions and subagents end no earlier than any descendant and start no later than a descendant hook."""
-    placed, _ = repair_tree(spans)
     ends = F.coalesce("end_ms", "start_ms")
-    under = self_closure(placed.withColumns({"e": ends, "k": F.col("kind")}), "start_ms", "e", "k")
-    d = (under.filter("dist > 0 and ancestor_kind in ('session', 'subagent')").groupBy("run_id", F.col("ancestor_id").alias("span_id"))
-         .agg(F.max("e").alias("d_end"), F.min(F.when(F.col("k") == "hook", F.col("start_ms"))).alias("d_start")))
+    d = (subtree(repaired_parents(spans), {"d_end": ("max", ends), "d_start": ("min", F.when(F.col("kind") == "hook", F.col("start_ms"))), "size": ("sum", F.lit(1).cast("bigint"))})
+         .filter("size > 1").drop("size").join(spans.filter("kind in ('session', 'subagent')").select("run_id", "span_id"), ["run_id", "span_id"], "left_semi"))
     j = spans.join(d, ["run_id", "span_id"], "left")
     start, end = F.least("start_ms", F.coalesce("d_start", "start_ms")), F.greatest(ends, F.coalesce("d_end", ends))
     hit = F.col("d_end").isNotNull()
