@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -284,21 +285,72 @@ def test_secret_contexts_that_are_none():
     assert secrets.guess_spans("pwd" * 200_000 + " " * 200_000, []) == []
 
 
+def segment_cost(v: str) -> float:
+    """One segment by the definition, for the whole of ``v``."""
+    low, n, best, log = v.lower(), len(v), secrets.math.inf, secrets.math.log10
+    for w, extra in ((low, 0), (low.translate(secrets.LEET), 0.5)):
+        if w in secrets.RANK:
+            best = min(best, log(secrets.RANK[w] + 1) + secrets._case(v) + extra)
+            break
+    if n >= 4 and secrets.DATE.fullmatch(v):
+        best = min(best, 2.1 if n == 4 else 4.2)
+    for u in range(1, min(secrets.UNIT, n // 2) + 1):
+        if n >= 3 and all(v[i] == v[i - u] for i in range(u, n)):
+            best = min(best, u * log(secrets._alphabet(v[:u])) + log(n / u))
+    if n >= 3:
+        case = 0.3 * (v[0].isupper() + sum(a.isupper() != b.isupper() and a.isalpha() and b.isalpha() for a, b in zip(v, v[1:])))
+        if all(a == b or b in secrets._NEXT.get(a, ()) for a, b in zip(low, low[1:])):
+            ways = [secrets._dir(a, b) for a, b in zip(low, low[1:])]
+            best = min(best, 1.7 + 0.5 * sum(a != b for a, b in zip(ways, ways[1:])) + log(n) + case)
+        step = ord(v[1]) - ord(v[0])
+        if abs(step) <= 2 and all(ord(b) - ord(a) == step for a, b in zip(v, v[1:])):
+            best = min(best, 1.4 + log(n))
+        if v.isalpha() and any(c in secrets.VOWELS for c in low) and not re.search(f"[^{''.join(secrets.VOWELS)}]{{4}}", low):
+            best = min(best, 4 + 0.2 * n + case)
+    return best
+
+
+def slow_cost(v: str) -> float:
+    per, best = secrets.math.log10(secrets._alphabet(v)), [0.0]
+    for j in range(1, len(v) + 1):
+        best.append(min([best[j - 1] + per] + [best[i] + segment_cost(v[i:j]) + (0.3 if i else 0) for i in range(j - 1)]))
+    return best[-1]
+
+
 def test_guess_cost_is_the_minimum_over_segmentations():
-    def slow(v):
-        per = secrets.math.log10(secrets._alphabet(v))
-        best = {0: 0.0}
-        for j in range(1, len(v) + 1):
-            best[j] = min([best[j - 1] + per] + [best[i] + secrets.segment_cost(v[i:j]) + (0.3 if i else 0) for i in range(max(0, j - secrets.LONGEST), j - 1)])
-        return min(best[len(v)], secrets.segment_cost(v))
-    for v in ("password1", "qwerty123", "1999-12-31x", "hX9$kq2!vR7z", "aaaaaaaa", "abcabcabc", "Summer2024", "p@ssw0rd"):
-        assert abs(secrets.guess_cost(v) - slow(v)) < 1e-9
-    weak, strong = ("password1", "qwertyuiop", "aaaaaaaaaaaa", "Summer2024", "abcdefgh", "abcabcabcabc", "monkeydragon"), ("hX9$kq2!vR7z", "8f2KqpX0zLw1")
-    assert all(secrets.guess_cost(v) < secrets.MIN_COST for v in weak) and all(secrets.guess_cost(v) >= secrets.MIN_COST for v in strong)
     r = random.Random(1)
+    values = ["password1", "qwerty123", "1999-12-31x", "hX9$kq2!vR7z", "aaaaaaaa", "abcabcabc", "Summer2024", "p@ssw0rd", "x" + "a" * 60, "x" + "ab" * 40, "QWErtyuiopPOI", "a" * 26 + "bcdfg", "acegikmo", "", "ß", "İi"]
+    values += ["".join(r.choice(a) for _ in range(r.randrange(1, 26))) for a in ("ab", "aB1", "qwerasdf12", "abcdefghijk", "aeiouBCDFG", "passwordadmin", "0192837465-./", "éèñXyz") for _ in range(25)]
+    for v in values:
+        want = slow_cost(v)
+        assert abs(secrets.guess_cost(v) - want) < 1e-9, v
+        for stop in (5.0, secrets.MIN_COST):
+            assert (secrets.guess_cost(v, stop) >= stop - 1e-9) == (want >= stop - 1e-9), v
+    weak = ("password1", "qwertyuiop", "aaaaaaaaaaaa", "Summer2024", "abcdefgh", "abcabcabcabc", "monkeydragon", "x" + "a" * 100, "x" + "ab" * 60)
+    strong = ("hX9$kq2!vR7z", "8f2KqpX0zLw1")
+    assert all(secrets.guess_cost(v) < secrets.MIN_COST for v in weak) and all(secrets.guess_cost(v) >= secrets.MIN_COST for v in strong)
     assert secrets.guess_cost("ab1" * 1000) < secrets.guess_cost("".join(r.choice("abcXYZ019$") for _ in range(3000)))
 
 
+def test_guess_cost_is_linear():
+    """Vowel runs before consonants, long random values and many base spans take no more than their length."""
+    began = time.perf_counter()
+    secrets.guess_cost("a" * 60 + "bcdfg")
+    r = random.Random(3)
+    assert secrets.guess_cost("".join(r.choice("abcXYZ019$") for _ in range(200_000)), secrets.MIN_COST) == secrets.MIN_COST
+    text = "password: Xk9$pQ!z7#Lm 0123456789abcdef0 " * 20_000
+    assert len(secrets.guess_spans(text, secrets.base_spans(text))) == 20_000
+    assert time.perf_counter() - began < 40
+
+
+def test_values_that_are_code_or_known_words(spark):
+    assert secrets.guess_spans("password = getPassword(userName) token: os.environ['X_TOKEN_9'] secret = Xk9$pQ!z7#Lm", []) == [(73, 3, 85)]
+    d = spark.createDataFrame([(1, "straightforward " * 9 + "the password: straightforward")], "doc_id long, text string")
+    assert secrets.common_words(d) == ["straightforward", "password"][:1]
+    assert secrets.scan_secrets(d).first()["spans"] == "" and secrets.scan_secrets(d, words=[]).first()["spans"] != ""
+
+
+
 def test_packing(docs, none, texts):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(packing.default_vocabulary())
