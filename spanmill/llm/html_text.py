@@ -4,10 +4,13 @@ A page becomes its sequence of leaf blocks (text between block-level tags; scrip
 a sparse vector of hashed tag-path tokens (tags, classes, ids, roles), hashed words and a few measures. A bidirectional LSTM in numpy reads
 the whole sequence, so each block is judged in the context of the document, and labels it text or not.
 
-Training: a bounded sample (``sample`` pages with the lowest id hash, first ``TRAIN_CHARS`` characters and ``TRAIN_BLOCKS`` blocks of each)
-in one task. No page is labelled by hand: the labels are weak ones from the meaning of tags and names, and the sample is varied by
+Training: a bounded sample (``sample`` pages with the lowest id hash, of each up to ``TRAIN_BLOCKS`` blocks from its start, middle and end, with their
+places in the page; of a page above ``TRAIN_CHARS`` characters as many from its start are read) in one task. No page is labelled by hand: the labels are weak ones from the meaning of tags and names, and the sample is varied by
 inserting furniture blocks, renaming containers and dropping path tokens, so that names, words and neighbours all carry weight.
-Every page of the table is then labelled whole.
+Every page of the table is then labelled whole: all names, all words, all blocks. Labelling shares work between blocks: the input of a tag path
+is computed once per distinct path, words and measures are two products of matrices, and pages of like length advance together.
+
+A path holds each token once, where it first occurs, so a page nested n deep costs n, not n^2.
 
 Cases: null or empty html gives an empty text; broken markup is read as browsers roughly do; character references are decoded, also
 without a semicolon where HTML allows it; repeated rows get equal results; an empty table gives an empty result; a page of any
@@ -17,9 +20,12 @@ length is read whole; extra columns are ignored.
 from __future__ import annotations
 
 import io
+import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -30,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import packed
 from .substring_dedup import _arrow, _column
 
-SAMPLE, TRAIN_CHARS, TRAIN_BLOCKS, EPOCHS, BATCH = 320, 200_000, 64, 10, 32
+SAMPLE, TRAIN_CHARS, TRAIN_BLOCKS, EPOCHS, BATCH, TOGETHER = 320, 200_000, 64, 10, 32, 256
 PATH, WORD, MORE, HIDDEN = 512, 128, 8, 16
 SIZE = PATH + WORD + MORE
 
@@ -45,32 +51,49 @@ FURNITURE_TAGS = set("nav footer aside header form button select menu dialog fie
 FURNITURE_NAMES = set("nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar aside ad ads advert adverts advertisement banner promo sponsored "
                       "cookie cookies consent notice notices popup modal share sharing social related recommended comment comments reply replies discussion newsletter subscribe signup login search pagination "
                       "widget toolbar copyright legal disclaimer contentinfo complementary".split())
+COMMENT_NAMES = set("comment comments reply replies discussion".split())
 CONTENT_TAGS = ("article", "main")
 CONTENT_NAMES = set("main content article post entry story body text".split())
 
 
+@lru_cache(100_000)
+def _names(kind: str, value: str) -> tuple[str, ...]:
+    return tuple(f"{kind}:{x}" for x in re.findall(r"[a-z]+", value.lower()))
+
+
 class Blocks(HTMLParser):
     """(path tokens, text, characters inside links) of every leaf block."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.stack: list[tuple[str, tuple[str, ...], frozenset[str]]] = [("", (), frozenset())]
+        self.places: dict[str, list[int]] = {}  # open elements by tag, innermost last
+        self.boxes: list[int] = [0]  # open elements that are not inline
         self.out: list[tuple[tuple[str, ...], str, int]] = []
         self.held: list[str] = []
         self.linked = self.skipped = 0
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # line numbers are not asked for
+
     def _flush(self) -> None:
-        text = " ".join("".join(self.held).split())
-        if text:
-            self.out.append((tuple(t for _, names in self.stack for t in names), text, self.linked))
-        self.held, self.linked = [], 0
+        if self.held:
+            text = " ".join("".join(self.held).split())
+            if text:
+                self.out.append((self.stack[-1][1], text, self.linked))
+            self.held, self.linked = [], 0
 
     def _pop(self, at: int) -> None:
-        self.skipped -= sum(t in SKIP for t, _ in self.stack[at:])
+        for tag, _, _ in reversed(self.stack[at:]):
+            self.places[tag].pop()
+            self.skipped -= tag in SKIP
         del self.stack[at:]
+        while self.boxes[-1] >= at:
+            self.boxes.pop()
 
-    def _open(self, tags: set[str]) -> int | None:
-        return next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] in tags), None)
+    def _open(self, *tags: str) -> int:
+        """Place of the innermost open element of one of the tags, 0 if there is none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -78,34 +101,41 @@ class Blocks(HTMLParser):
             return
         if tag not in INLINE:
             self._flush()
-            at = self._open(SIBLINGS[tag]) if tag in SIBLINGS else None
-            stop = self._open({"ul", "ol", "dl", "table", "select"})
-            if at is not None and (stop is None or at > stop):
-                self._pop(at)
-            at = self._open({CLOSED_BY_BLOCK})
-            if at is not None and all(t in INLINE or t == CLOSED_BY_BLOCK for t, _ in self.stack[at:]):
+            if tag in SIBLINGS:
+                at = self._open(*SIBLINGS[tag])
+                if at > self._open("ul", "ol", "dl", "table", "select"):
+                    self._pop(at)
+            at = self._open(CLOSED_BY_BLOCK)
+            if at and self.boxes[-1] == at:
                 self._pop(at)
         if tag in VOID:
             return
+        _, path, known = self.stack[-1]
         names = [tag]
         for k, v in attrs:
             if v and k in ("class", "id", "role"):
-                names += [f"{k[0]}:{x}" for x in re.findall(r"[a-z]+", v.lower())[:8]]
-        self.stack.append((tag, tuple(names)))
+                names += _names(k[0], v)
+        if not known.issuperset(names):
+            path = (*path, *(n for n in dict.fromkeys(names) if n not in known))
+            known = known.union(names)
+        if tag not in INLINE:
+            self.boxes.append(len(self.stack))
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, path, known))
         self.skipped += tag in SKIP
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag in SKIP and self.stack and self.stack[-1][0] == tag and tag in ("svg", "math"):
+        if tag in ("svg", "math") and self.stack[-1][0] == tag:
             self._pop(len(self.stack) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        at = self._open({tag})
-        if at is None:
+        at = self._open(tag)
+        if not at:
             return
         if tag not in INLINE:
             self._flush()
-        elif any(t not in INLINE for t, _ in self.stack[at:]):
+        elif self.boxes[-1] > at:
             return  # an inline end tag does not close blocks
         self._pop(at)
 
@@ -113,7 +143,7 @@ class Blocks(HTMLParser):
         if self.skipped:
             return
         self.held.append(data)
-        if any(t == "a" for t, _ in self.stack[-3:]):
+        if self.places.get("a") and self.places["a"][-1] >= len(self.stack) - 3:
             self.linked += len(data.strip())
 
     def end(self) -> list[tuple[tuple[str, ...], str, int]]:
@@ -131,14 +161,17 @@ def leaf_blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
 
 
 def weak_label(path: tuple[str, ...]) -> int:
-    """1: text of the page, 0: furniture; from the innermost container that says either."""
+    """1: text of the page, 0: furniture. Furniture stays furniture, whatever names lie inside; an article or main element is text again
+    unless the furniture is a tag of its own or a list of comments."""
     inside = 0
     for t in path:
         name = t.partition(":")[2]
-        if t in CONTENT_TAGS or name in CONTENT_NAMES:
-            inside = max(inside, 1)
-        elif (t in FURNITURE_TAGS and not (t == "header" and inside)) or name in FURNITURE_NAMES:
-            inside = -1
+        if (t in FURNITURE_TAGS and not (t == "header" and inside == 1)) or name in COMMENT_NAMES:
+            inside = -2
+        elif name in FURNITURE_NAMES:
+            inside = min(inside, -1)
+        elif t in CONTENT_TAGS and inside > -2 or name in CONTENT_NAMES and inside > -1:
+            inside = 1
     return int(inside == 1)
 
 
@@ -153,26 +186,35 @@ def _crc(s: str) -> int:
     return _CRC[s]
 
 
+_BUCKET: dict[str, int] = {}
+
+
+def _bucket(w: str) -> int:
+    if len(_BUCKET) > 500_000:
+        _BUCKET.clear()
+    _BUCKET[w] = n = zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % WORD
+    return n
+
+
+def measures(text: str, words: int, linked: int, at: int, count: int) -> tuple[float, ...]:
+    n, last = len(text), max(1, count - 1)
+    return (min(math.log1p(words) / 6, 2.0), linked / n, sum(map(text.count, ".,;!?")) / n * 10, float(text[-1] in ".!?"), at / last, (count - 1 - at) / last, float(at == 0), 1.0)
+
+
 def block_features(path: tuple[str, ...], text: str, linked: int, at: int, count: int) -> tuple[list[int], list[float]]:
     """Indices and values of a block's sparse vector."""
-    index, value = [], []
-    for t in dict.fromkeys(path):
-        index.append(_crc(t) % PATH), value.append(1.0)
+    index = [_crc(t) % PATH for t in dict.fromkeys(path)]
+    value = [1.0] * len(index)
     words = text.split()
-    sample = words[:64] + words[-16:] if len(words) > 80 else words  # the word profile only; the text itself stays whole
-    share = 1.0 / len(sample)
-    for w in sample:
-        index.append(PATH + _crc(w.lower()) % WORD), value.append(share)
-    n = len(text)
-    measures = (min(np.log1p(len(words)) / 6, 2.0), linked / n, sum(text.count(c) for c in ".,;!?") / n * 10, float(text[-1] in ".!?"), at / max(1, count - 1),
-                (count - 1 - at) / max(1, count - 1), float(at == 0), 1.0)
+    for k, n in Counter(_BUCKET[w] if w in _BUCKET else _bucket(w) for w in words).items():
+        index.append(PATH + k), value.append(n / len(words))
     index += range(PATH + WORD, SIZE)
-    value += measures
+    value += measures(text, len(words), linked, at, count)
     return index, value
 
 
-def page_features(blocks: list[tuple[tuple[str, ...], str, int]]) -> list[tuple[list[int], list[float]]]:
-    return [block_features(p, t, k, i, len(blocks)) for i, (p, t, k) in enumerate(blocks)]
+def page_features(blocks: list[tuple[tuple[str, ...], str, int]], places: list[int] | None = None, count: int | None = None) -> list[tuple[list[int], list[float]]]:
+    return [block_features(p, t, k, i, count or len(blocks)) for i, (p, t, k) in zip(places or range(len(blocks)), blocks)]
 
 
 class Labeller:
@@ -304,9 +346,12 @@ def varied(pages: list[list[tuple[tuple[str, ...], str, int]]], seed: int = 5) -
         out.append(page_features(blocks)), labels.append(np.array(y, float))
 
     for p in pages:
-        p = p[:TRAIN_BLOCKS]
+        third = TRAIN_BLOCKS // 3
+        middle = (len(p) - third) // 2
+        places = range(len(p)) if len(p) <= TRAIN_BLOCKS else [*range(TRAIN_BLOCKS - 2 * third), *range(middle, middle + third), *range(len(p) - third, len(p))]
+        whole, p = len(p), [p[i] for i in places]
         y = [weak_label(b[0]) for b in p]
-        add(p, y)
+        out.append(page_features(p, list(places), whole)), labels.append(np.array(y, float))
         for _ in range(2):
             # the container of the text under another name
             box = ("main",) if r.random() < 0.3 else ("div", ("c:", "i:")[r.integers(2)] + content[r.integers(len(content))]) if r.random() < 0.6 else ("article",)
@@ -349,25 +394,83 @@ def train(pages: DataFrame, id: str = "page_id", html: str = "html", sample: int
     return bytes(row["model"]) if row else None
 
 
-def page_texts(net: Labeller | None, htmls: list[str | None]) -> list[str]:
+class Scorer:
+    """The labeller's forward pass over whole pages: inputs shared between blocks, pages in step, single precision."""
+
+    def __init__(self, net: Labeller):
+        h = 4 * HIDDEN
+        w = net.w["wx"].astype(np.float32)
+        self.path_rows = np.concatenate([w[0, :PATH], w[1, :PATH]], 1)
+        self.rest = np.concatenate([w[0, PATH:], w[1, PATH:]], 1)
+        self.bias = net.w["b"].astype(np.float32).reshape(2 * h)
+        self.wh, self.out, self.shift = net.w["wh"].astype(np.float32), net.w["out"].astype(np.float32), np.float32(net.w["bias"][0])
+        self.known: dict[tuple[str, ...], int] = {}
+        self.inputs = np.empty((1024, 2 * h), np.float32)
+
+    def _path(self, path: tuple[str, ...]) -> int:
+        at = self.known.get(path)
+        if at is None:
+            at = self.known[path] = len(self.known)
+            if at == len(self.inputs):
+                self.inputs = np.concatenate([self.inputs, np.empty_like(self.inputs)])
+            self.inputs[at] = self.path_rows[[_crc(t) % PATH for t in path]].sum(0) + self.bias
+        return at
+
+    def _gates(self, blocks: list) -> np.ndarray:
+        """Input part of the gates, both ways, of every block of some pages."""
+        if len(self.known) > 20_000:
+            self.known.clear()
+        count = sum(map(len, blocks))
+        paths, more, words, sizes = [], [], [], []
+        for page in blocks:
+            for i, (path, text, linked) in enumerate(page):
+                split = text.split()
+                paths.append(self._path(path)), sizes.append(len(split))
+                words += [_BUCKET[w] if w in _BUCKET else _bucket(w) for w in split]
+                more.append(measures(text, len(split), linked, i, len(page)))
+        size = np.array(sizes)
+        x = np.zeros((count, WORD + MORE), np.float32)
+        x[:, WORD:] = more
+        at = np.repeat(np.arange(count) * WORD, size) + np.array(words, np.int64)
+        x[:, :WORD] = np.bincount(at, minlength=count * WORD).reshape(count, WORD) / size[:, None]
+        return self.inputs[paths] + x @ self.rest
+
+    def logits(self, blocks: list) -> list[np.ndarray]:
+        """Log-odds of every block, page by page; ``blocks``: pages with one block at least, longest first."""
+        z = self._gates(blocks)
+        h, n = HIDDEN, np.array([len(p) for p in blocks])
+        first = np.cumsum(n) - n
+        live = np.searchsorted(-n, -np.arange(1, n[0] + 1), "right")  # pages that have a block t
+        out = np.full(len(z), self.shift, np.float32)
+        for way in (0, 1):
+            s, c = np.zeros((len(n), h), np.float32), np.zeros((len(n), h), np.float32)
+            zw, wh, o = z[:, way * 4 * h : (way + 1) * 4 * h], self.wh[way], self.out[way * h : (way + 1) * h]
+            for t in range(n[0]) if way == 0 else range(n[0] - 1, -1, -1):
+                k = live[t]
+                rows = first[:k] + t
+                g = zw[rows] + s[:k] @ wh
+                a = 1 / (1 + np.exp(-g[:, : 3 * h]))
+                c[:k] = a[:, h : 2 * h] * c[:k] + a[:, :h] * np.tanh(g[:, 3 * h :])
+                s[:k] = a[:, 2 * h :] * np.tanh(c[:k])
+                out[rows] += s[:k] @ o
+        return np.split(out, first[1:])
+
+
+def page_texts(net: Scorer | None, htmls: list[str | None]) -> list[str]:
     """Main texts; pages are labelled in batches of like length."""
     blocks = [leaf_blocks(h) for h in htmls]
     out = [""] * len(htmls)
-    todo = sorted((i for i, b in enumerate(blocks) if b), key=lambda i: len(blocks[i]))
-    for lo in range(0, len(todo) if net else 0, 64):
-        part = todo[lo : lo + 64]
-        logits = net.forward([page_features(blocks[i]) for i in part])
-        at = 0
-        for i in part:
-            n = len(blocks[i])
-            out[i] = " ".join(b[1] for b, z in zip(blocks[i], logits[at : at + n]) if z > 0)
-            at += n
+    todo = sorted((i for i, b in enumerate(blocks) if b), key=lambda i: -len(blocks[i]))
+    for lo in range(0, len(todo) if net else 0, TOGETHER):
+        part = todo[lo : lo + TOGETHER]
+        for i, logits in zip(part, net.logits([blocks[i] for i in part])):
+            out[i] = " ".join(b[1] for b, z in zip(blocks[i], logits.tolist()) if z > 0)
     return out
 
 
 def extract_task(model: bytes | None, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Labeller.load(model) if model else None
+        net = Scorer(Labeller.load(model)) if model else None
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)

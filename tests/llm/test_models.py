@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import html
 import math
 import re
@@ -147,3 +148,32 @@ def test_pipeline(spark):
         n = docs.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_labels_of_containers():
+    """Furniture wins inside one container and keeps what lies inside it; an article in a page with a side bar is text."""
+    label = html_text.weak_label
+    text = [("html", "body", "article", "p"), ("body", "div", "c:post", "p"), ("div", "c:has", "c:sidebar", "article", "p"), ("article", "header", "h1")]
+    none = [("div", "c:comments", "div", "c:comment", "c:body"), ("div", "c:comments", "article"), ("footer", "div", "c:footer", "c:content"), ("article", "aside", "c:content"), ("div", "c:content", "c:sidebar")]
+    assert [label(p) for p in text] == [1] * 4 and [label(p) for p in none] == [0] * 5
+
+
+def test_shared_inputs_equal_the_plain_forward_pass():
+    """Pages of all lengths, labelled together in single precision, against the network page by page on sparse rows."""
+    r = np.random.default_rng(3)
+    pages = []
+    for n in (1, 1, 2, 7, 30, 90):
+        paths = [("html", "body", *(f"c:{x}" for x in r.choice(["post", "nav", "sidebar", "x"], 2, replace=False))) for _ in range(n)]
+        pages.append([(p, " ".join(r.choice(["the", "a", "Menu", "word.", "é"], int(r.integers(1, 300)))), int(r.integers(0, 5))) for p in paths])
+    net = html_text.Labeller()
+    pages.sort(key=len, reverse=True)
+    got = html_text.Scorer(net).logits(pages)
+    assert all(np.allclose(g, net.forward([html_text.page_features(p)]), atol=1e-4) for g, p in zip(got, pages))
+
+
+def test_deep_nesting_is_linear():
+    began = time.perf_counter()
+    deep = html_text.leaf_blocks("".join(f"<div class='x'>t{i}" for i in range(20_000)) + "<p>end" + "<b>x" * 20_000)
+    assert len(deep) == 20_001 and deep[-1][0] == ("div", "c:x", "p", "b") and time.perf_counter() - began < 20
+    long = " ".join(f"u{i}" for i in range(40)) + " sidebar comments"
+    assert html_text.weak_label(html_text.leaf_blocks(f"<div class='{long}'><p>x")[0][0]) == 0 and html_text.leaf_blocks("</p></b><b><p>a</b>b<li>c<li>d")[-1][1] == "d"

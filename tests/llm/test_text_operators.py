@@ -345,8 +345,8 @@ def test_guess_cost_is_linear():
 
 def test_values_that_are_code_or_known_words(spark):
     assert secrets.guess_spans("password = getPassword(userName) token: os.environ['X_TOKEN_9'] secret = Xk9$pQ!z7#Lm", []) == [(73, 3, 85)]
-    d = spark.createDataFrame([(1, "straightforward " * 9 + "the password: straightforward")], "doc_id long, text string")
-    assert secrets.common_words(d) == ["straightforward", "password"][:1]
+    d = spark.createDataFrame([(1, "straightforward " * 9 + "the pwd: straightforward")], "doc_id long, text string")
+    assert secrets.common_words(d) == ["straightforward"]
     assert secrets.scan_secrets(d).first()["spans"] == "" and secrets.scan_secrets(d, words=[]).first()["spans"] != ""
 
 
