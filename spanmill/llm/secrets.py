@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import land
 from .common import packed
 from .spelling import vocabulary
 
@@ -262,8 +263,14 @@ def scan_task(schema: pa.Schema, min_cost: float, words):
 
 def common_words(docs: DataFrame, text: str = "text", id: str = "doc_id", top: int = TOP) -> list[str]:
     """The ``top`` most frequent words of four to twenty letters, counted over all documents."""
-    v = vocabulary(docs, text, id, min_len=4, min_count=5).filter(F.length("word") <= 20)
-    return [r[0] for r in v.orderBy(F.desc("n"), "word").limit(top).select("word").collect()]
+    v = land(vocabulary(docs, text, id, min_len=4, min_count=5).filter(F.length("word") <= 20))
+    least, held = 0, 0
+    for power, n in sorted(v.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).count().collect(), reverse=True):  # 63 rows at most
+        least, held = 1 << power, held + n
+        if held >= top:
+            break
+    # so only words at least as frequent as a power of two that leaves about ``top`` of them are sorted
+    return [r[0] for r in v.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(top).select("word").collect()]
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", id: str = "doc_id", min_cost: float = MIN_COST, words: list[str] | None = None) -> DataFrame:
