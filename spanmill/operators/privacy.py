@@ -102,6 +102,14 @@ def reanchor_evidence(evidence: DataFrame, spans: DataFrame) -> DataFrame:
     return j.groupBy("run_id", "finding_id", F.col("container_id").alias("span_id")).agg(F.min("pos").alias("pos"))
 
 
+def reanchored(findings: DataFrame, evidence: DataFrame, spans: DataFrame) -> DataFrame:
+    """Findings whose evidence names surviving containers only; ``evidence`` has a row per id (run_id, finding_id, span_id, pos)."""
+    moved = reanchor_evidence(evidence, spans).groupBy("run_id", "finding_id").agg(F.array_sort(F.collect_list(F.struct("pos", "span_id"))).alias("kept"))
+    ids = F.coalesce(F.transform("kept", lambda x: x["span_id"]), F.array().cast("array<string>"))
+    return (findings.join(moved, ["run_id", "finding_id"], "left").withColumn("evidence", ids)
+            .withColumn("first_id", F.get("evidence", F.lit(0))).select(*findings.columns))
+
+
 def resolve_profile(profile: str | None = None, strip_text: bool = False, scrub: bool = False, prune: bool = False) -> str:
     if profile in PROFILES:
         return profile

@@ -172,6 +172,17 @@ def w14(spark, sf):
                                       F.array_join("evidence", ",").alias("evidence"), "waste_micro")
 
 
+@register("k1_findings_round_trip", vr("select run_id, finding_id, rule, severity, evidence, waste_micro from fin"))
+def k1_findings(spark, sf):
+    """Findings written as lines and read back."""
+    from ..session import scratch
+    from ..sinks.export import write_trace_json
+    from ..sources.trace_json import read_finding_lines
+    t, path = trace(spark, sf), scratch(spark, "runs")
+    write_trace_json(t.runs, t.spans, findings(spark, sf), path)
+    return read_finding_lines(spark, path).withColumn("evidence", F.array_join("evidence", ","))
+
+
 @register("w14b_wasted_estimate", vr("select run_id, cost_micro, wasted_micro from wasted"))
 def w14b(spark, sf):
     return R.wasted_estimate(trace(spark, sf), findings(spark, sf))

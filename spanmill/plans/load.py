@@ -31,6 +31,7 @@ class Tables:
     warnings: DataFrame
     rejects: DataFrame
     profile: str
+    manifest: DataFrame
 
 
 def read_all(spark: SparkSession, inputs: Sequence[tuple[str, str, dict]], sources=None) -> Loaded:
@@ -58,5 +59,6 @@ def build(spark: SparkSession, data: Loaded, pricing: DataFrame, thresholds: Thr
     findings = land(rules.apply_rules(t, rule_list))
     wasted = land(rules.wasted_estimate(t, findings))
     if p == "metadata-only":
+        findings = land(privacy.reanchored(findings, rules.evidence_rows(t, findings), t.spans))
         t = Trace(land(privacy.prune_to_metadata(t.spans)), runs, pricing, chunked, t.thresholds, {"totals": t.totals})
-    return Tables(t, findings, wasted, warnings, rejects, p)
+    return Tables(t, findings, wasted, warnings, rejects, p, privacy.manifest(t.spans, p))

@@ -97,7 +97,7 @@ def span_json() -> Column:
 def write_trace_json(runs: DataFrame, spans: DataFrame, findings: DataFrame | None, path: str) -> None:
     """Runs as JSON lines, one shape for all sizes: ``runs`` (headers), ``spans`` and ``findings`` (a line each, with the run id).
 
-    No row holds a whole session, and ``read_run_lines`` reads the folder back.
+    No row holds a whole session; ``read_run_lines`` and ``read_finding_lines`` read the folder back.
     """
     doc = F.struct(F.col("run_id").alias("id"), F.struct(F.col("source").alias("tool"), "format", "files").alias("source"), "title",
                    F.struct(F.col("project_name").alias("name"), F.col("project_path").alias("path"), F.col("git_branch").alias("gitBranch")).alias("project"),

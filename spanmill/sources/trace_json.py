@@ -27,7 +27,7 @@ totals VARIANT, insights ARRAY<STRUCT<id:STRING,ruleId:STRING,severity:STRING,ti
 
 # Attribute names that emitters write behind a prefix of their own.
 KNOWN_KEYS = ["targetKey", "targetKind", "target", "mcpDetection", "cacheWrite1hTokens", "tool", "toolSub", "toolVia", "toolsAlso",
-              "toolFlags", "activity", "hookCount", "toolName", "toolScript", "skill"]
+              "toolFlags", "toolActivity", "activity", "hookCount", "toolName", "toolScript", "skill"]
 KNOWN_RE = r"^[a-z]+\.(" + "|".join(KNOWN_KEYS) + ")$"
 
 
@@ -53,7 +53,7 @@ def lifted(spans: DataFrame) -> DataFrame:
         return F.from_json(a(k), "array<string>")
 
     return spans.withColumns({
-        "target_key": a("targetKey"), "target_kind": a("targetKind"), "target_label": a("target"), "activity": a("activity"),
+        "target_key": a("targetKey"), "target_kind": a("targetKind"), "target_label": a("target"), "activity": F.coalesce(a("toolActivity"), a("activity")),
         "tool_id": a("tool"), "tool_sub": a("toolSub"), "tools_also": arr("toolsAlso"), "tool_flags": arr("toolFlags"),
         "hook_count": a("hookCount").try_cast("int"), "cache_write_1h": a("cacheWrite1hTokens").try_cast("double").cast("bigint")})
 
@@ -105,7 +105,18 @@ def read_run_lines(spark: SparkSession, path: str) -> Loaded:
 def read_findings(spark: SparkSession, path: str) -> DataFrame:
     """Findings stored in run documents."""
     raw = spark.read.option("multiLine", "true").schema(RUN_JSON).json(path)
-    return raw.select(F.col("id").alias("run_id"), F.explode("insights").alias("i")).select(
+    return _finding_columns(raw.select(F.col("id").alias("run_id"), F.explode("insights").alias("i")))
+
+
+def read_finding_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Findings of a folder that ``write_trace_json`` wrote."""
+    element = spark.createDataFrame([], RUN_JSON).schema["insights"].dataType.elementType.simpleString()
+    s = spark.read.schema(f"run_id STRING, insight {element}").json(path + "/findings")
+    return _finding_columns(s.select("run_id", F.col("insight").alias("i")))
+
+
+def _finding_columns(f: DataFrame) -> DataFrame:
+    return f.select(
         "run_id", F.col("i.id").alias("finding_id"), F.col("i.ruleId").alias("rule"), "i.severity", F.col("i.spanIds").alias("evidence"),
         F.floor(F.col("i.estimatedWasteUSD") * 1e6 + 0.5).cast("bigint").alias("waste_micro"))
 

@@ -14,7 +14,7 @@ from spanmill.plans import load, views
 from spanmill.sinks import export
 from spanmill.sources import drill
 from spanmill.sources.session_jsonl import read_records
-from spanmill.sources.trace_json import read_run_lines
+from spanmill.sources.trace_json import read_finding_lines, read_run_lines
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +50,11 @@ def test_metadata_profile(spark, tables):
     a, b = (sorted(tuple(r) for r in x.trace.totals.select("run_id", "cost_micro", "tok_total").collect()) for x in (t, full))
     assert a == b
     assert t.trace.runs.filter("title is not null").isEmpty()
+    # findings cite what was kept, and the manifest says what was done
+    cited = t.findings.select("run_id", F.explode("evidence").alias("span_id"))
+    assert cited.join(t.trace.spans, ["run_id", "span_id"], "left_anti").isEmpty() and t.findings.count() == full.findings.count()
+    m = t.manifest.first()
+    assert (m["profile"], m["spans_pruned"], m["spans"]) == ("metadata-only", True, t.trace.spans.count())
 
 
 def test_sessions_csv(spark, sf, tmp_path):
@@ -78,6 +83,8 @@ def test_trace_json_round_trip(spark, tables, tmp_path):
     rows = lambda d: sorted(map(repr, d.select(cols).collect()))
     assert rows(back.spans) == rows(t.trace.spans)
     assert spark.read.text(str(tmp_path / "j" / "findings")).count() == t.findings.count()
+    cols = ["run_id", "finding_id", "rule", "severity", "evidence", "waste_micro"]
+    assert rows(read_finding_lines(spark, str(tmp_path / "j"))) == rows(t.findings)
 
 
 def test_write_tables(spark, tables, tmp_path):
