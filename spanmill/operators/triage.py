@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,74 +84,85 @@ def classify_errors(spans: DataFrame) -> DataFrame:
 
 def claim_reactions(t: Trace, failures: DataFrame) -> DataFrame:
     """Forward as-of with exclusive claim: failures in start order each take the first free call
-    of their scope that starts at or after their end.
-
-    The set of claimed calls does not depend on the order, so it is a prefix maximum over failures
-    ordered by end. Only where failures end out of their start order do the calls of one
-    contiguous claimed block have to be handed out again, block by block.
+    of their scope that starts at or after their end, never themselves.
+
+    Calls of a scope are numbered slots; a failure has a first slot. A failure that many others with
+    the same first slot outrun can reach no call and is left out. The set of claimed slots does not
+    depend on the order, so it is a prefix maximum over failures ordered by first slot; where it has
+    a gap, a block ends and nothing crosses. A failed call that ties with its own slot (no duration)
+    may leave that slot to others: its slot is taken out as a row of its own, which can only widen
+    the blocks. Blocks whose failures end in start order are done; the others are cut where the first
+    k by slot are also the first k by start, and only these pieces are handed out one by one.
     """
     key = ["run_id", "scope_id"]
     calls = t.spans.filter("kind = 'llm_call'").select(*key, "span_id", "start_ms", "cost_micro", CHUNK)
     calls = scan(calls, key, ["start_ms", "span_id"], {"idx": ("rownum", None)}, t.chunked)
-    f = failures.select(*key, "span_id", "start_ms", closed_end().alias("after"), F.col("kind") == "llm_call", CHUNK)
-    f = f.toDF(*key, "span_id", "start_ms", "after", "is_call", CHUNK)
-    ev = f.select(*key, F.col("after").alias("at"), F.lit(0).alias("tag"), "span_id", "start_ms", "is_call", CHUNK).unionByName(
-        calls.select(*key, F.col("start_ms").alias("at"), F.lit(1).alias("tag"), F.lit(None).cast("string").alias("span_id"),
-                     F.lit(None).cast("bigint").alias("start_ms"), F.lit(None).cast("boolean").alias("is_call"), CHUNK))
+    f = failures.select(*key, closed_end().alias("at"), F.lit(0).alias("tag"), "span_id", "start_ms", F.col(CHUNK).alias("by_start"), CHUNK)
+    ev = f.unionByName(calls.select(*key, F.col("start_ms").alias("at"), F.lit(1).alias("tag"), CHUNK), allowMissingColumns=True)
     if t.chunked:
         ev = rechunk(ev, chunk_edges(t.spans, "start_ms"), "at")
-    o = ["at", "tag", "start_ms", "span_id"]
-    s = scan(ev, key, o, {"n_before": ("sum", F.col("tag"))}, t.chunked).filter("tag = 0")
+    s = scan(ev, key, ["at", "tag", "start_ms", "span_id"], {"n_before": ("sum", F.col("tag"))}, t.chunked).filter("tag = 0")
     own = calls.select("run_id", "span_id", F.col("idx").alias("own_idx"))
     first = nz("n_before") + 1
-    s = s.join(own, ["run_id", "span_id"], "left").withColumn(
-        "first_idx", F.when(F.col("own_idx") == first, first + 1).otherwise(first))
-    # a failed call without duration that ties with earlier calls could be offered itself: rare, done per scope
-    risky = s.filter("own_idx > first_idx").select(*key).distinct()
-    s = scan(s, key, o, {"j": ("rownum", None)}, t.chunked)
-    s = s.withColumn("gap", F.col("first_idx") - F.col("j"))
+    s = s.join(own, ["run_id", "span_id"], "left").withColumn("first_idx", F.when(F.col("own_idx") == first, first + 1).otherwise(first))
+    s = s.join(calls.groupBy(*key).agg(F.count("*").alias("n_calls")), key).withColumn("ties", nz("own_idx") > F.col("first_idx"))
+    s = _by_start(s.filter("first_idx <= n_calls"), [*key, "first_idx", "ties"], {"nth": ("rownum", None)}, t.chunked)
+    s = s.filter("ties or nth <= n_calls - first_idx + 1")
+    slots = F.when(F.col("ties"), F.array("first_idx", "own_idx")).otherwise(F.array("first_idx"))
+    s = s.select(*key, "span_id", "start_ms", "at", "own_idx", "by_start", CHUNK, F.posexplode(slots).alias("held", "first_idx"))
+    # both orders rise with the first slot; chunks follow ends, without them equal first slots are best left in start order
+    o = ["at", "first_idx", "held", "start_ms", "span_id"] if t.chunked else ["first_idx", "held", "start_ms", "span_id"]
+    s = scan(s, key, o, {"j": ("rownum", None)}, t.chunked).withColumn("gap", F.col("first_idx") - F.col("j"))
     s = scan(s, key, o, {"lead_gap": ("max", F.col("gap"))}, t.chunked).withColumn("idx", F.col("j") + F.col("lead_gap"))
     at = F.struct("start_ms", "span_id")
     s = scan(s.withColumn("at_start", at), key, o, {"p_idx": ("lag", F.col("idx")), "p_start": ("lag", F.col("at_start"))}, t.chunked)
     s = s.withColumn("fresh", (F.col("p_idx").isNull() | (F.col("idx") > F.col("p_idx") + 1)).cast("long"))
     s = scan(s, key, o, {"block": ("sum", F.col("fresh"))}, t.chunked)
-    s = s.withColumn("back", ~F.col("fresh").cast("boolean") & (F.col("p_start") > F.col("at_start")))
-    s = s.join(risky.withColumn("risky", F.lit(True)), key, "left").withColumn(
-        "block", F.when(F.col("risky"), F.lit(-1)).otherwise(F.col("block")))
-    bad = s.filter("back or risky").select(*key, "block").distinct()
+    back = ~F.col("fresh").cast("boolean") & (F.col("p_start") > F.col("at_start"))
+    bad = s.filter(back | (F.col("held") == 1)).groupBy(*key, "block").agg(F.max("held").alias("has_ties"))
     straight = s.join(bad, [*key, "block"], "left_anti").select(*key, "span_id", "idx")
-    tangled = s.join(bad, [*key, "block"], "left_semi").select(*key, "block", "span_id", "start_ms", "first_idx", nz("own_idx").alias("own_idx"))
-    again = tangled.groupBy(*key, "block").applyInPandas(_hand_out(), "run_id string, scope_id string, span_id string, idx bigint")
+    m = s.join(bad, [*key, "block"]).select(*key, "block", "has_ties", "span_id", "start_ms", "at", "first_idx", "held", "own_idx", "idx", "by_start", CHUNK)
+    m = _by_start(m, [*key, "block"], {"nth": ("rownum", None)}, t.chunked)
+    m = scan(m, [*key, "block"], o, {"pos": ("rownum", None), "top": ("max", F.col("nth"))}, t.chunked)
+    m = m.withColumn("last", ((F.col("has_ties") == 0) & (F.col("pos") == F.col("top"))).cast("long"))
+    m = scan(m, [*key, "block"], o, {"pieces": ("sum", F.col("last"))}, t.chunked).withColumn("piece", F.col("pieces") - F.col("last"))
+    m = m.select(*key, "block", "piece", "span_id", "start_ms", "first_idx", "held", "idx", nz("own_idx").alias("own_idx"))
+    again = m.groupBy(*key, "block", "piece").applyInPandas(_hand_out(), "run_id string, scope_id string, span_id string, idx bigint")
     claim = straight.unionByName(again)
     return claim.join(calls.select(*key, "idx", F.col("span_id").alias("call_id"), "cost_micro"), [*key, "idx"]).select(
         "run_id", "span_id", "call_id", "cost_micro")
 
 
+def _by_start(s: DataFrame, key: list[str], specs: dict, chunked: bool) -> DataFrame:
+    """``scan`` in start order of rows whose chunks follow their end; ``by_start`` holds the chunk of the start."""
+    cols = s.columns
+    s = scan(s.withColumnsRenamed({CHUNK: "by_end", "by_start": CHUNK}), key, ["start_ms", "span_id"], specs, chunked)
+    return s.withColumnsRenamed({CHUNK: "by_start", "by_end": CHUNK}).select(*cols, *specs)
+
+
 def _hand_out():
-    """Per block: first free slot at or after each failure's first eligible call, in start order.
+    """Per piece: first free slot of the piece at or after each failure's first one, in start order.
 
     A nested function, so that it travels to the workers by value.
     """
-    def assign(block: pd.DataFrame) -> pd.DataFrame:
-        nxt: dict[int, int] = {}
-        b = block.sort_values(["start_ms", "span_id"])
-        got = []
+    def assign(piece: pd.DataFrame) -> pd.DataFrame:
+        slots = np.sort(piece["idx"].to_numpy())
+        b = piece[piece["held"] == 0].sort_values(["start_ms", "span_id"])
+        nxt = list(range(len(slots) + 1))  # next free position at or after each
 
         def free(i: int) -> int:
-            path = []
-            while i in nxt:
-                path.append(i)
+            while nxt[i] != i:
+                nxt[i] = nxt[nxt[i]]
                 i = nxt[i]
-            for p in path:
-                nxt[p] = i
             return i
 
-        for f, own in zip(b["first_idx"], b["own_idx"]):
-            i = free(int(f))
-            i = free(i + 1) if i == own else i
+        got = []
+        for start, own in zip(np.searchsorted(slots, b["first_idx"].to_numpy()), b["own_idx"]):
+            i = free(int(start))
+            i = free(i + 1) if slots[i] == own else i
             nxt[i] = i + 1
-            got.append(i)
-        return b.assign(idx=got)[["run_id", "scope_id", "span_id", "idx"]]
+            got.append(int(slots[i]))
+        return b.assign(idx=np.array(got, "int64"))[["run_id", "scope_id", "span_id", "idx"]]
 
     return assign
 

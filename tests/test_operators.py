@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from spanmill import skew
 from spanmill.functions import money as M
 from spanmill.functions import text as X
 from spanmill.operators import commands, diff, filters, pricing, privacy, rules, toolusage, tree, triage
@@ -226,3 +227,58 @@ def test_no_product_plans(spark, sf):
     for df in [r(t) for r in rules.REGISTRY] + [triage.error_occurrences(t), tree.subtree_rollup(t.spans), pricing.reprice_run(t.spans, t.pricing)[0]]:
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def greedy_claims(spans):
+    """Failures in start order, each with the first free call of its scope at or after its end."""
+    out = {}
+    for scope in {s["scope_id"] for s in spans}:
+        mine = sorted((s for s in spans if s["scope_id"] == scope), key=lambda s: (s["start_ms"], s["span_id"]))
+        calls, taken = [s for s in mine if s["kind"] == "llm_call"], set()
+        for f in (s for s in mine if s["status"] == "error"):
+            end = f["start_ms"] if f["end_ms"] is None else max(f["end_ms"], f["start_ms"])
+            for c in calls:
+                if c["start_ms"] >= end and c["span_id"] not in taken and c is not f:
+                    taken.add(c["span_id"])
+                    out[f["span_id"]] = c["span_id"]
+                    break
+    return out
+
+
+@pytest.mark.parametrize("limit", [0, 15])
+@pytest.mark.parametrize("seed,width", [(1, 6), (2, 40), (3, 400)])
+def test_claims_equal_brute_force(spark, seed, width, limit):
+    rnd = random.Random(seed)
+    spans = []
+    for i in range(160):
+        start, kind = rnd.randrange(width), rnd.choice(["llm_call", "tool_call"])
+        end = rnd.choice([None, start, start, start + rnd.randrange(5), start + rnd.randrange(width)])
+        spans.append(dict(run_id="r", scope_id=rnd.choice("aab"), span_id=f"s{rnd.randrange(10**6):06d}{i}", kind=kind, start_ms=start, end_ms=end,
+                          status=rnd.choice(["ok", "error"]), cost_micro=i))
+    df = spark.createDataFrame(spans, "run_id string, scope_id string, span_id string, kind string, start_ms long, end_ms long, status string, cost_micro long")
+    df, hot = skew.with_chunks(df, ["run_id"], ["start_ms"], limit=limit) if limit else (df.withColumn("chunk", F.lit(0)), False)
+    assert hot == bool(limit)
+    t = rules.Trace(df, None, None, chunked=hot)
+    got = triage.claim_reactions(t, df.filter("status = 'error'")).collect()
+    assert {r["span_id"]: r["call_id"] for r in got} == greedy_claims(spans) and len(got) == len({r["call_id"] for r in got}) > 5
+
+
+def test_failures_in_step_need_no_hand_out(spark, monkeypatch):
+    """A scope of 4,000 failures before its last calls: at most as many rows as calls reach the hand-out."""
+    spans = [("r", "a", f"f{i:05d}", "tool_call", i, 9000 - i, "error", 0) for i in range(4000)]
+    spans += [("r", "a", f"m{i}", "llm_call", 9500 + i, None, "ok", i) for i in range(3)]
+    df = spark.createDataFrame(spans, "run_id string, scope_id string, span_id string, kind string, start_ms long, end_ms long, status string, cost_micro long")
+    seen = spark.sparkContext.accumulator(0)
+    plain = triage._hand_out
+
+    def counted():
+        run = plain()
+
+        def assign(piece):
+            seen.add(len(piece))
+            return run(piece)
+        return assign
+    monkeypatch.setattr(triage, "_hand_out", counted)
+    t = rules.Trace(df.withColumn("chunk", F.lit(0)), None, None)
+    got = triage.claim_reactions(t, t.spans.filter("status = 'error'")).collect()
+    assert {(r["span_id"], r["call_id"]) for r in got} == {("f00000", "m0"), ("f00001", "m1"), ("f00002", "m2")} and seen.value <= 3
