@@ -2,7 +2,8 @@
 
 1. Tokenise each document once; cut it into pieces of ``limit`` ids and one rest. Each piece gets the CRC of its ids at once, so ids
    are never stored.
-2. Count the rests by length class (``grain`` ids wide: at most ``limit / grain`` rows, however large the input).
+2. Count the rests by length class: exact up to ``EXACT`` ids, ``grain`` ids wide above (rounded up), so the histogram has at most
+   EXACT + limit / grain rows, however large the input. Short rests, of which a sequence holds many, lose nothing to rounding.
 3. On the driver, over that histogram only: the linear program "fewest sequences whose patterns cover all rests" by column generation.
    The restricted master is a revised simplex; a knapsack dynamic program over the capacity prices new patterns with the dual
    values; it stops at optimality or when Farley's bound is within ``gap``.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from ..session import land
 from .common import chunks, keyed
 
-LIMIT, GRAIN, GAP, END_ID, CACHE = 1024, 4, 1e-3, 0, 400_000
+LIMIT, GRAIN, EXACT, GAP, END_ID, CACHE = 1024, 4, 64, 1e-3, 0, 400_000
 CHUNK_ROWS = 200_000
 ROUNDS = 1500  # pivots at most; what is left to gain then is below the last bound
 PIECES = "k1 long, k2 long, doc {id}, start long, length long, crc long, tokens long"
@@ -139,7 +140,7 @@ def first_basis(sizes: np.ndarray, demand: np.ndarray, room: int) -> np.ndarray:
 
 
 def _inverse(a: np.ndarray) -> np.ndarray:
-    """Gauss-Jordan with row choice. Elementwise on purpose, like all of the solver: at most limit / grain rows, no thread pool."""
+    """Gauss-Jordan with row choice. Elementwise on purpose, like all of the solver: a row per length class, no thread pool."""
     n = len(a)
     t = np.hstack([a.astype(float), np.eye(n)])
     for i in range(n):
@@ -230,7 +231,7 @@ def slots(patterns: list[tuple[dict[int, int], int]]) -> list[tuple[int, list[tu
 
 
 def pack(docs: DataFrame, text: str = "text", id: str = "doc_id", limit: int = LIMIT, grain: int = GRAIN,
-         vocabulary: str | None = None) -> DataFrame:
+         exact: int = EXACT, vocabulary: str | None = None) -> DataFrame:
     """doc, start, length, crc, tokens, sequence_id, offset: one row per piece."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -240,9 +241,10 @@ def pack(docs: DataFrame, text: str = "text", id: str = "doc_id", limit: int = L
     d = keyed(docs, text, id)
     ddl = PIECES.format(id=d.schema["doc"].dataType.simpleString())
     schema = to_arrow_schema(StructType.fromDDL(ddl))
-    p = land(d.mapInArrow(pieces_task(vocabulary, limit, schema), ddl).withColumn("size", F.ceil(F.col("length") / grain).cast("int")))
-    histogram = {r["size"]: r["count"] for r in p.groupBy("size").count().collect()}  # limit / grain rows at most
-    table = slots(plan(histogram, limit // grain))
+    size = F.when(F.col("length") <= exact, F.col("length")).otherwise(F.ceil(F.col("length") / grain) * grain).cast("int")
+    p = land(d.mapInArrow(pieces_task(vocabulary, limit, schema), ddl).withColumn("size", size))
+    histogram = {r["size"]: r["count"] for r in p.groupBy("size").count().collect()}  # exact + limit / grain rows at most
+    table = slots(plan(histogram, limit))
     parts = max(8, -(-sum(histogram.values()) // CHUNK_ROWS))
     p = p.withColumn("part", F.pmod(F.xxhash64("k1", "k2", "start"), F.lit(parts)).cast("int"))
     n = p.groupBy("size", "part").agg(F.count("*").alias("n"))
