@@ -5,17 +5,22 @@
    key in [0, 1). Quantiles of the sample are the splitters of at most ``FAN`` ranges.
 3. Every range is measured in full. Overfull ones (over ``OVERFULL`` times their due of bytes or rows, or over ``range_rows``
    rows) are subdivided at quantiles of a denser sample of their own, again and again while that helps.
-4. Exact running sizes (per range, plus the sum of the ranges before) place each row on [0, total); the shard is the slice of
-   total / shards bytes that holds the middle of the row. Rows of one text go together, to the middle of the group, as
-   long as the group is below ``GROUP`` of a shard; larger groups are split.
+4. Rows of one text stay in one shard. Groups of ``GROUP`` of a shard and more (at most shards / GROUP of them) are placed first,
+   largest first, each in the emptiest shard. A group that no shard has room for, always one larger than a shard, is split like
+   rows of different texts, since equal bytes are the law.
+5. Exact running sizes of the other rows (per range, plus the sum of the ranges before) place each on [0, their total); the shards
+   take slices as long as the room left in them, a row goes where its middle lies, a smaller group where the group's middle lies.
 
 Only (id, size, hashes) are shuffled, never texts. Splitters are at most FAN per range and join as a table; no task holds
-more than a range. Cases: a null text has size ``OVERHEAD`` and CRC 0; repeated rows each get a slot; null ids are ordinary
+more than a range. The driver sees (hash, size) of the groups placed first, texts of any length are read whole. Cases: a null text has size ``OVERHEAD`` and CRC 0; repeated rows each get a slot; null ids are ordinary
 ids; an empty table gives an empty result; ties are ordered by key, id and size; extra columns stay in ``row``.
 """
 
 from __future__ import annotations
 
+import heapq
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,20 +72,44 @@ def split_ranges(m: DataFrame, range_rows: int) -> DataFrame:
     return out
 
 
+def homes(groups: list[tuple[int, int, int]], shards: int, room: float) -> tuple[list[dict], list[float]]:
+    """Home shards of (t2, crc, bytes) groups, largest first into the emptiest shard, and the room left in every shard."""
+    left = [(-room, i) for i in range(shards)]
+    heapq.heapify(left)
+    out = []
+    for t2, crc, size in sorted(groups, key=lambda g: (-g[2], g[0], g[1])):
+        free, i = left[0]
+        if size <= -free:
+            heapq.heapreplace(left, (free + size, i))
+            out.append({"t2": t2, "crc": crc, "home": i})
+    return out, [-free for free, _ in sorted(left, key=lambda x: x[1])]
+
+
 def shard(docs: DataFrame, shards: int = 40, text: str = "text", id: str = "doc_id", range_rows: int = 2_000_000) -> DataFrame:
     """doc, size, crc, ``shard`` (0 .. shards-1) and ``slot`` (gapless from 0 in the shard)."""
     m = split_ranges(measured(docs, text, id), range_rows)
-    rng = m.groupBy("range").agg(F.sum("size").alias("rb"))
-    # at most FAN * (overfull ranges) rows; one window over range totals only
-    rng = rng.select("range", F.coalesce(F.sum("rb").over(Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(*_BEFORE)), F.lit(0)).alias("before"),
-                     F.sum("rb").over(Window.partitionBy(F.lit(0))).alias("total"))
+    due = (m.agg(F.sum("size")).first()[0] or 0) / shards
+    same = ["t2", "crc"]
+    large = m.groupBy(*same).agg(F.sum("size").alias("gb"), F.count("*").alias("gn")).filter((F.col("gn") > 1) & F.col("gb").between(due * GROUP, due))
+    placed, room = homes([(r["t2"], r["crc"], r["gb"]) for r in large.collect()], shards, due)  # shards / GROUP rows at most
+    home = m.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(placed)), "array<struct<t2:bigint,crc:bigint,home:int>>")))
+    m = m.join(F.broadcast(home), same, "left").withColumn("width", F.when(F.col("home").isNull(), F.col("size")).otherwise(0))
+    ends = [sum(room[: i + 1]) for i in range(shards - 1)]  # where the slices of all shards but the last end
+    rng = m.groupBy("range").agg(F.sum("width").alias("rb"))
+    # at most FAN * (overfull ranges) rows; one window over range totals only. A range needs the ends in it, or a small group beside it
+    rng = rng.select("range", "rb", F.coalesce(F.sum("rb").over(Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(*_BEFORE)), F.lit(0)).alias("before"))
+    lo, hi = F.col("before") - due * GROUP, F.col("before") + F.col("rb") + due * GROUP
+    all_ends = F.lit(json.dumps(ends))
+    rng = rng.withColumn("all", F.from_json(all_ends, "array<double>")).select(
+        "range", "before", F.size(F.filter("all", lambda e: e <= lo)).alias("passed"), F.filter("all", lambda e: (e > lo) & (e <= hi)).alias("ends"))
     order = ["key", "t2", "doc", "size"]
-    run = F.sum("size").over(Window.partitionBy("range").orderBy(*order).rowsBetween(*_UPTO))
-    p = land(m.withColumn("run", run).join(rng, "range").withColumn("at", F.col("before") + F.col("run") - F.col("size")))
-    group = p.groupBy("t2", "crc").agg(F.min("at").alias("g0"), F.sum("size").alias("gb"), F.count("*").alias("gn"), F.max("total").alias("gt"))
-    group = group.filter((F.col("gn") > 1) & (F.col("gb") < F.col("gt") * GROUP / shards)).select("t2", "crc", "g0", "gb")
-    p = p.join(land(group), ["t2", "crc"], "left").withColumn("mid", F.coalesce(F.col("g0") + F.col("gb") / 2, F.col("at") + F.col("size") / 2))
-    p = land(p.select("range", *order, "crc", F.least(F.floor(F.col("mid") * shards / F.col("total")), F.lit(shards - 1)).cast("int").alias("shard")))
+    run = F.sum("width").over(Window.partitionBy("range").orderBy(*order).rowsBetween(*_UPTO))
+    p = land(m.withColumn("run", run).join(rng, "range").withColumn("at", F.col("before") + F.col("run") - F.col("width")))
+    group = p.filter("home is null").groupBy(*same).agg(F.min("at").alias("g0"), F.sum("size").alias("gb"), F.count("*").alias("gn"))
+    group = group.filter((F.col("gn") > 1) & (F.col("gb") < due * GROUP)).select(*same, "g0", "gb")
+    p = p.join(land(group), same, "left").withColumn("mid", F.coalesce(F.col("g0") + F.col("gb") / 2, F.col("at") + F.col("size") / 2))
+    slice_no = F.col("passed") + F.size(F.filter("ends", lambda e: e <= F.col("mid")))
+    p = land(p.select("range", *order, "crc", F.coalesce("home", slice_no).cast("int").alias("shard")))
     n = p.groupBy("shard", "range").agg(F.count("*").alias("n"))
     n = n.select("shard", "range", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("range").rowsBetween(*_BEFORE)), F.lit(0)).alias("first"))
     slot = F.row_number().over(Window.partitionBy("shard", "range").orderBy(*order)) - 1

@@ -425,3 +425,25 @@ def test_sharding_of_a_hot_text(spark):
     b = [r["b"] for r in got.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
     assert len(b) == 8 and max(b) - min(b) <= 500
     assert got.groupBy("shard").agg((F.max("slot") + 1 == F.count("*")).alias("ok")).filter("not ok").count() == 0
+
+
+def test_sharding_keeps_groups_together(spark):
+    """Groups from 2 rows to most of a shard stay whole, a group above a shard is split, and bytes stay near equal."""
+    sizes = [2, 3, 5, 20, 60, 150, 300, 380, 400, 2500]
+    texts = [f"group {g} ".ljust(84, "x") for g, n in enumerate(sizes) for _ in range(n)] + [f"single {i}".ljust(84, "y") for i in range(1500)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sharding.shard(d, shards=10, range_rows=300).collect()
+    homes, of = defaultdict(set), Counter()
+    for r in got:
+        homes[texts[r["doc"]]].add(r["shard"])
+        of[r["shard"]] += r["size"]
+    due = len(texts) * 100 / 10
+    assert len(got) == len(texts) and len(of) == 10 and max(of.values()) - min(of.values()) <= 2 * sharding.GROUP * due + 400
+    assert all(len(v) == 1 for t, v in homes.items() if "group 9" not in t) and len(homes["group 9 ".ljust(84, "x")]) > 1
+
+
+def test_packing_of_short_documents(spark):
+    d = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a short text").alias("text"))
+    got = packing.pack(d, limit=1024)
+    ids, sequences = got.agg(F.sum("length"), F.countDistinct("sequence_id")).first()
+    assert got.count() == 6000 and ids >= 0.95 * 1024 * sequences
