@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch
 from ..sources.otlp import OtlpSource
+from ..sources.positions import line_blocks, records_at
 from ..sources.session_jsonl import dedupe_records, read_records
 from ..streaming.live import tailed_records
 from .catalog import register
@@ -78,3 +79,12 @@ def st1(spark: SparkSession, sf: str) -> DataFrame:
     finally:
         q.stop()
     return spark.read.schema("uuid string, type string, ms bigint").parquet(f"{at}/out")
+
+
+@register("s33_records_by_position", """select 'u' || event_id as uuid, '{"type":"user","uuid":"u' || event_id || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') || '"}' as text from events""")
+def s33(spark: SparkSession, sf: str) -> DataFrame:
+    """The log line behind every record, by seeking to its (file, line)."""
+    path = _written(spark, sf, _record(F.concat(F.lit("u"), "event_id"), "user"))
+    rec, _ = read_records(spark, path, glob="*.txt")
+    at = rec.select("file", "line", "uuid")
+    return at.join(records_at(at, line_blocks(spark, path, "*.txt")), ["file", "line"]).select("uuid", "text")
