@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import privacy as V
 from ..operators import rules as R
+from ..operators.known_names import names_in_texts
 from .catalog import register
 from .catalog_rules import OCC, findings, trace, vr
 from .oracle import v1
@@ -79,6 +80,22 @@ def x7b(spark, sf):
     return V.path_hits(s.drop("path")).unionByName(V.path_hits(r))
 
 
+@register("x7c_known_names", v1("""select 'prompt_preview' as column, name, count(*) as cells from (select distinct prompt_preview as text, span_id from calls) c
+  join (select distinct 'dev' || user_id as name from runs) n on contains(c.text, n.name) group by 2"""))
+def x7c(spark, sf):
+    """Home folders of all users, found inside the sentences of the previews."""
+    t = event_trace(spark, sf)
+    return names_in_texts(t.spans.select("prompt_preview"), t.runs.select(F.concat(F.lit("dev"), F.regexp_extract("run_id", "[0-9]+", 0)).alias("name")))
+
+
+@register("x7d_names_in_documents", """select 'text' as column, w as name, count(*) as cells from documents d
+  join (select distinct split_part(trim(text), ' ', 1) as w from benchmark) b on w <> '' and contains(d.text, w) group by 2""")
+def x7d(spark, sf):
+    """First words of all benchmark items, wherever whole documents hold them, inside longer words too."""
+    names = read(spark, sf, "benchmark").select(F.split(F.trim("text"), " ").getItem(0).alias("name"))
+    return names_in_texts(read(spark, sf, "documents").select("text"), names)
+
+
 @register("f8_canonical_model", v1("select model, c as canonical, l as loose from loose"))
 def f8(spark, sf):
     from ..functions.money import canonical_model, loose_model

@@ -32,6 +32,7 @@ class Tables:
     rejects: DataFrame
     profile: str
     manifest: DataFrame
+    private: DataFrame | None  # names that must not leave; None for a full load
 
 
 def read_all(spark: SparkSession, inputs: Sequence[tuple[str, str, dict]], sources=None) -> Loaded:
@@ -52,7 +53,9 @@ def build(spark: SparkSession, data: Loaded, pricing: DataFrame, thresholds: Thr
     placed, warn, chunked = place(land(spans))
     spans, warnings = price_spans(placed, pricing), data.warnings.unionByName(warn)
     p = privacy.resolve_profile(profile)
+    private = None
     if p != "full":
+        private = land(privacy.known_project_names(runs))
         runs, spans, warnings = privacy.sanitize(runs, land(spans), "sanitized", warnings)
         runs = land(runs)
     t = Trace(land(spans), runs, pricing, chunked, thresholds or Thresholds())
@@ -61,4 +64,4 @@ def build(spark: SparkSession, data: Loaded, pricing: DataFrame, thresholds: Thr
     if p == "metadata-only":
         findings = land(privacy.reanchored(findings, rules.evidence_rows(t, findings), t.spans))
         t = Trace(land(privacy.prune_to_metadata(t.spans)), runs, pricing, chunked, t.thresholds, {"totals": t.totals})
-    return Tables(t, findings, wasted, warnings, rejects, p, privacy.manifest(t.spans, p))
+    return Tables(t, findings, wasted, warnings, rejects, p, privacy.manifest(t.spans, p), private)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import usd
 from ..functions.text import local_day
+from ..operators.privacy import assert_no_paths
 
 # Column order of the sessions report (later additions are appended).
 SESSION_COLUMNS = ["runId", "startedAt", "endedAt", "project", "source", "title", "models", "durationMs", "tokensInput", "tokensOutput", "tokensCacheRead",
@@ -30,6 +31,17 @@ def _num(micro: str) -> Column:
     return F.regexp_replace(F.regexp_replace(d, "0+$", ""), r"\.$", "")
 
 
+def _checked(private: DataFrame | None, *frames: DataFrame) -> None:
+    """Before anything is written: with ``private`` names (``Tables.private``), no path and none of these names may be in the texts.
+
+    Names are also looked for as JSON and CSV spell them.
+    """
+    if private is not None:
+        spelt = F.to_json(F.struct("name"))
+        forms = F.array(F.col("name"), F.substring(spelt, F.lit(10), F.char_length(spelt) - 11), F.replace("name", F.lit('"'), F.lit('""')))
+        assert_no_paths(*frames, basenames=private.select(F.explode(forms).alias("name")))
+
+
 def _write_lines(lines: DataFrame, header: list[str] | Column, order: list[str], path: str) -> None:
     """CRLF text in global order; byte-order mark and header open the first part file."""
     spark = lines.sparkSession
@@ -40,7 +52,7 @@ def _write_lines(lines: DataFrame, header: list[str] | Column, order: list[str],
     out.write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
-def sessions_csv(facts: DataFrame, findings: DataFrame, path: str) -> None:
+def sessions_csv(facts: DataFrame, findings: DataFrame, path: str, private: DataFrame | None = None) -> None:
     """One line per run in start order; RFC 4180 quoting."""
     n = findings.groupBy("run_id").agg(F.count("*").alias("n"))
     f = facts.join(n, "run_id", "left")
@@ -49,6 +61,7 @@ def sessions_csv(facts: DataFrame, findings: DataFrame, path: str) -> None:
              F.col("tok_output"), F.col("tok_cache_read"), F.col("tok_cache_write"), F.col("tok_total"), _num("cost_micro"), _num("wasted_micro"), F.col("llm_calls"),
              F.col("tool_calls"), F.col("tool_errors"), F.col("subagents"), F.coalesce("n", F.lit(0)), F.col("git_branch")]
     lines = f.select("start_ms", "run_id", F.concat_ws(",", *[_cell(c) for c in cells]).alias("line"))
+    _checked(private, lines.select("line"))
     _write_lines(lines, SESSION_COLUMNS, ["start_ms", "run_id"], path)
 
 
@@ -68,8 +81,9 @@ def day_model_pivot(facts: DataFrame, tz: str = "UTC") -> DataFrame:
     return base.join(wide, "day", "left").fillna(0)
 
 
-def day_aggregates_csv(facts: DataFrame, path: str, tz: str = "UTC") -> None:
+def day_aggregates_csv(facts: DataFrame, path: str, tz: str = "UTC", private: DataFrame | None = None) -> None:
     w = day_model_pivot(facts, tz)
+    _checked(private, facts.select(F.map_keys("by_model").alias("models")))
     models = w.columns[4:]
     safe = w.toDF(*w.columns[:4], *[f"m{i}" for i in range(len(models))])
     cells = [F.col("day"), _num("cost_micro"), _num("wasted_micro"), F.col("runs"), *[_num(f"m{i}") for i in range(len(models))]]
@@ -94,7 +108,7 @@ def span_json() -> Column:
                     F.struct(F.col("prov_file").alias("file"), F.col("prov_line").alias("line"), F.col("prov_record").alias("recordId")).alias("provenance"))
 
 
-def write_trace_json(runs: DataFrame, spans: DataFrame, findings: DataFrame | None, path: str) -> None:
+def write_trace_json(runs: DataFrame, spans: DataFrame, findings: DataFrame | None, path: str, private: DataFrame | None = None) -> None:
     """Runs as JSON lines, one shape for all sizes: ``runs`` (headers), ``spans`` and ``findings`` (a line each, with the run id).
 
     No row holds a whole session; ``read_run_lines`` and ``read_finding_lines`` read the folder back.
@@ -102,20 +116,23 @@ def write_trace_json(runs: DataFrame, spans: DataFrame, findings: DataFrame | No
     doc = F.struct(F.col("run_id").alias("id"), F.struct(F.col("source").alias("tool"), "format", "files").alias("source"), "title",
                    F.struct(F.col("project_name").alias("name"), F.col("project_path").alias("path"), F.col("git_branch").alias("gitBranch")).alias("project"),
                    iso("start_ms").alias("startedAt"), iso("end_ms").alias("endedAt"), F.col("duration_ms").alias("durationMs"))
-    runs.select(F.to_json(doc).alias("value")).write.mode("overwrite").text(path + "/runs")
-    spans.select(F.to_json(F.struct("run_id", span_json().alias("span"))).alias("value")).write.mode("overwrite").text(path + "/spans")
+    out = {"runs": runs.select(F.to_json(doc).alias("value")), "spans": spans.select(F.to_json(F.struct("run_id", span_json().alias("span"))).alias("value"))}
     if findings is not None:
         f = F.struct("run_id", F.struct(F.col("finding_id").alias("id"), F.col("rule").alias("ruleId"), "severity", F.col("evidence").alias("spanIds"),
                                         usd("waste_micro").alias("estimatedWasteUSD")).alias("insight"))
-        findings.select(F.to_json(f).alias("value")).write.mode("overwrite").text(path + "/findings")
+        out["findings"] = findings.select(F.to_json(f).alias("value"))
+    _checked(private, *out.values())
+    for name, lines in out.items():
+        lines.write.mode("overwrite").text(f"{path}/{name}")
 
 
-def write_tables(path: str, runs: DataFrame, spans: DataFrame, **more: DataFrame) -> None:
+def write_tables(path: str, runs: DataFrame, spans: DataFrame, private: DataFrame | None = None, **more: DataFrame) -> None:
     """Silver tables as Parquet: ``spans`` and ``runs`` by source and start day, spans sorted by run.
 
     Rows of a (source, day) folder are spread over tasks by run and chunk, so a hot session fills
     several files instead of one task.
     """
+    _checked(private, runs, spans, *more.values())
     day = F.to_date(F.timestamp_millis("start_ms")).alias("start_day")
     head = runs.select("*", day)
     s = spans.join(head.select("run_id", "source", "start_day"), "run_id")
