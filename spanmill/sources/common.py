@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -12,6 +13,7 @@ from ..schema import RAW_SPAN_DDL, RUN_DDL, WARNING_DDL, conform
 from ..session import land
 
 PREVIEW = 200
+LISTED = 100_000
 
 
 @dataclass(frozen=True)
@@ -34,9 +36,19 @@ def loaded(runs: DataFrame, spans: DataFrame, warnings: DataFrame) -> Loaded:
     return Loaded(conform(runs, RUN_DDL), conform(spans, RAW_SPAN_DDL), conform(warnings, WARNING_DDL))
 
 
-def numbered_lines(spark: SparkSession, path: str, glob: str = "*.jsonl", modified_after: str | None = None) -> DataFrame:
+def listed(files: DataFrame | None) -> list[str] | None:
+    """Paths of chosen files for a reader, which keeps the names of its files on the driver anyway; None beyond ``LISTED`` names."""
+    if files is None:
+        return None
+    names = [r["path"] for r in files.select("path").limit(LISTED + 1).collect()]
+    return names if len(names) <= LISTED else None
+
+
+def numbered_lines(spark: SparkSession, path: str, glob: str = "*.jsonl", modified_after: str | None = None, files: DataFrame | None = None) -> DataFrame:
     """(file, line, value) with exact 1-based line numbers, without reading a file in one task.
 
+    ``files(path, file)`` chooses files of the folder: up to ``LISTED`` are opened by name, more are kept by a join with the scan.
+
     Rows of a file split are consecutive in their scan task, so a line is its running row id minus the split's first one,
     plus the line counts of the splits before it: one small row per split. The text is scanned once and landed with its split and
     row id; counts and lines both come from the landed rows, so they agree however the session cuts files later.
@@ -44,8 +56,11 @@ def numbered_lines(spark: SparkSession, path: str, glob: str = "*.jsonl", modifi
     r = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     if modified_after:
         r = r.option("modifiedAfter", modified_after)
-    t = r.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                            F.monotonically_increasing_id().alias("mid"), "value")
+    names = listed(files)
+    t = r.text(path if names is None else names).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                                        F.monotonically_increasing_id().alias("mid"), "value")
+    if files is not None and names is None:
+        t = t.join(files.select("file"), "file", "left_semi")
     t = land(t)
     per = t.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("mid").alias("first"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
@@ -54,17 +69,24 @@ def numbered_lines(spark: SparkSession, path: str, glob: str = "*.jsonl", modifi
     return t.select("file", line.alias("line"), F.when(line == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")).alias("value"))
 
 
+def list_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(path, file, bytes, modified): the files of a folder; ``file`` is spelt as readers report it, contents are not read."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+            .select("path", F.col("_metadata.file_path").alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified")))
+
+
 def list_sources(spark: SparkSession, path: str, glob: str, unit: Column) -> DataFrame:
     """Candidates: files, newest modification and total size per unit (a column over ``path``)."""
-    f = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-         .select("path", "modificationTime", "length"))
-    return f.groupBy(unit.alias("candidate")).agg(
-        F.array_sort(F.collect_list("path")).alias("files"), F.max("modificationTime").alias("modified"),
-        F.sum("length").alias("bytes"))
+    return list_files(spark, path, glob).groupBy(unit.alias("candidate")).agg(
+        F.array_sort(F.collect_list("path")).alias("files"), F.max("modified").alias("modified"),
+        F.sum("bytes").alias("bytes"))
 
 
 def since(files: DataFrame, window: str, now_ms: int) -> DataFrame:
-    """Candidates changed within ``7d`` / ``24h`` / ``30m`` before the given instant."""
+    """Candidates changed within ``7d`` / ``24h`` / ``30m`` before the given instant; another form is an error."""
+    if not re.fullmatch(r"\d+[dhm]", window.strip()):
+        raise ValueError(f"invalid window {window!r}: a number and d, h or m, such as 7d, 24h or 30m")
+    window = window.strip()
     unit = {"d": 86_400_000, "h": 3_600_000, "m": 60_000}[window[-1]]
     return files.filter(F.unix_millis("modified") >= now_ms - int(window[:-1]) * unit)
 

@@ -13,7 +13,7 @@ from ..operators.commands import classify_commands
 from ..operators.toolusage import command_outcome_flags, hook_summary_identity
 from ..operators.tree import repaired_parents, subtree
 from ..session import land
-from .common import (PREVIEW, Loaded, byte_length, iso_ms, line_count, loaded, numbered_lines, span_between, text_of, vget, vint, vstr)
+from .common import (PREVIEW, Loaded, byte_length, iso_ms, line_count, listed, loaded, numbered_lines, span_between, text_of, vget, vint, vstr)
 
 AGENT_FILE = r"^(.*)/([^/]+)/subagents/(?:.*/)?agent-([A-Za-z0-9]+)\.jsonl$"
 META_TYPES = ["summary", "file-history-snapshot", "queue-operation"]
@@ -23,9 +23,15 @@ MATCHER_EVENTS = ["PreToolUse", "PostToolUse", "PostToolUseFailure", "Permission
 EVENT_RE, MATCHER_RE = r"^[A-Za-z][A-Za-z0-9]*$", r"^[A-Za-z0-9_-]{1,64}(?::[A-Za-z0-9_-]{1,64}){0,2}$"
 
 
-def read_records(spark: SparkSession, path: str, modified_after: str | None = None, glob: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
+def unit_of(file: Column | str) -> Column:
+    """The main transcript a file belongs to: itself, or the one beside the folder of its agents."""
+    return F.regexp_replace(file, r"/subagents/.*$", ".jsonl")
+
+
+def read_records(spark: SparkSession, path: str, modified_after: str | None = None, glob: str = "*.jsonl",
+                 files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, warnings): parsed objects with file, line, session file and agent id; bad lines apart."""
-    t = numbered_lines(spark, path, glob, modified_after).filter(F.trim("value") != "")
+    t = numbered_lines(spark, path, glob, modified_after, files).filter(F.trim("value") != "")
     t = t.filter(~F.col("file").endswith("/journal.jsonl")).withColumn("v", F.try_parse_json("value"))
     agent = F.regexp_extract("file", AGENT_FILE, 3)
     session = F.when(agent != "", F.concat(F.regexp_extract("file", AGENT_FILE, 1), F.lit("/"), F.regexp_extract("file", AGENT_FILE, 2),
@@ -173,10 +179,11 @@ def reject_non_sessions(header: DataFrame) -> tuple[DataFrame, DataFrame]:
     return header.filter(ok), bad
 
 
-def agent_metas(spark: SparkSession, path: str) -> DataFrame:
-    """Sidecars of agent transcripts."""
+def agent_metas(spark: SparkSession, path: str, files: DataFrame | None = None) -> DataFrame:
+    """Sidecars of agent transcripts; ``files`` chooses some."""
+    names = listed(files)
     m = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "agent-*.meta.json").option("multiLine", "true")
-         .schema("name string, agentType string, description string, toolUseId string, parentAgentId string").json(path)
+         .schema("name string, agentType string, description string, toolUseId string, parentAgentId string").json(path if names is None else names)
          .select("*", F.regexp_replace(F.col("_metadata.file_path"), r"\.meta\.json$", ".jsonl").alias("file")))
     return m.select(F.regexp_extract("file", AGENT_FILE, 3).alias("agent"), "file", F.concat(
         F.regexp_extract("file", AGENT_FILE, 1), F.lit("/"), F.regexp_extract("file", AGENT_FILE, 2), F.lit(".jsonl")).alias("session"),
@@ -235,16 +242,21 @@ def extend_containers(spans: DataFrame) -> DataFrame:
 class SessionJsonlSource:
     name = "claude-code"
 
-    def read(self, spark: SparkSession, path: str, redact: bool = False, modified_after: str | None = None) -> Loaded:
-        """Transcripts of a folder to runs, spans and warnings."""
-        rec, bad = read_records(spark, path, modified_after)
+    # one unit of change is a main transcript with all that lies in its folder
+    listing = "*.{jsonl,meta.json}"
+    unit = staticmethod(unit_of)
+
+    def read(self, spark: SparkSession, path: str, redact: bool = False, modified_after: str | None = None, files: DataFrame | None = None,
+             glob: str = "*.jsonl") -> Loaded:
+        """Transcripts of a folder, or the chosen ``files(path, file)`` of it, to runs, spans and warnings."""
+        rec, bad = read_records(spark, path, modified_after, glob, files)
         rec = land(dedupe_records(rec))
         header, not_sessions = reject_non_sessions(session_header(rec))
         header = header.withColumn("root", F.coalesce("session_id", F.regexp_replace(basename(F.col("session")), r"\.jsonl$", "")))
         header = land(header.withColumn("run_id", stable_run_id(F.col("root"))))
         ids = header.select("session", "run_id", "root")
         calls = land(pair_tool_results(extract_tool_calls(rec), tool_results(rec)))
-        deleg, metas = link_subagents(calls), agent_metas(spark, path)
+        deleg, metas = link_subagents(calls), agent_metas(spark, path, files)
         reach = reach_transcripts(rec, calls, deleg, metas)
         keep = land(reach.select("session", "agent", "via").unionByName(ids.select("session", F.lit("").alias("agent"), F.lit("main").alias("via"))))
 
