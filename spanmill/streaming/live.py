@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -59,14 +59,27 @@ def pair_stream(calls: DataFrame, results: DataFrame, delay: str = "1 hour") ->
     return c.join(r, cond, "left_outer").select(*calls.columns, "result_ts", F.coalesce("r_status", F.lit("in_progress")).alias("status"))
 
 
-def live_run_totals(spans: DataFrame) -> DataFrame:
-    """Running totals per run (update mode)."""
+def _totals() -> list[Column]:
     call = (F.col("kind") == "llm_call") & F.col("model").isNotNull()
     tool = F.col("kind").isin("tool_call", "mcp_call")
-    return spans.groupBy("run_id").agg(
-        nz(F.sum(F.when(call, F.col("cost_micro")))).alias("cost_micro"), nz(F.sum(F.when(call, total_tokens()))).alias("tok_total"),
-        F.count(F.when(call, 1)).alias("llm_calls"), F.count(F.when(tool, 1)).alias("tool_calls"),
-        F.count(F.when(tool & (F.col("status") == "error"), 1)).alias("tool_errors"), F.max("start_ms").alias("last_ms"))
+    return [nz(F.sum(F.when(call, F.col("cost_micro")))).alias("cost_micro"), nz(F.sum(F.when(call, total_tokens()))).alias("tok_total"),
+            F.count(F.when(call, 1)).alias("llm_calls"), F.count(F.when(tool, 1)).alias("tool_calls"),
+            F.count(F.when(tool & (F.col("status") == "error"), 1)).alias("tool_errors"), F.max("start_ms").alias("last_ms")]
+
+
+def live_run_totals(spans: DataFrame) -> DataFrame:
+    """Running totals per run (update mode); state holds every run ever seen, so for bounded replays."""
+    return spans.groupBy("run_id").agg(*_totals())
+
+
+def live_burst_totals(spans: DataFrame, gap: str = "30 minutes", watermark: str = WATERMARK) -> DataFrame:
+    """Totals per run and burst of activity (append mode): a burst comes out once, when the watermark is past its gap, and its state ends there.
+
+    The totals of a run are the sums over its bursts; rows later than the watermark are left out.
+    """
+    w = F.session_window("event_ts", gap).alias("w")
+    return (spans.withWatermark("event_ts", watermark).groupBy("run_id", w).agg(*_totals())
+            .select("run_id", F.col("w.start").alias("burst_start"), F.col("w.end").alias("burst_end"), "cost_micro", "tok_total", "llm_calls", "tool_calls", "tool_errors", "last_ms"))
 
 
 def spend_windows(spans: DataFrame, length: str = "1 day", slide: str | None = None, watermark: str = WATERMARK) -> DataFrame:
@@ -88,12 +101,16 @@ ALERT_SCHEMA = "run_id string, scope_id string, alert string, span_id string, at
 
 
 def alert_processor(min_failures: int = 3, max_gap: int = 3, min_prefix: int = 20_000, collapse: float = 0.2, rewrite: int = 10_000,
-                    idle_ms: int = 300_000, slack_ms: int = 0):
+                    idle_ms: int = 300_000, slack_ms: int = 0, forget_ms: int = 7 * 86_400_000):
     """State per (run, scope): open failure clusters, the tool counter and the last call per model.
 
     Rows wait in state until the watermark passes them, then are handled in (start, id) order, so late
     rows within the watermark change nothing. State grows with open clusters and models, not with rows.
+    A scope without rows for ``forget_ms`` of event time loses all its state: clusters and pauses longer than that raise no alert.
     """
+    if forget_ms <= slack_ms:
+        raise ValueError("forget_ms must be larger than slack_ms: rows would be forgotten while they wait")
+
     class Alerts(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
@@ -101,6 +118,7 @@ def alert_processor(min_failures: int = 3, max_gap: int = 3, min_prefix: int = 2
             self.open = handle.getMapState("open", "name string, target string", "n int, seq bigint")
             self.last = handle.getMapState("last", "model string", "span_id string, end_ms bigint, rd bigint, wr bigint, one_h boolean")
             self.seq = handle.getValueState("seq", "n bigint")
+            self.seen = handle.getValueState("seen", "newest bigint")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             import json
@@ -113,6 +131,13 @@ def alert_processor(min_failures: int = 3, max_gap: int = 3, min_prefix: int = 2
                     self.wait.updateValue((at, r["span_id"]), (json.dumps(keep),))
             if latest is not None:
                 self.handle.registerTimer(latest + slack_ms + 1)
+                old = self.seen.get()[0] if self.seen.exists() else None
+                if old is None or latest > old:
+                    # one timer a scope says when it is forgotten; it moves with the newest row
+                    if old is not None:
+                        self.handle.deleteTimer(old + forget_ms)
+                    self.handle.registerTimer(latest + forget_ms)
+                    self.seen.update((latest,))
             return iter(())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -124,6 +149,9 @@ def alert_processor(min_failures: int = 3, max_gap: int = 3, min_prefix: int = 2
                 r = json.loads(self.wait.getValue(k)[0])
                 self.wait.removeKey(k)
                 out += self.step(key, r)
+            if self.seen.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self.seen.get()[0] + forget_ms:
+                for state in (self.wait, self.open, self.last, self.seq, self.seen):
+                    state.clear()
             if out:
                 yield pd.DataFrame(out, columns=["run_id", "scope_id", "alert", "span_id", "at_ms", "detail"])
 

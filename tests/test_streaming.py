@@ -105,6 +105,58 @@ def test_alerts_equal_batch_rules(spark, chunks, tmp_path):
     assert got == sorted(want) and got
 
 
+def test_silent_scopes_leave_no_state(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    ddl = ("run_id string, scope_id string, span_id string, kind string, name string, status string, start_ms bigint, end_ms bigint, model string, target_key string, "
+           "tok_input bigint, tok_output bigint, tok_cache_read bigint, tok_cache_write bigint, tok_reasoning bigint, cache_write_1h bigint, cost_micro bigint")
+    t0, hour = 1_767_600_000_000, 3_600_000
+    src = tmp_path / "in"
+
+    def add(*rows):
+        full = [(r, r, f"{r}{ms}", kind, "Bash", "error" if kind == "tool_call" else "ok", t0 + ms, t0 + ms, "m" if kind == "llm_call" else None, "k",
+                 1, 1, 5, 5, 0, 0, 7) for r, kind, ms in rows]
+        spark.createDataFrame(full, ddl).coalesce(1).write.mode("append").parquet(str(src))
+
+    def states(ck, name=None):
+        r = spark.read.format("statestore")
+        return {k["key"][0] for k in (r.option("stateVarName", name) if name else r).load(str(ck)).select("key").collect()}
+
+    add(("a", "tool_call", 0), ("a", "llm_call", 10), ("a", "tool_call", 20), ("b", "llm_call", 30))
+    alerts = live.live_alerts(live.live_spans(spark, str(src), ddl, 1), "1 minute", forget_ms=2 * hour)
+    bursts = live.live_burst_totals(live.live_spans(spark, str(src), ddl, 1), "30 minutes", "1 minute")
+    qs = [d.writeStream.format("memory").queryName(n).outputMode("append").option("checkpointLocation", str(tmp_path / n)).start() for n, d in (("al", alerts), ("bu", bursts))]
+
+    def done():
+        for q in qs:
+            q.processAllAvailable()
+
+    try:
+        done()
+        # the third failure within two hours still meets the first two
+        add(("a", "tool_call", hour), ("b", "tool_call", hour + 1))
+        done()
+        add(("z", "llm_call", 2 * hour))
+        done()
+        add(("z", "llm_call", 2 * hour + 1))
+        done()
+        held = {n: states(tmp_path / "al", n) for n in ("open", "last", "seq", "seen")}
+        assert held["seen"] >= {"a", "b"} and "a" in held["last"]
+        for i in range(3):
+            add(("z", "llm_call", 9 * hour + i))
+            done()
+    finally:
+        for q in qs:
+            q.stop()
+    assert [(r["alert"], r["run_id"]) for r in spark.table("al").collect()] == [("retry-loop", "a")]
+    for n in ("wait", "open", "last", "seq", "seen"):
+        assert not states(tmp_path / "al", n) & {"a", "b"}, n
+    got = {(r["run_id"], r["last_ms"] - t0): (r["cost_micro"], r["tok_total"], r["llm_calls"], r["tool_calls"], r["tool_errors"]) for r in spark.table("bu").collect()}
+    assert got[("a", 20)] == (7, 12, 1, 2, 2) and got[("a", hour)] == (0, 0, 0, 1, 1) and got[("b", 30)][2] == 1
+    assert not states(tmp_path / "bu") & {"a", "b"}
+    with pytest.raises(ValueError):
+        live.alert_processor(slack_ms=5, forget_ms=5)
+
+
 def test_budget_gate(spark, chunks, tmp_path):
     seen = []
     w = live.spend_windows(stream(spark, chunks, 10), "1 day", watermark="60 days")
