@@ -84,8 +84,12 @@ def filter_runs(facts: DataFrame, spans: DataFrame | None = None, *, project: st
                 source: str | None = None, period: int | str | None = None, model: str | None = None,
                 day: str | None = None, tool: str | None = None, branch: str | None = None,
                 window: LimitWindow = LimitWindow(), tz: str = "UTC") -> DataFrame:
-    """All given conditions; a period ends at the newest run of all runs, never at the clock."""
+    """All given conditions; a period ends at the newest run of all runs, never at the clock.
+
+    Where runs lie in folders by ``start_day`` (UTC), days and periods also bound the folder; a local day is at most a day apart from it.
+    """
     out = facts
+    by_folder = "start_day" in facts.columns
     if project is not None:
         out = out.filter(project_key() == project)
     if source is not None:
@@ -93,15 +97,23 @@ def filter_runs(facts: DataFrame, spans: DataFrame | None = None, *, project: st
     if model is not None:
         out = uses_model(out, model)
     if day is not None:
-        out = out.filter(local_day("start_ms", tz) == F.to_date(F.lit(day)))
+        d = F.to_date(F.lit(day))
+        out = out.filter(local_day("start_ms", tz) == d)
+        if by_folder:
+            out = out.filter(F.col("start_day").between(F.date_sub(d, 1), F.date_add(d, 1)))
     if branch is not None:
         out = out.filter(branch_key() == branch)
     if period == "reset":
         w = limit_window(facts, window, tz)
         out = out.filter((F.col("start_ms") >= _bound(w, "start_ms")) & (F.col("start_ms") < _bound(w, "end_ms")))
+        if by_folder:
+            utc = w.select(F.to_date(F.timestamp_millis("start_ms")).alias("lo"), F.to_date(F.timestamp_millis("end_ms")).alias("hi"))
+            out = out.filter((F.col("start_day") >= _bound(utc, "lo")) & (F.col("start_day") <= _bound(utc, "hi")))
     elif period is not None:
         first = facts.agg(F.date_sub(local_day(F.max("start_ms"), tz), int(period) - 1).alias("d"))
         out = out.filter(local_day("start_ms", tz) >= first.select("d").scalar())
+        if by_folder:
+            out = out.filter(F.col("start_day") >= first.select(F.date_sub("d", 1).alias("d")).scalar())
     if tool is not None:
         out = out.join(uses_tool(spans, tool), "run_id", "left_semi")
     return out

@@ -11,6 +11,9 @@ from ..operators import spend as S
 from ..operators import timeline as L
 from ..operators import toolusage as U
 from ..operators.pricing import unpriced_coverage
+from ..session import scratch
+from ..sinks.export import write_tables
+from ..sources.tables import read_table, spans_of
 from .catalog import register
 from .catalog_rules import findings, trace, vr
 from .oracle import v1, v2
@@ -224,6 +227,17 @@ def p1b(spark, sf):
     return P.filter_runs(facts(spark, sf), branch="br3", day="2024-01-04").select("run_id")
 
 
+@register("p1c_filter_written", vf("""select run_id, count(*) as tools, count(output_bytes) as sized from facts f join tools t using (run_id)
+  where f.source = 'claude-code' and f.day >= (select max(day) - 4 from facts) group by 1"""))
+def p1c(spark, sf):
+    """The same conditions over written tables: folders of other sources and days are not opened."""
+    t, path = trace(spark, sf), scratch(spark, "tables")
+    write_tables(path, facts(spark, sf), t.spans)
+    chosen = P.filter_runs(read_table(spark, path, "runs"), source="claude-code", period=5)
+    return spans_of(spark, path, chosen).filter("kind in ('tool_call', 'mcp_call')").groupBy("run_id").agg(
+        F.count("*").alias("tools"), F.count("output_bytes").alias("sized"))
+
+
 @register("p2_uses_tool", v1("select distinct run_id from tools where name = 'mcp__docs__search'"))
 def p2(spark, sf):
     return P.uses_tool(event_trace(spark, sf).spans, "mcp__docs__search")

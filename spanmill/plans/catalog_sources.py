@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.rules import retry_loop
 from ..session import scratch
 from ..sources.otlp import OtlpSource
 from ..sources.positions import line_blocks, records_at
-from ..sources.session_jsonl import dedupe_records, read_records
+from ..sources.session_jsonl import SessionJsonlSource, dedupe_records, read_records
 from ..streaming.live import tailed_records
 from .catalog import register
+from .incremental import Store
+from .views import pricing
 
 
 def _written(spark: SparkSession, sf: str, *lines: Column) -> str:
@@ -65,6 +68,21 @@ def s31(spark: SparkSession, sf: str) -> DataFrame:
     return warnings.groupBy("message").agg(F.count("*").alias("n"))
 
 
+@register("s29_incremental_load", """select 'm' || event_id as span_id, epoch_ms(date_trunc('milliseconds', ts)) as start_ms, 30 as tokens from events""")
+def s29(spark: SparkSession, sf: str) -> DataFrame:
+    """All events as model calls, loaded in two refreshes: the second reads only the transcripts that came with it."""
+    store = Store(spark, scratch(spark, "store"))
+    usage = F.struct(F.lit(10).alias("input_tokens"), F.lit(20).alias("output_tokens"))
+    message = F.struct(F.concat(F.lit("m"), "event_id").alias("id"), F.lit("claude-sonnet-4-5").alias("model"), usage.alias("usage"))
+    line = F.to_json(F.struct(F.lit("assistant").alias("type"), F.concat(F.lit("u"), "event_id").alias("uuid"), F.col("at").alias("timestamp"), message.alias("message")))
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("at", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    logs, card = scratch(spark, "logs"), pricing(spark)
+    for part in (F.col("event_type") != "error", F.col("event_type") == "error"):
+        e.filter(part).select(line.alias("value")).write.mode("append").text(logs)
+        store.refresh(SessionJsonlSource(), logs, card, rule_list=[retry_loop], listing="*.txt", glob="*.txt")
+    return store.table("spans").filter("kind = 'llm_call'").select("span_id", "start_ms", (F.col("tok_input") + F.col("tok_output")).alias("tokens"))
+
+
 @register("st1_tailed_records", """select 'u' || event_id as uuid, 'user' as type, epoch_ms(date_trunc('milliseconds', ts)) as ms from events
   union all select 'a' || event_id, 'assistant', epoch_ms(date_trunc('milliseconds', ts)) from events""")
 def st1(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,8 +7,8 @@ interrupted one leaves nothing that is read, and the next one takes its number a
 counts while no later refresh has dealt with its unit or run.
 
 A unit whose files are gone takes its rows along. With ``window`` only units changed in that time are looked at, and none is taken as gone.
-An empty folder, a refresh without changes and files without a usable session give empty tables. Another rate card
-or other thresholds need a new store: kept runs are not priced again. One refresh at a time may write to a store.
+An empty folder, a refresh without changes and files without a usable session give empty tables. Another rate card,
+other thresholds or rules need a new store: kept runs are not priced again. One refresh at a time may write to a store.
 """
 
 from __future__ import annotations
@@ -93,10 +93,10 @@ class Store:
         return out.distinct()
 
     def refresh(self, source, path: str, pricing: DataFrame, thresholds: Thresholds | None = None, window: str | None = None, now_ms: int | None = None,
-                **options) -> Refresh:
+                rule_list=None, **options) -> Refresh:
         """Bring the tables up to date with the folder ``path``; ``window`` (``7d``) and ``now_ms`` limit it to units changed lately.
 
-        ``source`` is a reader with ``listing`` (glob), ``unit`` (file -> unit) and ``read(spark, path, files=..., **options)``.
+        ``rule_list`` replaces the rules. ``source`` is a reader with ``listing`` (glob), ``unit`` (file -> unit) and ``read(spark, path, files=..., **options)``.
         """
         done = self._committed()
         number = done[-1] + 1 if done else 0
@@ -124,7 +124,7 @@ class Store:
             if copies.isEmpty():
                 break
             units = land(units.union(copies))
-        t = load.build(self.spark, Loaded(fresh.drop("unit"), data.spans, data.warnings.limit(0)), pricing, thresholds)
+        t = load.build(self.spark, Loaded(fresh.drop("unit"), data.spans, data.warnings.limit(0)), pricing, thresholds, rule_list=rule_list)
         out = {"runs": t.trace.runs, "spans": t.trace.spans, "findings": t.findings, "wasted": t.wasted, "rejects": t.rejects, "repairs": t.warnings,
                "warnings": data.warnings.withColumn("unit", source.unit(F.col("file"))), "members": fresh.select("unit", "run_id").distinct(), "touched": touched}
         for name, df in out.items():

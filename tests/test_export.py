@@ -87,6 +87,28 @@ def test_trace_json_round_trip(spark, tables, tmp_path):
     assert rows(read_finding_lines(spark, str(tmp_path / "j"))) == rows(t.findings)
 
 
+def test_written_tables_are_pruned(spark, sf, tmp_path):
+    from spanmill.operators import filters
+    from spanmill.sources.tables import read_table, spans_of
+    t = views.event_trace(spark, sf)
+    f = overview.run_facts(t.runs, t.totals)
+    export.write_tables(str(tmp_path), f, t.spans)
+    back = read_table(spark, str(tmp_path), "runs")
+    for tz in ("UTC", "Pacific/Auckland", "America/Los_Angeles"):
+        for cond in ({"period": 3}, {"day": "2024-01-04"}, {"period": "reset"}, {"source": "claude-code", "period": 5}):
+            want = {r[0] for r in filters.filter_runs(f, tz=tz, **cond).select("run_id").collect()}
+            assert {r[0] for r in filters.filter_runs(back, tz=tz, **cond).select("run_id").collect()} == want and (want or "day" in cond)
+    day = filters.filter_runs(back, day="2024-01-04")
+    plan = day._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(start_day" in plan and "start_day" in plan.split("PartitionFilters")[1].split("]")[0]
+    s = spans_of(spark, str(tmp_path), day)
+    assert "dynamicpruning" in s._jdf.queryExecution().executedPlan().toString()
+    want = t.spans.join(day.select("run_id"), "run_id", "left_semi").select("run_id", "span_id")
+    assert sorted(map(tuple, s.select("run_id", "span_id").collect())) == sorted(map(tuple, want.collect())) != []
+    folders = s.select(F.col("_metadata.file_path").alias("p")) if "_metadata" in s.columns else s.select("start_day")
+    assert folders.distinct().count() <= 2
+
+
 def test_write_tables(spark, tables, tmp_path):
     _, t, _ = tables
     export.write_tables(str(tmp_path), t.trace.runs, t.trace.spans, findings=t.findings)
