@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BROADCAST_ROWS = 200_000
+
 
 def build_session(app: str = "spanmill", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume (UTC, AQE with skew-join splitting)."""
@@ -49,7 +51,13 @@ def scratch(spark: SparkSession, name: str = "landed") -> str:
 
 
 def land(df: DataFrame) -> DataFrame:
-    """Write a columnar table into the shared folder and read it back (pruning and statistics intact)."""
+    """Write a columnar table into the shared folder and read it back (pruning and statistics intact).
+
+    Spark estimates a landed table by its compressed bytes and the share of the columns read, so millions of rows can look small enough
+    for a broadcast, which the driver has to hold. A table of more than ``BROADCAST_ROWS`` rows (counted from the file footers) is therefore marked
+    for merge joins; an explicit ``broadcast`` of the other side still holds.
+    """
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    return back.hint("merge") if back.count() > BROADCAST_ROWS else back

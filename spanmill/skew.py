@@ -14,11 +14,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import cut
+from .session import BROADCAST_ROWS, cut
 
 HOT_ROWS_CONF = "spanmill.hotGroupRows"
 HOT_ROWS_DEFAULT = 5_000_000
-BROADCAST_ROWS = 200_000
+TASK_ROWS = 250_000
 CHUNK = "chunk"
 
 
@@ -31,6 +31,15 @@ def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Hash-partitioned by ``keys`` so that a task gets about ``TASK_ROWS`` of ``rows``, however few shuffle partitions the session has: a sort then fits memory.
+
+    Small frames are left as they are. Two sides of a join that are spread alike are not shuffled again.
+    """
+    parts = -(-rows // TASK_ROWS)
+    return df.repartition(parts, *keys) if parts > 1 else df
+
+
 def pin(df: DataFrame, limit: int = 10_000) -> DataFrame:
     """Evaluate a small derived dimension once and broadcast it; left as it is beyond ``limit`` rows."""
     rows = df.limit(limit + 1).toArrow()
@@ -204,10 +213,15 @@ def rechunk(df: DataFrame, edges: DataFrame, at: str) -> DataFrame:
 
 
 def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
-           hot: DataFrame | None = None, salt_by: str = "span_id", salts: int = 64) -> DataFrame:
-    """Equi-join ``left`` to a side that is unique on ``on``; rows of ``hot`` keys are salted."""
+           hot: DataFrame | None = None, salt_by: str = "span_id", salts: int = 64, rows: int = 0) -> DataFrame:
+    """Equi-join ``left`` to a side that is unique on ``on``; rows of ``hot`` keys are salted.
+
+    ``rows``: how many there are, if that may be many; both sides are then cut into tasks by it and ``right`` is not broadcast.
+    """
+    if rows > BROADCAST_ROWS:
+        right = right.hint("merge")
     if hot is None:
-        return left.join(right, list(on), how)
+        return spread(left, rows, *on).join(spread(right, rows, *on), list(on), how)
     hk = bounded(hot.select(*on).withColumn("is_hot", F.lit(True)))
     lm = left.join(hk, list(on), "left").withColumn(
         "salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("is_hot")
