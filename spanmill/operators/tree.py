@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.money import nz, total_tokens
 from ..schema import SCOPE_KINDS
 from ..session import cut, land
-from ..skew import hot_groups, hot_limit, lookup, scan, with_chunks
+from ..skew import BROADCAST_ROWS, CHUNK, hot_groups, hot_limit, lookup, scan, spread, with_chunks
 
 NODE = ["run_id", "span_id"]
 
@@ -74,7 +74,7 @@ def up_scan(nodes: DataFrame, specs: Mapping[str, tuple[str, Column]]) -> tuple[
     types = {n: own.schema["o_" + n].dataType for n in specs}
     state = land(own.select("*", *[_start(k, types[n]).alias("a_" + n) for n, (k, _) in specs.items()], F.lit(False).alias("dangling")))
     done, open_ = [state.filter("ptr is null")], state.filter("ptr is not null")
-    hops, before, loops = 1, None, None
+    hops, before, loops, rows = 1, None, None, state.count()
     while True:
         total, widest, hot = _pointers(open_)
         if total == 0:
@@ -85,7 +85,10 @@ def up_scan(nodes: DataFrame, specs: Mapping[str, tuple[str, Column]]) -> tuple[
             break
         info = reduce(DataFrame.unionByName, [*done, open_]).select(
             "run_id", F.col("span_id").alias("ptr"), F.col("ptr").alias("p_ptr"), *[F.col(c + n).alias("p_" + c + n) for n in specs for c in ("o_", "a_")], F.lit(True).alias("known"))
-        step = lookup(open_, info, ["run_id", "ptr"], hot=hot)
+        few = total <= BROADCAST_ROWS < rows
+        if few:  # the rows that nothing points at stay where they are
+            info = info.join(F.broadcast(open_.select("run_id", "ptr").distinct()), ["run_id", "ptr"], "left_semi")
+        step = lookup(open_, info, ["run_id", "ptr"], hot=hot, rows=0 if few else rows)
         acc = [F.when(F.col("known"), _fold(k, F.col("a_" + n), F.col("p_o_" + n), F.col("p_a_" + n))).otherwise(F.col("a_" + n)).alias("a_" + n) for n, (k, _) in specs.items()]
         new = land(step.select(*NODE, F.col("p_ptr").alias("ptr"), *["o_" + n for n in specs], *acc, (F.lit(before is None) & F.col("known").isNull()).alias("dangling")))
         done.append(new.filter("ptr is null"))
@@ -102,7 +105,7 @@ def subtree(spans: DataFrame, values: Mapping[str, tuple[str, Column]]) -> DataF
     fold = {"sum": F.sum, "min": F.min, "max": F.max}
     join = {"sum": lambda a, b: a + F.coalesce(b, F.lit(0).cast("bigint")), "min": F.least, "max": F.greatest}
     state = land(spans.select(*NODE, F.col("parent_id").alias("ptr"), *[v.alias(n) for n, (_, v) in values.items()]))
-    before = None
+    before, rows = None, state.count()
     while True:
         open_ = state.filter("ptr is not null")
         total, _, hot = _pointers(open_)
@@ -112,8 +115,8 @@ def subtree(spans: DataFrame, values: Mapping[str, tuple[str, Column]]) -> DataF
             raise ValueError("parents form a cycle; repair the tree first")
         before = total
         give = open_.groupBy("run_id", F.col("ptr").alias("span_id")).agg(*[fold[k](n).alias("g_" + n) for n, (k, _) in values.items()])
-        step = lookup(state, state.select("run_id", F.col("span_id").alias("ptr"), F.col("ptr").alias("p_ptr")), ["run_id", "ptr"], hot=hot)
-        step = step.join(give, NODE, "left")
+        step = lookup(state, state.select("run_id", F.col("span_id").alias("ptr"), F.col("ptr").alias("p_ptr")), ["run_id", "ptr"], hot=hot, rows=rows)
+        step = lookup(step, give, NODE, rows=rows)
         state = land(step.select(*NODE, F.col("p_ptr").alias("ptr"), *[join[k](F.col(n), F.col("g_" + n)).alias(n) for n, (k, _) in values.items()]))
 
 
@@ -137,7 +140,7 @@ def _repaired(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
              .withColumn("parent_id", F.when(F.col("broken") & ~F.col("span_id").eqNullSafe(F.col("root_id")),
                                              F.col("root_id")).otherwise(F.col("parent_id")))
              .drop("broken", "root_id"))
-    fixed = cut(fixed)
+    fixed = land(fixed)
     touched = broken.select("run_id").distinct()
     again, _ = up_scan(fixed.join(touched, "run_id", "left_semi"), _places())
     ranks = ranks.join(touched, "run_id", "left_anti").unionByName(again).drop("dangling")
@@ -185,11 +188,13 @@ def place(spans: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     """
     fixed, ranks, warn = _repaired(spans)
     own = F.col("kind").isin(SCOPE_KINDS)
-    s = lookup(fixed, ranks, NODE).withColumns({
+    rows = spans.count()
+    hot = not hot_groups(fixed.select("run_id"), ["run_id"]).isEmpty()
+    s = lookup(fixed, ranks, NODE, rows=rows).withColumns({
         "depth": F.col("depth").cast("int"), "container_id": F.col("scope.id"),
         "scope_id": F.when(own, F.col("span_id")).otherwise(F.coalesce("scope.id", "top.id", "span_id")),
         "scope_kind": F.when(own, F.col("kind")).otherwise(F.coalesce("scope.kind", "top.kind", "kind"))}).drop("scope", "top")
-    s, chunked = with_chunks(s, ["run_id"], ["start_ms"])
+    s, chunked = with_chunks(s, ["run_id"], ["start_ms"]) if hot else (spread(s, rows, "run_id").withColumn(CHUNK, F.lit(0)), False)
     s = scan(s.withColumn("start_raw", F.coalesce("start_raw", F.lit(""))), ["run_id"],
              ["start_ms", "start_raw", "span_id"], {"span_seq": ("rownum", None)}, chunked)
     return s, warn, chunked

@@ -14,7 +14,7 @@ from ..operators.rules import Thresholds, Trace
 from ..operators.tree import place
 from ..schema import RUN_DDL, conform
 from ..session import land
-from ..skew import scan, with_chunks
+from ..skew import scan, spread, with_chunks
 
 BASE_MS = 1704067200000
 
@@ -145,15 +145,18 @@ def raw_event_spans(spark: SparkSession, sf: str) -> DataFrame:
     """V1: sessions per user, a subagent per (user, day) on every third day, events as calls."""
     leaf, chunked = with_chunks(event_leaves(spark, sf), ["run_id"], ["start_ms"])
     leaf = leaf.withColumn("end_ms", F.col("start_ms") + F.col("duration_ms"))
+    box = leaf
+    if not chunked:
+        leaf = spread(leaf, read(spark, sf, "events").count(), "run_id", "container")
     leaf = scan(leaf, ["run_id", "container"], ["start_ms", "span_id"],
                 {"prev_call": ("prev_last", F.when(F.col("kind") == "llm_call", F.col("span_id")))}, chunked)
     leaf = leaf.withColumn("parent_id", F.when(F.col("kind") == "llm_call", F.col("container"))
                            .otherwise(F.coalesce("prev_call", "container")))
     ends = [F.min("start_ms").alias("start_ms"), F.max(F.coalesce("end_ms", "start_ms")).alias("end_ms")]
-    sess = leaf.groupBy("run_id", "session_id").agg(*ends).select(
+    sess = box.groupBy("run_id", "session_id").agg(*ends).select(
         "run_id", F.col("session_id").alias("span_id"), F.lit(None).cast("string").alias("parent_id"),
         F.lit("session").alias("kind"), F.lit("session").alias("name"), F.lit("ok").alias("status"), "start_ms", "end_ms")
-    subs = leaf.filter("container <> session_id").groupBy("run_id", "session_id", "container", "day_no").agg(*ends).select(
+    subs = box.filter("container <> session_id").groupBy("run_id", "session_id", "container", "day_no").agg(*ends).select(
         "run_id", F.col("container").alias("span_id"), F.col("session_id").alias("parent_id"),
         F.lit("subagent").alias("kind"), F.concat(F.lit("worker-"), F.col("day_no") % 4).alias("name"),
         F.lit("ok").alias("status"), "start_ms", "end_ms")
@@ -210,8 +213,9 @@ def event_trace(spark: SparkSession, sf: str) -> Trace:
 
 
 def raw_line_spans(spark: SparkSession, sf: str) -> DataFrame:
+    lines = read(spark, sf, "lineitem")
     d = spark.sql(base_lines_sql(SPARK_MS.format(c="l_shipdate")).replace("from lineitem)", "from {lineitem})"),
-                  lineitem=read(spark, sf, "lineitem"))
+                  lineitem=spread(lines, lines.count(), "l_orderkey"))
     return conform(d.withColumn("end_ms", F.col("start_ms") + F.col("duration_ms")))
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanmill import skew
+from spanmill.operators import tree
+from spanmill.schema import conform
 from spanmill.session import BROADCAST_ROWS, land
 
 
@@ -20,3 +23,30 @@ def test_large_landed_table_is_not_broadcast(spark):
     assert "Broadcast" not in plan(other.join(big.select("k", "c1"), "k", "left"))
     assert "Broadcast" in plan(other.join(small.select("k", "c1"), "k", "left"))
     assert "Broadcast" in plan(big.join(F.broadcast(spark.range(3).select(F.col("id").alias("k"))), "k"))
+
+
+def test_lookup_is_cut_by_rows(spark):
+    a = spark.range(9).select(F.col("id").cast("string").alias("run_id"), F.col("id").alias("ptr"))
+    b = a.withColumn("x", F.lit(1))
+    on, n = ["run_id", "ptr"], 10 * skew.TASK_ROWS
+    j = skew.lookup(a, b, on, rows=n)
+    assert plan(j).count("hashpartitioning(run_id") == 2 and "Broadcast" not in plan(j) and j.rdd.getNumPartitions() == 10
+    assert sorted(map(tuple, j.collect())) == sorted(map(tuple, skew.lookup(a, b, on).collect())) and j.count() == 9
+
+
+def test_last_rounds_with_few_open_rows(spark, monkeypatch):
+    """Rounds in which only few rows are open, over many that are finished, give the same places; so do spread tables."""
+    rows = []
+    for run in range(6):
+        for i in range(40):
+            parent = None if i == 0 else f"s{i - 1}" if run == 0 else "gone" if run == 1 and i == 7 else f"s{i // 2}" if i > 1 else "s0"
+            rows.append((f"r{run}", f"s{i}", parent, ["session", "subagent", "llm_call"][i % 3], "x", 90_000_000 + i))
+    df = conform(spark.createDataFrame(rows, "run_id string, span_id string, parent_id string, kind string, name string, start_ms long"))
+    cols = ["run_id", "span_id", "parent_id", "depth", "scope_id", "owner_id", "call_id", "container_id", "parent_kind", "span_seq"]
+    read = lambda: sorted(map(tuple, tree.place(df)[0].select(*cols).collect()), key=str)
+    sums = lambda: sorted(map(tuple, tree.subtree(df.filter("run_id <> 'r1'"), {"n": ("sum", F.lit(1).cast("long"))}).collect()))
+    want = read(), sums()
+    monkeypatch.setattr(skew, "TASK_ROWS", 50)
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 60)
+    monkeypatch.setattr(tree, "BROADCAST_ROWS", 60)
+    assert (read(), sums()) == want
