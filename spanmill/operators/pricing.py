@@ -72,23 +72,23 @@ def match_models(models: DataFrame, pricing: DataFrame, aliases: Mapping[str, st
 
 
 def with_rates(spans: DataFrame, pricing: DataFrame, col: str = "model", prefix: str = "",
-               aliases: Mapping[str, str] | None = None) -> DataFrame:
-    """Left-join the matched rates (null = unpriced) on a model column."""
+               aliases: Mapping[str, str] | None = None, names: DataFrame | None = None) -> DataFrame:
+    """Left-join the matched rates (null = unpriced) on a model column; ``names``: where its values are read from (the spans)."""
     out = [prefix + r for r in RATES]
     if set(out) <= set(spans.columns):  # priced spans already carry the rates of their model
         return spans
-    m = match_models(spans.filter(F.col(col).isNotNull()), pricing, aliases, col)
+    m = match_models((spans if names is None else names).filter(F.col(col).isNotNull()), pricing, aliases, col)
     m = pin(m.select(col, *[F.col(r).alias(prefix + r) for r in RATES]))
     return spans.join(m, col, "left").select(*spans.columns, *out)
 
 
-def price_spans(spans: DataFrame, pricing: DataFrame, aliases: Mapping[str, str] | None = None) -> DataFrame:
-    """Matched calls get a computed cost; unmatched keep a reported cost, else unknown.
+def price_spans(spans: DataFrame, pricing: DataFrame, aliases: Mapping[str, str] | None = None, names: DataFrame | None = None) -> DataFrame:
+    """Matched calls get a computed cost; unmatched keep a reported cost, else unknown. ``names``: a frame with the same models that is cheaper to read.
 
     The matched rates stay on the row, so everything later is priced with the same card.
     """
     spans = spans.drop(*RATES)
-    j = with_rates(spans, pricing, aliases=aliases)
+    j = with_rates(spans, pricing, aliases=aliases, names=names)
     call = (F.col("kind") == "llm_call") & F.col("model").isNotNull()
     reported = (F.col("cost_source") == "reported") & F.col("cost_micro").isNotNull()
     return j.withColumns({

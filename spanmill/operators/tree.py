@@ -1,27 +1,34 @@
 """Tree toolkit: repair, what a span's ancestors say, sums over subtrees, and interval labels.
 
 No span carries the list of its ancestors (a chain of n spans would hold n^2 / 2 entries). Two jobs of pointer doubling with state of fixed width take its
-place, each log2(depth) rounds of joins on the parent pointer:
+place, each log2(depth) rounds on the parent pointer:
 
 * ``up_scan`` folds values over a span's proper ancestors: their number, the nearest of a kind, the top one, a hash of the path.
 * ``subtree`` folds values over a span's descendants and itself.
 
+Runs that fit a task are shuffled once and folded there (``forest.by_run``); the rounds of larger runs, of runs with cycles and of runs with repeated or null ids are joins.
+
 ``place`` stores depth, scope, owner, enclosing call and container per span. ``intervals`` numbers the spans of a run depth first, so that "lies under"
 is a comparison of numbers. ``closure`` lists ancestor pairs where a caller asks for them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions.money import nz, total_tokens
 from ..schema import SCOPE_KINDS
 from ..session import cut, land
 from ..skew import BROADCAST_ROWS, CHUNK, hot_groups, hot_limit, lookup, scan, spread, with_chunks
+from .forest import Forest, beside, by_run
 
 NODE = ["run_id", "span_id"]
 
@@ -60,13 +67,49 @@ def _fold(kind: str, acc: Column, at: Column, beyond: Column) -> Column:
     return F.concat(acc, F.array(at), beyond)
 
 
-def up_scan(nodes: DataFrame, specs: Mapping[str, tuple[str, Column]]) -> tuple[DataFrame, DataFrame | None]:
+def up_scan(nodes: DataFrame, specs: Mapping[str, tuple[str, Column]], keep: Sequence[str] = (),
+            before: Callable[[DataFrame, bool], DataFrame] | None = None, chunked: bool = False, rows: int = 0) -> tuple[DataFrame, DataFrame | None]:
     """Values folded over the proper ancestors of every row of ``nodes`` (run_id, span_id, parent_id and what ``specs`` reads).
 
     ``specs``: name -> (kind, value of a row as an ancestor), kind one of ``sum`` and ``xor`` (bigint, not null), ``near`` and ``far`` (the first non-null value going up,
-    or the last), ``list`` (all, nearest first). Returns (run_id, span_id, names, dangling) and, if some rows run into a parent cycle, the rows on cycles.
+    or the last), ``list`` (all, nearest first). Returns (run_id, span_id, names, dangling, ``keep``: columns of the row itself) and, if some rows run into a parent cycle, the rows on cycles.
+    ``before`` (rows, chunked) adds what ``specs`` and ``keep`` read, with windows inside runs.
 
     A dangling row has no ancestors and those below it end with it.
+    """
+    before = before or (lambda d, _: d)
+    keep = [c for c in keep if c not in NODE]
+    own = [*NODE, "parent_id", *[c for c in keep if c != "parent_id"], *[e.alias("o_" + n) for n, (_, e) in specs.items()]]
+    seen = before(nodes, False).select(own).schema
+    types = {n: seen["o_" + n].dataType.simpleString() for n in specs}
+
+    kinds = {n: k for n, (k, _) in specs.items()}
+
+    def work(f: Forest) -> tuple[dict[str, pa.Array], np.ndarray]:
+        value = {n: f.ints("o_" + n)[0] if k in ("sum", "xor") else f.known("o_" + n) for n, k in kinds.items() if k != "list"}
+        acc = f.up({n: (kinds[n], v) for n, v in value.items()})
+        out = {n: pa.array(acc[n]) if kinds[n] in ("sum", "xor") else f.take("o_" + n, acc[n]) for n in value}
+        lists, turned_down = [n for n, k in kinds.items() if k == "list"], f.stuck
+        if lists:
+            ends, rows, turned_down = f.ancestors()
+            out |= {n: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), f.take("o_" + n, rows)) for n in lists}
+        return out | {"dangling": pa.array(f.dangling)}, turned_down
+
+    fields = ", ".join([*(f"`{n}` {'array<' + t + '>' if specs[n][0] == 'list' else t}" for n, t in types.items()), "dangling boolean"])
+    done, rest = by_run(nodes, work, fields, before=lambda d: before(d, False).select(own), rows=rows)
+    cols = [*NODE, *specs, "dangling", *keep]
+    if rest is None:
+        return done.select(*cols), None
+    rest = before(rest, chunked)
+    up, loops = _up_by_joins(rest, specs)
+    if keep:
+        up = up.join(rest.select(*NODE, *keep), NODE)
+    return done.select(*cols).unionByName(up.select(*cols)), loops
+
+
+def _up_by_joins(nodes: DataFrame, specs: Mapping[str, tuple[str, Column]]) -> tuple[DataFrame, DataFrame | None]:
+    """``up_scan`` of runs of any size.
+
     Every round, the open rows take over what their pointer has gathered and its pointer; rows that reach a root are finished and are not written again.
     A round in which no row finishes proves that all open rows run in circles: each open row that did not had an ancestor that would have finished.
     """
@@ -97,8 +140,32 @@ def up_scan(nodes: DataFrame, specs: Mapping[str, tuple[str, Column]]) -> tuple[
     return out.select(*NODE, *[F.col("a_" + n).alias(n) for n in specs], "dangling"), loops
 
 
-def subtree(spans: DataFrame, values: Mapping[str, tuple[str, Column]]) -> DataFrame:
-    """run_id, span_id and per name a value folded over the span and all its descendants; ``values``: name -> (sum, min or max, value).
+def subtree(spans: DataFrame, values: Mapping[str, tuple[str, Column]], keep: Sequence[str] = ()) -> DataFrame:
+    """run_id, span_id, per name a value folded over the span and all its descendants, and ``keep`` with parent_id; ``values``: name -> (sum, min or max, bigint). Parents must be repaired."""
+    keep = [c for c in keep if c not in (*NODE, "parent_id")]
+    own = spans.select(*NODE, "parent_id", *keep, *[v.alias("o_" + n) for n, (_, v) in values.items()])
+    if any(own.schema["o_" + n].dataType != LongType() for n in values):
+        raise TypeError("subtree folds bigint values")
+
+    kinds = {n: k for n, (k, _) in values.items()}
+
+    def work(f: Forest) -> tuple[dict[str, pa.Array], np.ndarray]:
+        out = f.down({n: (k, *f.ints("o_" + n)) for n, k in kinds.items()})
+        return {n: pa.array(v, mask=~ok) for n, (v, ok) in out.items()}, f.stuck
+
+    done, rest = by_run(own, work, ", ".join(f"`{n}` bigint" for n in values))
+    cols = [*NODE, *values, *(["parent_id"] if keep else []), *keep]
+    done = done.select(*cols)
+    if rest is None:
+        return done
+    sums = _subtree_by_joins(rest, {n: (k, F.col("o_" + n)) for n, (k, _) in values.items()})
+    if keep:
+        sums = sums.join(rest.select(*NODE, "parent_id", *keep), NODE)
+    return done.unionByName(sums.select(*cols))
+
+
+def _subtree_by_joins(spans: DataFrame, values: Mapping[str, tuple[str, Column]]) -> DataFrame:
+    """``subtree`` of runs of any size.
 
     Round k adds to every span what the rows 2^k below it have gathered, so the work is rows x log2(depth). Parents must be repaired.
     """
@@ -128,13 +195,13 @@ def _places() -> dict[str, tuple[str, Column]]:
             "parent_kind": ("near", F.col("kind"))}
 
 
-def _repaired(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Spans with repaired parents, the values of ``_places`` per span, warnings. Only runs with broken links are ranked again."""
-    ranks, loops = up_scan(spans, _places())
+def _repaired_by_joins(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Spans with repaired parents, the values of ``_places`` per span, broken spans. Only runs with broken links are ranked again."""
+    ranks, loops = _up_by_joins(spans, _places())
     broken = ranks.filter("dangling").select(*NODE)
     broken = cut(broken.unionByName(loops) if loops is not None else broken)
     if broken.isEmpty():
-        return spans, ranks.drop("dangling"), spans.sparkSession.createDataFrame([], "run_id string, message string, file string, line bigint")
+        return spans, ranks.drop("dangling"), None
     roots = root_of_run(spans)
     fixed = (spans.join(broken.withColumn("broken", F.lit(True)), NODE, "left").join(roots, "run_id", "left")
              .withColumn("parent_id", F.when(F.col("broken") & ~F.col("span_id").eqNullSafe(F.col("root_id")),
@@ -142,10 +209,15 @@ def _repaired(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
              .drop("broken", "root_id"))
     fixed = land(fixed)
     touched = broken.select("run_id").distinct()
-    again, _ = up_scan(fixed.join(touched, "run_id", "left_semi"), _places())
+    again, _ = _up_by_joins(fixed.join(touched, "run_id", "left_semi"), _places())
     ranks = ranks.join(touched, "run_id", "left_anti").unionByName(again).drop("dangling")
+    return fixed, ranks, broken
+
+
+def _repair_warnings(broken: DataFrame) -> DataFrame:
+    """One row per run with broken links."""
     ranked = _first_ids(broken)
-    warn = (ranked.groupBy("run_id").agg(
+    return (ranked.groupBy("run_id").agg(
         F.count("*").alias("n"),
         F.sort_array(F.collect_list(F.when(F.col("rn") <= 10, F.col("span_id")))).alias("ids"))
         .select("run_id", F.concat(
@@ -153,7 +225,49 @@ def _repaired(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             F.lit(" span(s) with broken parent links re-attached to the run root ("),
             F.array_join("ids", ", "), F.when(F.col("n") > 10, F.lit(", …")).otherwise(F.lit("")), F.lit(")")
         ).alias("message"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("bigint").alias("line")))
-    return fixed, ranks, warn
+
+
+CANONICAL = ["start_ms", "start_raw", "span_id"]
+
+
+def _repair(f: Forest) -> tuple[pa.Array, np.ndarray]:
+    """Repaired parent ids and the broken rows, of rows in canonical order; ``f.parent`` is repaired too."""
+    for _ in f.hops():
+        pass
+    broken, at = f.dangling | f.loop, np.arange(f.n)
+    ups = f.rows.column("parent_id").combine_chunks()
+    if not broken.any():
+        return ups, broken
+    roots = np.flatnonzero(f.rootless)
+    root = np.full(f.run.max() + 1, -1)
+    root[f.run[roots[::-1]]] = roots[::-1]  # the first of each run
+    f.parent = np.where(broken, root[f.run], f.parent)
+    at = np.where(broken, np.where(f.parent >= 0, f.n + f.parent, -1), at)
+    both = pa.concat_arrays([ups, f.rows.column("span_id").combine_chunks()])
+    return both.take(pa.array(at, mask=at < 0)), broken
+
+
+def _in_runs(spans: DataFrame, work: Callable[[Forest], tuple[dict[str, pa.Array], np.ndarray]], fields: str, before: Callable[[DataFrame], DataFrame] | None = None,
+             after: Callable[[DataFrame], DataFrame] = lambda s: s) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Repair and ``work`` per run: the rows with ``fields``, landed, the broken spans (None: none), the rows that need joins (None: none)."""
+    def task(f: Forest) -> tuple[dict[str, pa.Array], np.ndarray]:
+        parents, broken = _repair(f)
+        out, turned_down = work(f)
+        return {"parent_id": parents, "broken": pa.array(broken)} | out, turned_down
+
+    order = [F.col("start_ms"), F.coalesce("start_raw", F.lit("")), F.col("span_id")]
+    read = [*NODE, "parent_id", "kind", "start_ms", "start_raw"]
+    done, rest = by_run(spans, task, fields + "broken boolean", order, read, before)
+    broken = done.filter("broken").select(*NODE)
+    wide = beside(spans.drop("parent_id"), done.drop("kind", "start_ms", "start_raw", "broken"), after)
+    return wide, None if broken.isEmpty() else broken, rest
+
+
+def _warned(spans: DataFrame, *broken: DataFrame | None) -> DataFrame:
+    found = [b for b in broken if b is not None]
+    if not found:
+        return spans.sparkSession.createDataFrame([], "run_id string, message string, file string, line bigint")
+    return _repair_warnings(cut(reduce(DataFrame.unionByName, found)))
 
 
 def repair_tree(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -161,13 +275,27 @@ def repair_tree(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Returns the spans and one warning row per touched run. ``place`` does without the path.
     """
-    fixed, _, warn = _repaired(spans)
-    return fixed.join(_ancestors(fixed).withColumnRenamed("up", "path"), NODE, "left"), warn
+    def work(f: Forest) -> tuple[dict[str, pa.Array], np.ndarray]:
+        ends, rows, turned_down = f.ancestors()
+        up = pa.StructArray.from_arrays([f.take("span_id", rows), f.take("kind", rows)], ["id", "kind"])
+        return {"path": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), up)}, turned_down
+
+    spans = land(spans)
+    done, broken, rest = _in_runs(spans, work, "path array<struct<id: string, kind: string>>, ")
+    done = done.select(*spans.columns, "path")
+    if rest is None:
+        return done, _warned(spans, broken)
+    fixed, _, more = _repaired_by_joins(rest)
+    slow = fixed.join(_ancestors(fixed).withColumnRenamed("up", "path"), NODE, "left")
+    return done.unionByName(slow), _warned(spans, broken, more)
 
 
 def repaired_parents(spans: DataFrame) -> DataFrame:
     """The spans with repaired ``parent_id`` alone."""
-    return _repaired(spans)[0]
+    spans = land(spans)
+    done, _, rest = _in_runs(spans, lambda f: ({}, f.stuck), "")
+    done = done.select(*spans.columns)
+    return done if rest is None else done.unionByName(_repaired_by_joins(rest)[0])
 
 
 def _ancestors(spans: DataFrame) -> DataFrame:
@@ -180,24 +308,49 @@ def _first_ids(broken: DataFrame) -> DataFrame:
     return scan(b, ["run_id"], ["span_id"], {"rn": ("rownum", None)}, chunked)
 
 
-def place(spans: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-    """Repair, then add depth, scope, owner, enclosing call and container, ``chunk`` and ``span_seq``; the silver ``spans`` table.
+def place(spans: DataFrame, after: Callable[[DataFrame], DataFrame] = lambda s: s) -> tuple[DataFrame, DataFrame, bool]:
+    """Repair, then add depth, scope, owner, enclosing call and container, ``chunk`` and ``span_seq``; the silver ``spans`` table, landed. ``after`` is applied before that.
 
     The scope is the nearest subagent or session, the span itself included, else the top-most ancestor; the owner is the nearest proper subagent (null: main
     session); the container is the nearest proper subagent or session.
     """
-    fixed, ranks, warn = _repaired(spans)
+    def work(f: Forest) -> tuple[dict[str, pa.Array], np.ndarray]:
+        kind = f.rows.column("kind").combine_chunks()
+        of = lambda *k: pc.fill_null(pc.is_in(kind, pa.array(k)), False).to_numpy(zero_copy_only=False)
+        up = f.up({"depth": ("sum", np.ones(f.n, np.int64)), "scope": ("near", of(*SCOPE_KINDS)), "top": ("far", np.ones(f.n, bool)), "owner": ("near", of("subagent")),
+                   "call": ("near", of("llm_call")), "kind": ("near", f.known("kind"))})
+        return {"depth": pa.array(up["depth"].astype(np.int32)), "owner_id": f.take("span_id", up["owner"]), "call_id": f.take("span_id", up["call"]), "parent_kind": f.take("kind", up["kind"]),
+                "scope_of": f.take("span_id", up["scope"]), "kind_of": f.take("kind", up["scope"]), "top_of": f.take("span_id", up["top"]), "top_kind": f.take("kind", up["top"])}, f.stuck
+
+    def seen(s: DataFrame) -> DataFrame:
+        return after(_scopes(s, F.col("scope_of"), F.col("kind_of"), F.col("top_of"), F.col("top_kind")).drop("scope_of", "kind_of", "top_of", "top_kind"))
+
+    ready = spans.withColumn("start_raw", F.coalesce("start_raw", F.lit("")))
+    done, broken, rest = _in_runs(ready, work, "depth int, owner_id string, call_id string, parent_kind string, scope_of string, kind_of string, top_of string, top_kind string, ",
+                                  lambda s: scan(s.withColumn(CHUNK, F.lit(0)), ["run_id"], CANONICAL, {"span_seq": ("rownum", None)}), seen)
+    cols = [*spans.columns, "depth", "owner_id", "call_id", "parent_kind", "container_id", "scope_id", "scope_kind", CHUNK, "span_seq"]
+    cols += [c for c in done.columns if c not in cols]
+    if rest is None:
+        return done.select(*cols), _warned(spans, broken), False
+    slow, more, chunked = _place_by_joins(rest)
+    return land(done.select(*cols).unionByName(after(slow).select(*cols))), _warned(spans, broken, more), chunked
+
+
+def _scopes(s: DataFrame, scope: Column, kind: Column, top: Column, top_kind: Column) -> DataFrame:
     own = F.col("kind").isin(SCOPE_KINDS)
+    return s.withColumns({"container_id": scope, "scope_id": F.when(own, F.col("span_id")).otherwise(F.coalesce(scope, top, "span_id")),
+                          "scope_kind": F.when(own, F.col("kind")).otherwise(F.coalesce(kind, top_kind, "kind"))})
+
+
+def _place_by_joins(spans: DataFrame) -> tuple[DataFrame, DataFrame | None, bool]:
+    """``place`` of runs of any size, with the broken spans."""
+    fixed, ranks, broken = _repaired_by_joins(spans)
     rows = spans.count()
     hot = not hot_groups(fixed.select("run_id"), ["run_id"]).isEmpty()
-    s = lookup(fixed, ranks, NODE, rows=rows).withColumns({
-        "depth": F.col("depth").cast("int"), "container_id": F.col("scope.id"),
-        "scope_id": F.when(own, F.col("span_id")).otherwise(F.coalesce("scope.id", "top.id", "span_id")),
-        "scope_kind": F.when(own, F.col("kind")).otherwise(F.coalesce("scope.kind", "top.kind", "kind"))}).drop("scope", "top")
+    s = lookup(fixed, ranks, NODE, rows=rows).withColumn("depth", F.col("depth").cast("int"))
+    s = _scopes(s, F.col("scope.id"), F.col("scope.kind"), F.col("top.id"), F.col("top.kind")).drop("scope", "top")
     s, chunked = with_chunks(s, ["run_id"], ["start_ms"]) if hot else (spread(s, rows, "run_id").withColumn(CHUNK, F.lit(0)), False)
-    s = scan(s.withColumn("start_raw", F.coalesce("start_raw", F.lit(""))), ["run_id"],
-             ["start_ms", "start_raw", "span_id"], {"span_seq": ("rownum", None)}, chunked)
-    return s, warn, chunked
+    return scan(s, ["run_id"], CANONICAL, {"span_seq": ("rownum", None)}, chunked), broken, chunked
 
 
 def closure(spans: DataFrame) -> DataFrame:
@@ -211,11 +364,32 @@ def intervals(spans: DataFrame, chunked: bool = False) -> DataFrame:
 
     A span enters behind its parent and the subtrees of its earlier siblings, so its number is the sum of these steps along its path.
     """
-    size = subtree(spans, {"size": ("sum", F.lit(1).cast("bigint"))})
+    def work(f: Forest) -> tuple[dict[str, pa.Array], np.ndarray]:
+        one = np.ones(f.n, np.int64)
+        size = f.down({"size": ("sum", one, np.ones(f.n, bool))})["size"][0]
+        seq, known = f.ints("span_seq")
+        group = np.where(f.parent >= 0, f.parent, -1 - f.run)  # the siblings, or the roots of a run
+        order = np.lexsort((seq, group))
+        first = np.concatenate([[True], group[order][1:] != group[order][:-1]])
+        past = np.concatenate([[0], np.cumsum(size[order])[:-1]])
+        step = np.empty(f.n, np.int64)
+        step[order] = past - np.maximum.accumulate(np.where(first, past, 0))
+        step += ~f.rootless
+        enter = f.up({"above": ("sum", step)})["above"] + step
+        return {"enter": pa.array(enter), "leave": pa.array(enter + size - 1)}, f.stuck | f.dangling | ~known
+
+    own = spans.select(*NODE, "parent_id", "span_seq", *(["chunk"] if chunked else []))
+    done, rest = by_run(own, work, "enter bigint, leave bigint")
+    done = done.select(*NODE, "enter", "leave")
+    return done if rest is None else done.unionByName(_intervals_by_joins(rest, chunked))
+
+
+def _intervals_by_joins(spans: DataFrame, chunked: bool) -> DataFrame:
+    size = _subtree_by_joins(spans, {"size": ("sum", F.lit(1).cast("bigint"))})
     s = spans.select(*NODE, "parent_id", "span_seq", *(["chunk"] if chunked else []), F.coalesce("parent_id", F.lit("")).alias("pk")).join(size, NODE)
     s = scan(s, ["run_id", "pk"], ["span_seq"], {"upto": ("sum", F.col("size"))}, chunked)
     s = land(s.withColumn("step", F.col("upto") - F.col("size") + F.when(F.col("parent_id").isNull(), 0).otherwise(1)))
-    up, _ = up_scan(s, {"above": ("sum", F.col("step"))})
+    up, _ = _up_by_joins(s, {"above": ("sum", F.col("step"))})
     enter = F.col("above") + F.col("step")
     return s.join(up, NODE).select(*NODE, enter.alias("enter"), (enter + F.col("size") - 1).alias("leave"))
 
@@ -247,9 +421,9 @@ def subtree_rollup(spans: DataFrame) -> DataFrame:
         "subtree_tokens": ("sum", F.when(call, nz(total_tokens())).otherwise(0).cast("bigint")), "subtree_calls": ("sum", count(call))})
 
 
-def agents(spans: DataFrame) -> DataFrame:
-    """The tree of subagents: run_id, span_id, parent_id (the subagent around it)."""
-    return spans.filter("kind = 'subagent'").select(*NODE, F.col("owner_id").alias("parent_id"))
+def agents(spans: DataFrame, *more: Column) -> DataFrame:
+    """The tree of subagents: run_id, span_id, parent_id (the subagent around it), ``more``."""
+    return spans.filter("kind = 'subagent'").select(*NODE, F.col("owner_id").alias("parent_id"), *more)
 
 
 def agent_sums(spans: DataFrame, own: DataFrame, cols: list[str]) -> DataFrame:
@@ -262,8 +436,8 @@ def agents_within(spans: DataFrame, roots: DataFrame) -> DataFrame:
     """run_id, agent_id, root_id: the subagents that are or lie under one of ``roots`` (run_id, root_id), with the nearest one."""
     a = agents(spans).join(roots.select("run_id", F.col("root_id").alias("span_id"), F.col("root_id").alias("own")), NODE, "left")
     a = land(a)
-    up, _ = up_scan(a, {"above": ("near", F.col("own"))})
-    return up.join(a.select(*NODE, "own"), NODE).select("run_id", F.col("span_id").alias("agent_id"), F.coalesce("own", "above").alias("root_id")).filter("root_id is not null")
+    up, _ = up_scan(a, {"above": ("near", F.col("own"))}, keep=["own"])
+    return up.select("run_id", F.col("span_id").alias("agent_id"), F.coalesce("own", "above").alias("root_id")).filter("root_id is not null")
 
 
 def agent_subtree_costs(spans: DataFrame) -> DataFrame:
@@ -283,17 +457,13 @@ def agent_tree_rollup(spans: DataFrame) -> DataFrame:
     """Subagents nested by nearest subagent: own and total cost, tokens and calls."""
     call = (F.col("kind") == "llm_call") & F.col("model").isNotNull()
     m = (spans.filter(call).withColumn("tot", total_tokens()))
-    named = spans.filter("kind = 'subagent'").select(
-        "run_id", F.col("span_id").alias("agent_id"), F.col("owner_id").alias("parent_agent"),
-        F.coalesce("agent_name", "name").alias("agent_name"))
-    sums = [nz(F.sum("cost_micro")).alias("micro"), nz(F.sum("tot")).alias("tokens"), F.count("*").alias("calls")]
-    own = m.filter("owner_id is not null").groupBy("run_id", F.col("owner_id").alias("agent_id")).agg(*sums)
-    tot = agent_sums(spans, own, ["micro", "tokens", "calls"])
-    o = own.select("run_id", "agent_id", F.col("micro").alias("own_micro"), F.col("tokens").alias("own_tokens"))
-    t = tot.select("run_id", "agent_id", F.col("micro").alias("total_micro"),
-                   F.col("tokens").alias("total_tokens"), F.col("calls").alias("total_calls"))
-    j = named.join(o, ["run_id", "agent_id"], "left").join(t, ["run_id", "agent_id"], "left")
-    return j.fillna(0, ["own_micro", "own_tokens", "total_micro", "total_tokens", "total_calls"])
+    named = agents(spans, F.coalesce("agent_name", "name").alias("agent_name"))
+    sums = [nz(F.sum("cost_micro")).alias("own_micro"), nz(F.sum("tot")).alias("own_tokens"), F.count("*").alias("calls")]
+    own = m.filter("owner_id is not null").groupBy("run_id", F.col("owner_id").alias("span_id")).agg(*sums)
+    a = named.join(own, NODE, "left").fillna(0, ["own_micro", "own_tokens", "calls"])
+    total = {n: ("sum", F.col(c).cast("bigint")) for n, c in (("total_micro", "own_micro"), ("total_tokens", "own_tokens"), ("total_calls", "calls"))}
+    return subtree(a, total, ["agent_name", "own_micro", "own_tokens"]).select(
+        "run_id", F.col("span_id").alias("agent_id"), F.col("parent_id").alias("parent_agent"), "agent_name", "own_micro", "own_tokens", *total)
 
 
 def find_spans(spans: DataFrame, query: str) -> DataFrame:
@@ -320,8 +490,8 @@ def concurrency_groups(spans: DataFrame, chunked: bool = False) -> DataFrame:
 
 def preorder_key(spans: DataFrame) -> DataFrame:
     """Depth-first sort key per span: the canonical positions of root .. span."""
-    up, _ = up_scan(spans, {"up": ("list", F.col("span_seq"))})
-    return up.join(spans.select(*NODE, "span_seq"), NODE).select(*NODE, F.concat(F.reverse("up"), F.array("span_seq")).alias("order_path"))
+    up, _ = up_scan(spans, {"up": ("list", F.col("span_seq"))}, keep=["span_seq"])
+    return up.select(*NODE, F.concat(F.reverse("up"), F.array("span_seq")).alias("order_path"))
 
 
 def tree_preorder(spans: DataFrame, chunked: bool = False) -> DataFrame:

@@ -199,8 +199,9 @@ def _once(spark: SparkSession, key: tuple, make):
 def build_trace(spark: SparkSession, raw: DataFrame, runs: DataFrame, rates: DataFrame,
                 thresholds: Thresholds | None = None) -> Trace:
     """Raw spans to silver: place in the tree, price, land once in the checkpoint folder."""
-    placed, _, chunked = place(land(raw))
-    return Trace(land(price_spans(placed, rates)), runs, rates, chunked, thresholds or Thresholds())
+    raw = land(raw)
+    priced, _, chunked = place(raw, lambda s: price_spans(s, rates, names=raw))
+    return Trace(priced, runs, rates, chunked, thresholds or Thresholds())
 
 
 def event_trace(spark: SparkSession, sf: str) -> Trace:
