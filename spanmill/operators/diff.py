@@ -7,12 +7,14 @@ the hashes of (depth, kind, name, k) along the chain, whatever its length. Depth
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import nz, total_tokens
 from ..session import land
-from ..skew import scan
+from ..skew import scan, spread
 from .tree import NODE, up_scan
 
 HEADER = ["cost_micro", "tok_input", "tok_output", "tok_cache_read", "tok_cache_write", "tok_reasoning", "tok_total",
@@ -33,25 +35,28 @@ def diff_header(totals: DataFrame, pairs: DataFrame) -> DataFrame:
         "pair_id", "r.*", (F.col("r.b") - F.col("r.a")).alias("delta"), _pct(F.col("r.a"), F.col("r.b")).alias("pct"))
 
 
-def path_keys(spans: DataFrame, chunked: bool = False) -> DataFrame:
-    """run_id, span_id, path_a, path_b: two 64-bit folds over the chain of (depth, kind, name, occurrence) from the root."""
-    s = spans.withColumn("pk", F.coalesce("parent_id", F.lit("")))
-    s = scan(s, ["run_id", "pk", "kind", "name"], ["start_ms", "span_id"], {"k": ("rownum", None)}, chunked)
-    s = land(s.select(*NODE, "parent_id", *[F.xxhash64(F.lit(seed), "depth", "kind", "name", "k").alias(c) for c, seed in (("own_a", 1), ("own_b", 2))]))
-    up, _ = up_scan(s, {"up_a": ("xor", F.col("own_a")), "up_b": ("xor", F.col("own_b"))})
-    return up.join(s, NODE).select(*NODE, F.col("own_a").bitwiseXOR(F.col("up_a")).alias("path_a"), F.col("own_b").bitwiseXOR(F.col("up_b")).alias("path_b"))
+def path_keys(spans: DataFrame, chunked: bool = False, keep: Sequence[str] = (), rows: int = 0) -> DataFrame:
+    """run_id, span_id, path_a, path_b: two 64-bit folds over the chain of (depth, kind, name, occurrence) from the root; and ``keep``, which may name offset_ms, the time since the run's first start."""
+    def own(d: DataFrame, chunked: bool) -> DataFrame:
+        d = scan(d.withColumn("pk", F.coalesce("parent_id", F.lit(""))), ["run_id", "pk", "kind", "name"], ["start_ms", "span_id"], {"k": ("rownum", None)}, chunked)
+        first = Window.partitionBy("run_id")
+        d = d.join(d.groupBy("run_id").agg(F.min("start_ms").alias("t0")), "run_id") if chunked else d.withColumn("t0", F.min("start_ms").over(first))
+        d = d.withColumn("offset_ms", F.col("start_ms") - F.col("t0")).select(*NODE, "parent_id", *keep, *[F.xxhash64(F.lit(seed), "depth", "kind", "name", "k").alias(c) for c, seed in (("own_a", 1), ("own_b", 2))])
+        return land(d) if chunked else d
+
+    up, _ = up_scan(spans, {"up_a": ("xor", F.col("own_a")), "up_b": ("xor", F.col("own_b"))}, ["own_a", "own_b", *keep], own, chunked, rows)
+    return up.select(*NODE, F.col("own_a").bitwiseXOR(F.col("up_a")).alias("path_a"), F.col("own_b").bitwiseXOR(F.col("up_b")).alias("path_b"), *keep)
 
 
 def diff_many(spans: DataFrame, pairs: DataFrame, chunked: bool = False) -> DataFrame:
     """Full alignment of every pair: side = matched, added (only in b) or removed (only in a)."""
     ids = pairs.select(F.explode(F.array("a_run", "b_run")).alias("run_id")).distinct()
-    s = spans.join(ids, "run_id", "left_semi")
+    rows = spans.count()
+    s = spread(spans, rows, "run_id").join(spread(ids, rows, "run_id"), "run_id", "left_semi")
     call = (F.col("kind") == "llm_call") & F.col("model").isNotNull()
-    t0 = s.groupBy("run_id").agg(F.min("start_ms").alias("t0"))
-    s = s.join(path_keys(s, chunked), ["run_id", "span_id"]).join(t0, "run_id").select(
-        "run_id", "span_id", "kind", "name", "status", "depth", "path_a", "path_b", "start_ms", (F.col("start_ms") - F.col("t0")).alias("offset_ms"),
-        F.when(call & (F.col("cost_source") != "unknown"), nz("cost_micro")).otherwise(0).cast("bigint").alias("cost"),
-        F.when(call, total_tokens()).otherwise(0).cast("bigint").alias("tokens"), nz("duration_ms").alias("dur"))
+    s = s.withColumns({"cost": F.when(call & (F.col("cost_source") != "unknown"), nz("cost_micro")).otherwise(0).cast("bigint"),
+                       "tokens": F.when(call, total_tokens()).otherwise(0).cast("bigint"), "dur": nz("duration_ms")})
+    s = path_keys(s, chunked, ["kind", "name", "status", "depth", "start_ms", "offset_ms", "cost", "tokens", "dur"], rows)
 
     def side(p: str) -> DataFrame:
         d = pairs.select("pair_id", F.col(p + "_run").alias("run_id")).join(s, "run_id")

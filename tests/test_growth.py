@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanmill import skew
-from spanmill.operators import tree
+from spanmill.operators import diff, forest, tree
 from spanmill.schema import conform
 from spanmill.session import BROADCAST_ROWS, land
 
@@ -50,3 +50,62 @@ def test_last_rounds_with_few_open_rows(spark, monkeypatch):
     monkeypatch.setattr(skew, "BROADCAST_ROWS", 60)
     monkeypatch.setattr(tree, "BROADCAST_ROWS", 60)
     assert (read(), sums()) == want
+
+
+def odd_runs(spark):
+    """Ordinary runs and such with broken links, cycles, repeated or null ids, no root, and a chain."""
+    rows = []
+    for run in range(6):
+        for i in range(30):
+            parent = None if i == 0 else f"s{i // 2}" if i > 1 else "s0"
+            parent = {(1, 7): "gone", (2, 9): "s18", (2, 20): "s20", (4, 5): "s29"}.get((run, i), f"s{i - 1}" if run == 3 and i else parent)
+            rows.append((f"r{run}", f"s{i}", parent, ["session", "subagent", "llm_call", None][i % 4], f"n{i % 3}", 90_000_000 + i * 7 % 11, i))
+    rows += [("twice", "a", None, "session", "x", 1, 1), ("twice", "b", "a", "subagent", "x", 2, 2), ("twice", "b", "a", "llm_call", "x", 2, 3), ("twice", "c", "b", "llm_call", "x", 3, 4),
+             ("rootless", "a", "b", "session", "x", 1, 1), ("rootless", "b", "a", "session", "x", 2, 2), ("rootless", "c", "b", None, "x", 2, 2),
+             ("nulls", None, None, "session", "x", 1, 1), ("nulls", "b", "zz", "llm_call", "x", None, None), (None, "a", None, "session", "x", 1, 1), (None, "b", "a", "hook", "x", 1, 1)]
+    ddl = "run_id string, span_id string, parent_id string, kind string, name string, start_ms long, tok_input long"
+    return conform(spark.createDataFrame(rows, ddl))
+
+
+def test_runs_in_tasks_equal_joins(spark, monkeypatch):
+    """Every tree operator gives the same rows whether runs are folded in tasks or by joins."""
+    df = odd_runs(spark)
+    rows = lambda d: sorted(map(str, d.collect()))
+
+    def read():
+        placed, warn, chunked = tree.place(df)
+        fixed, warn2 = tree.repair_tree(df)
+        whole = placed.filter("run_id not in ('twice', 'nulls')")
+        sums = {"n": ("sum", F.lit(1).cast("long")), "lo": ("min", F.col("start_ms")), "hi": ("max", F.when(F.col("kind") == "hook", F.col("start_ms"))), "t": ("sum", F.col("tok_input"))}
+        out = [placed.select(sorted(placed.columns)), warn, fixed, warn2, tree.repaired_parents(df), tree.subtree(placed, sums), tree.subtree(placed, sums, ["kind"]), tree.intervals(whole),
+               tree.preorder_key(whole), tree.closure(placed), tree.agent_tree_rollup(placed.withColumn("cost_micro", F.col("tok_input"))), diff.path_keys(whole, keep=["kind", "offset_ms"])]
+        return [rows(d) for d in out], chunked
+
+    got = read()
+    assert len(got[0][0]) > 190 and len(got[0][1]) == 5
+    monkeypatch.setattr(forest, "RUN_ROWS", 0)
+    want = read()
+    for a, b in zip(got[0], want[0], strict=True):
+        assert a == b
+    assert not got[1] and not want[1]
+
+
+def test_ordinary_runs_need_no_joins(spark, monkeypatch):
+    """Repair, places, sums and numbers of runs that fit a task: one shuffle by run, no round of joins."""
+    def none(*a, **k):
+        raise AssertionError("joined")
+    monkeypatch.setattr(tree, "lookup", none)
+    df = odd_runs(spark).filter("run_id like 'r_'")
+    placed = tree.place(df)[0]
+    assert tree.subtree(placed, {"n": ("sum", F.lit(1).cast("long"))}).agg(F.max("n")).first()[0] == 30
+    assert tree.intervals(placed).agg(F.max("leave")).first()[0] == 29 and tree.closure(placed).count() > 400
+
+
+def test_wide_rows_are_shuffled_once(spark, monkeypatch):
+    """The join of rows with their places and the windows inside runs use one shuffle by run."""
+    monkeypatch.setattr(skew, "TASK_ROWS", 50)
+    seen = []
+    monkeypatch.setattr(forest, "land", lambda d: (seen.append((plan(d), d.sparkSession.conf.get("spark.sql.requireAllClusterKeysForCoPartition"))), land(d))[1])
+    tree.place(odd_runs(spark).filter("run_id like 'r_'"))
+    assert [p.count("Exchange hashpartitioning") for p, _ in seen] == [1, 2] and seen[1][1] == "false"
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
