@@ -222,3 +222,17 @@ def test_held_out_quality(spark):
 
 def test_buckets_grow():
     assert [quality.buckets_for(x) for x in (0, 10**9, 10**11, 10**15)] == [1 << 16, 1 << 16, 1 << 19, 1 << 22]
+
+
+def test_encoder_shares_calls():
+    """Words are encoded many to a call, with the ids of the whole text, whatever white space and marks lie between them."""
+    import numpy as np
+
+    from spanmill.llm import packing
+    enc, calls = packing.Encoder(packing.default_vocabulary()), []
+    texts = ["a\n b\n\nc", "x  y", "don't. \u00e9!! \u00f1?\tq", " lead and trail ", "", "\n", " \n", "\u4e2d\u6587. a\u00a0b", " ".join(f"word{i}." for i in range(2000))]
+    whole = [np.frombuffer(x, "<u4").tolist() for x in enc._ids(texts)]
+    ids = enc._ids
+    enc._ids = lambda t: (calls.extend(t), ids(t))[1]
+    assert [x.tolist() for x in enc.encode(texts)] == whole and len(calls) < 100
+    assert [x.tolist() for x in enc.encode(texts)] == whole
