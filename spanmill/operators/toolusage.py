@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import closed_duration, nz
 from ..functions.text import mcp_tool_name
+from ..session import land
 from ..skew import lookup
 from .overview import exact_ranks
 
@@ -31,6 +32,7 @@ HARNESS = {
 ROLES = {"shell": HARNESS["other"], "agent": "Agent Task task", "skill": "Skill skill"}
 
 OTHER_COMMAND = "other-command"
+USAGE = ["act", "status", "hook_count", "dur", "tools_also", "tool_flags"]  # what the usage figures read of a span
 
 
 def _by_name(table: dict[str, str], name: Column) -> Column:
@@ -118,7 +120,7 @@ def _attr(key: str) -> Column:
 
 
 def usage_rows(ident: DataFrame, keys: list[str]) -> DataFrame:
-    """Usage figures per key; percentiles are exact nearest ranks from a frequency table."""
+    """Usage figures per key; percentiles are exact nearest ranks from a frequency table. ``ident`` is read more than once: a landed frame."""
     timed = F.col("hook_count").isNull() & F.col("dur").isNotNull()
     n = lambda c: F.count(F.when(c, 1))
     per_act = ident.groupBy(*keys, "act").agg(
@@ -132,7 +134,7 @@ def usage_rows(ident: DataFrame, keys: list[str]) -> DataFrame:
     order = F.array_position(F.array(*[F.lit(a) for a in ACTIVITIES]), F.col("act"))
     tot = per_act.groupBy(*keys).agg(*[F.sum(a).alias(a) for a in adds], nz(F.max("max_ms")).alias("max_ms"),
                                      F.min_by("act", F.struct(-F.col("total_ms"), order)).alias("activity"))
-    freq = ident.filter(timed).groupBy(*keys, F.col("dur").alias("ms")).agg(F.count("*").alias("n"))
+    freq = land(ident.filter(timed).groupBy(*keys, F.col("dur").alias("ms")).agg(F.count("*").alias("n")))
     ranks = exact_ranks(freq, keys, "ms", {"p50_ms": lambda x: F.greatest(F.lit(1), F.ceil(x * 0.5)),
                                            "p95_ms": lambda x: F.greatest(F.lit(1), F.ceil(x * 0.95))})
     on = [F.col("a." + k).eqNullSafe(F.col("b." + k)) for k in keys]
@@ -155,6 +157,7 @@ def tool_usage(ident: DataFrame, activities: list[str] | None = None, by_run: bo
     if activities is not None:
         d = d.filter((F.col("grp") != "ranked") | F.col("act").isin(activities))
     keys = [*(["run_id"] if by_run else []), "grp", "family", "registry", "tkey"]
+    d = land(d.select(*keys, *USAGE))
     rows = usage_rows(d, keys)
     also = (d.filter("grp = 'ranked'").select(*([ "run_id"] if by_run else []), "tkey", "dur", F.explode("tools_also").alias("other"))
             .filter(F.col("other") != F.col("tkey")).groupBy(*(["run_id"] if by_run else []), F.col("other").alias("tkey"))
@@ -169,7 +172,8 @@ def tool_usage_subs(ident: DataFrame) -> DataFrame:
     """Sub-rows by (sub, detail) of every tool row that has at least one named call."""
     keys = ["run_id", "family", "registry", "tkey"]
     named = ident.groupBy(*keys).agg(F.bool_or(F.col("sub").isNotNull() | F.col("detail").isNotNull()).alias("x")).filter("x")
-    return usage_rows(ident.join(named.select(*keys), keys, "left_semi"), [*keys, "sub", "detail"])
+    keys = [*keys, "sub", "detail"]
+    return usage_rows(land(ident.join(named.select(*keys[:4]), keys[:4], "left_semi").select(*keys, *USAGE)), keys)
 
 
 def activity_totals(ident: DataFrame, by_run: bool = True) -> DataFrame:

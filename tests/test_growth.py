@@ -109,3 +109,17 @@ def test_wide_rows_are_shuffled_once(spark, monkeypatch):
     tree.place(odd_runs(spark).filter("run_id like 'r_'"))
     assert [p.count("Exchange hashpartitioning") for p, _ in seen] == [1, 2] and seen[1][1] == "false"
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def reads_spans(df, t):
+    return bool(set(df.inputFiles()) & set(t.spans.inputFiles()))
+
+
+def test_usage_reads_the_spans_once(spark, sf):
+    """The identity of the tool spans is landed: the figures hang on it, not on repeated joins over the spans."""
+    from spanmill.operators import toolusage
+    from spanmill.plans.catalog_rules import trace
+    t = trace(spark, sf)
+    ident = toolusage.tool_identity(t.spans)
+    assert reads_spans(ident, t)
+    assert not reads_spans(toolusage.tool_usage(ident), t) and not reads_spans(toolusage.tool_usage_subs(ident), t)
