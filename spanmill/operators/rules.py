@@ -174,7 +174,7 @@ def _retry_clusters(t: Trace) -> DataFrame:
     fresh = err & (F.col("prev_seq").isNull() | (F.col("prev_status") != "error")
                    | (F.col("seq") - F.col("prev_seq") - 1 > th.retry_max_gap))
     s = scan(s.withColumn("fresh", fresh.cast("long")), ident, o, {"island": ("sum", F.col("fresh"))}, t.chunked)
-    f = s.filter(err)
+    f = land(s.filter(err))  # read twice; the windows run once
     key = [*ident, "island"]
     b = f.groupBy(*key).agg(
         F.count("*").alias("n"), F.min("start_ms").alias("w_start"), F.max("start_ms").alias("w_end"),
@@ -332,7 +332,7 @@ def model_mismatch(t: Trace) -> DataFrame:
     per = (per.join(base.select("run_id", "cell_id", "flags"), ["run_id", "cell_id"])
            .join(inside, ["run_id", "cell_id"], "left"))
     safe = (F.size("flags") == 0) & (F.col("u") == 0) & F.col("inside").isNull()
-    per = per.withColumn("safe", safe)
+    per = land(per.withColumn("safe", safe))
     g = per.groupBy("run_id", "model", "target").agg(
         F.sum("n").alias("n"), nz(F.sum(F.when(F.col("safe"), -F.col("delta")))).alias("saving"),
         nz(F.sum(F.when(F.col("safe"), F.col("cur")))).alias("cur"))
@@ -340,7 +340,7 @@ def model_mismatch(t: Trace) -> DataFrame:
     sp = (rp.withColumn("cell_id", cell).join(per.filter("safe").select("run_id", "model", "cell_id"),
                                               ["run_id", "model", "cell_id"]).filter("delta_micro is not null"))
     ev = _top_ids(sp, ["run_id", "model"], 5, [F.col("delta_micro"), F.col("span_id")])
-    e = g.join(ev, ["run_id", "model"])
+    e = land(g.join(ev, ["run_id", "model"]))
     starts = (e.select("run_id", "model", F.explode("ids").alias("span_id"))
               .join(t.spans.select("run_id", "span_id", "start_ms"), ["run_id", "span_id"])
               .groupBy("run_id", "model").agg(F.min("start_ms").alias("first_ms")))
@@ -462,7 +462,7 @@ def duplicate_reads(t: Trace) -> DataFrame:
     key, o = ["run_id", "scope_id", "target_key"], ["start_ms", "span_id"]
     r = scan(w.filter("tag = 1"), key, o, {"prev_ms": ("lag", F.col("start_ms")), "rn": ("rownum", None)}, t.chunked)
     red = F.col("prev_ms").isNotNull() & (F.col("write_ms").isNull() | (F.col("write_ms") <= F.col("prev_ms")))
-    r = r.withColumn("red", red)
+    r = land(r.withColumn("red", red))
     g = r.groupBy(*key).agg(
         F.count("*").alias("reads"), F.count(F.when(F.col("red"), 1)).alias("wasted"),
         nz(F.sum(F.when(F.col("red"), nz("output_bytes")))).alias("bytes"),
@@ -492,12 +492,12 @@ def reactions(t: Trace, failures: DataFrame) -> DataFrame:
 
 def scattered_failures(t: Trace) -> DataFrame:
     th = t.thresholds
-    f = (t.tools.filter("status = 'error'")
-         .join(retry_clusters(t).select("run_id", "span_id"), ["run_id", "span_id"], "left_anti"))
+    f = land(t.tools.filter("status = 'error'").select("run_id", "span_id", "scope_id", "name", "start_ms", "end_ms", "output_preview", CHUNK)
+             .join(retry_clusters(t).select("run_id", "span_id"), ["run_id", "span_id"], "left_anti"))
     n = f.groupBy("run_id").agg(F.count("*").alias("n"))
-    gate = n.join(t.totals.select("run_id", "tool_calls"), "run_id").filter(
-        (F.col("n") >= th.scattered_min) & (F.col("n") / F.col("tool_calls") >= th.scattered_share))
-    f = f.join(gate.select("run_id"), "run_id", "left_semi")
+    gate = land(n.join(t.totals.select("run_id", "tool_calls"), "run_id").filter(
+        (F.col("n") >= th.scattered_min) & (F.col("n") / F.col("tool_calls") >= th.scattered_share)))
+    f = land(f.join(gate.select("run_id"), "run_id", "left_semi"))
     w = (reactions(t, f).filter("call_id is not null").groupBy("run_id", "call_id").agg(F.max("cost_micro").alias("c"))
          .groupBy("run_id").agg(F.sum("c").alias("w")))
     names = f.groupBy("run_id", "name").agg(F.count("*").alias("k"),

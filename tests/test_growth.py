@@ -123,3 +123,13 @@ def test_usage_reads_the_spans_once(spark, sf):
     ident = toolusage.tool_identity(t.spans)
     assert reads_spans(ident, t)
     assert not reads_spans(toolusage.tool_usage(ident), t) and not reads_spans(toolusage.tool_usage_subs(ident), t)
+
+
+def test_rules_read_the_spans_once(spark, sf):
+    """Frames that a rule uses several times are landed, so its windows run once."""
+    from spanmill.operators import rules
+    from spanmill.plans.catalog_rules import trace
+    t = trace(spark, sf)
+    assert not reads_spans(rules.duplicate_reads(t), t)
+    clusters = rules._retry_clusters(t)
+    assert not reads_spans(clusters, t) and clusters.count() > 0
