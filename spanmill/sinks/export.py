@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.money import usd
 from ..functions.text import local_day
 from ..operators.privacy import assert_no_paths
+from ..skew import lookup
 
 # Column order of the sessions report (later additions are appended).
 SESSION_COLUMNS = ["runId", "startedAt", "endedAt", "project", "source", "title", "models", "durationMs", "tokensInput", "tokensOutput", "tokensCacheRead",
@@ -135,8 +136,12 @@ def write_tables(path: str, runs: DataFrame, spans: DataFrame, private: DataFram
     _checked(private, runs, spans, *more.values())
     day = F.to_date(F.timestamp_millis("start_ms")).alias("start_day")
     head = runs.select("*", day)
-    s = spans.join(head.select("run_id", "source", "start_day"), "run_id")
-    s = s.repartition("source", "start_day", "run_id", "chunk").sortWithinPartitions("source", "start_day", "run_id", "span_seq")
+    at = head.select("run_id", "source", "start_day")
+    if spans.filter("chunk > 0").isEmpty():  # no hot run: the join itself leaves the rows by run, in tasks by their number
+        s = lookup(spans, at, ["run_id"], "inner", rows=spans.count())
+    else:
+        s = spans.join(at, "run_id").repartition("source", "start_day", "run_id", "chunk")
+    s = s.sortWithinPartitions("source", "start_day", "run_id", "span_seq")
     s.write.mode("overwrite").partitionBy("source", "start_day").parquet(path + "/spans")
     head.write.mode("overwrite").partitionBy("source", "start_day").parquet(path + "/runs")
     for name, df in more.items():

@@ -133,3 +133,24 @@ def test_rules_read_the_spans_once(spark, sf):
     assert not reads_spans(rules.duplicate_reads(t), t)
     clusters = rules._retry_clusters(t)
     assert not reads_spans(clusters, t) and clusters.count() > 0
+
+
+def test_written_tables_move_the_spans_once(spark, sf, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+    from spanmill.plans.catalog_rules import trace
+    from spanmill.sinks import export
+    t, by, plain = trace(spark, sf), [], DataFrame.repartition
+    monkeypatch.setattr(DataFrame, "repartition", lambda self, *a: by.append(a) or plain(self, *a))
+
+    def written(name, spans):
+        by.clear()
+        export.write_tables(str(tmp_path / name), t.runs, spans)
+        rows = spark.read.parquet(str(tmp_path / name / "spans")).select("run_id", "span_id", "source", F.col("start_day").cast("string"))
+        return sorted(map(tuple, rows.collect())), any("chunk" in a for a in by)
+
+    want, moved = written("cold", t.spans)
+    assert len(want) == t.spans.count() and not moved
+    hot = t.spans.withColumn("chunk", F.pmod(F.hash("span_id"), F.lit(3)))
+    assert written("hot", hot) == (want, True)
+    monkeypatch.setattr(skew, "TASK_ROWS", 300)
+    assert written("spread", t.spans) == (want, False)
