@@ -3,18 +3,24 @@
 Two spans match when the chain (kind, name, k-th occurrence among equal siblings) from the root is
 the same on both sides, so the recursive sibling pairing becomes one full outer join on a path key: 128 bits that fold
 the hashes of (depth, kind, name, k) along the chain, whatever its length. Depth, kind and name are compared as well.
+Pairs that fit a task are joined there, so the spans are shuffled by run (to meet their pair, if they are not bucketed by run) and by pair, without the keys.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from ..functions.money import nz, total_tokens
-from ..session import land
-from ..skew import scan, spread
+from ..session import cut, land
+from ..skew import CHUNK, bounded, hot_limit, scan, spread
+from . import forest
 from .tree import NODE, up_scan
 
 HEADER = ["cost_micro", "tok_input", "tok_output", "tok_cache_read", "tok_cache_write", "tok_reasoning", "tok_total",
@@ -35,33 +41,113 @@ def diff_header(totals: DataFrame, pairs: DataFrame) -> DataFrame:
         "pair_id", "r.*", (F.col("r.b") - F.col("r.a")).alias("delta"), _pct(F.col("r.a"), F.col("r.b")).alias("pct"))
 
 
+def _own_keys(d: DataFrame, run: Sequence[str], chunked: bool = False) -> DataFrame:
+    """Adds offset_ms, the time since the first start of the run, and own_a and own_b, two hashes of (depth, kind, name, occurrence); ``run``: the columns that make a run."""
+    d = scan(d.withColumn("pk", F.coalesce("parent_id", F.lit(""))), [*run, "pk", "kind", "name"], ["start_ms", "span_id"], {"k": ("rownum", None)}, chunked)
+    first = Window.partitionBy(*run)
+    d = d.join(d.groupBy(*run).agg(F.min("start_ms").alias("t0")), [*run]) if chunked else d.withColumn("t0", F.min("start_ms").over(first))
+    return d.withColumn("offset_ms", F.col("start_ms") - F.col("t0")).withColumns({c: F.xxhash64(F.lit(seed), "depth", "kind", "name", "k") for c, seed in (("own_a", 1), ("own_b", 2))})
+
+
 def path_keys(spans: DataFrame, chunked: bool = False, keep: Sequence[str] = (), rows: int = 0) -> DataFrame:
     """run_id, span_id, path_a, path_b: two 64-bit folds over the chain of (depth, kind, name, occurrence) from the root; and ``keep``, which may name offset_ms, the time since the run's first start."""
     def own(d: DataFrame, chunked: bool) -> DataFrame:
-        d = scan(d.withColumn("pk", F.coalesce("parent_id", F.lit(""))), ["run_id", "pk", "kind", "name"], ["start_ms", "span_id"], {"k": ("rownum", None)}, chunked)
-        first = Window.partitionBy("run_id")
-        d = d.join(d.groupBy("run_id").agg(F.min("start_ms").alias("t0")), "run_id") if chunked else d.withColumn("t0", F.min("start_ms").over(first))
-        d = d.withColumn("offset_ms", F.col("start_ms") - F.col("t0")).select(*NODE, "parent_id", *keep, *[F.xxhash64(F.lit(seed), "depth", "kind", "name", "k").alias(c) for c, seed in (("own_a", 1), ("own_b", 2))])
+        d = _own_keys(d, ["run_id"], chunked).select(*NODE, "parent_id", *keep, "own_a", "own_b")
         return land(d) if chunked else d
 
     up, _ = up_scan(spans, {"up_a": ("xor", F.col("own_a")), "up_b": ("xor", F.col("own_b"))}, ["own_a", "own_b", *keep], own, chunked, rows)
     return up.select(*NODE, F.col("own_a").bitwiseXOR(F.col("up_a")).alias("path_a"), F.col("own_b").bitwiseXOR(F.col("up_b")).alias("path_b"), *keep)
 
 
+SIDE = [*NODE, "kind", "name", "status", "depth", "start_ms", "offset_ms", "cost", "tokens", "dur"]
+
+
+def _measured(spans: DataFrame, *more: str) -> DataFrame:
+    """What a diff reads of the spans."""
+    call = (F.col("kind") == "llm_call") & F.col("model").isNotNull()
+    return spans.select(*NODE, "parent_id", "kind", "name", "status", "depth", "start_ms", *more,
+                        F.when(call & (F.col("cost_source") != "unknown"), nz("cost_micro")).otherwise(0).cast("bigint").alias("cost"),
+                        F.when(call, total_tokens()).otherwise(0).cast("bigint").alias("tokens"), nz("duration_ms").alias("dur"))
+
+
 def diff_many(spans: DataFrame, pairs: DataFrame, chunked: bool = False) -> DataFrame:
-    """Full alignment of every pair: side = matched, added (only in b) or removed (only in a)."""
+    """Full alignment of every pair, landed: side = matched, added (only in b) or removed (only in a).
+
+    The rows of a pair are brought into one task, folded and matched there. Pairs of more than ``RUN_ROWS`` rows, pair ids that are null or repeated, and pairs with
+    repeated or null span ids, parent cycles or equal paths inside a run are matched by joins.
+    """
+    s, rows, limit = _measured(spans), spans.count(), min(hot_limit(spans), forest.RUN_ROWS)
+    side = lambda p: F.struct(F.lit(p == "b").alias("is_b"), F.col(p + "_run").alias("run_id"))
+    sides = pairs.select("pair_id", F.explode(F.array(side("a"), side("b"))).alias("r")).select("pair_id", "r.*").filter("run_id is not null")
+    sized = sides.join(spans.groupBy("run_id").agg(F.count("*").alias("n")), "run_id")
+    total, most = sized.agg(F.sum("n"), F.max("n")).first()
+    per = sized if total and 2 * most > limit else sides.withColumn("n", F.lit(0))
+    hard = per.groupBy("pair_id").agg(F.sum("n").alias("n"), F.count_if("is_b").alias("b"), F.count_if(~F.col("is_b")).alias("a"))
+    hard = cut(hard.filter((F.col("n") > limit) | (F.col("a") > 1) | (F.col("b") > 1) | F.col("pair_id").isNull()).select("pair_id"))
+    easy = sides if hard.isEmpty() else sides.filter("pair_id is not null").join(bounded(hard), "pair_id", "left_anti")
+
+    few = (total or 0) <= 4 * rows  # else runs lie in many pairs, and the join is left to AQE, which splits them
+    lay = lambda d: spread(d, rows, "run_id") if few else d
+    met = lay(s).join(lay(easy), "run_id")
+    d = spread(met, total or 0, "pair_id")
+    d = _own_keys(d if d is not met else met.repartition("pair_id"), ["pair_id", "is_b"]).select("pair_id", "is_b", "parent_id", *SIDE, "own_a", "own_b").sortWithinPartitions("pair_id")
+    both = [StructField(p + c, d.schema[c].dataType) for p in ("a_", "b_") for c in SIDE]
+    schema = StructType([d.schema["pair_id"], *both, StructField("side", StringType()), StructField("odd", BooleanType())])
+    out = land(d.mapInArrow(_aligned(to_arrow_schema(schema)), schema))
+
+    rest = hard.unionByName(out.filter("odd").select("pair_id").distinct())
+    done = out.drop("odd")
+    if rest.isEmpty():
+        return done
+    rest = cut(rest).withColumnRenamed("pair_id", "rest_id")
+    rest = pairs.join(bounded(rest), F.col("pair_id").eqNullSafe(F.col("rest_id")), "left_semi")
+    return out.filter("not odd").drop("odd").unionByName(land(_diff_by_joins(spans, rest, chunked)))
+
+
+def _aligned(schema: pa.Schema):
+    """Rows of whole pairs, their sides folded and matched."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in forest.whole_runs(batches, "pair_id"):
+            pair, b = forest.codes(rows, "pair_id"), rows.column("is_b").to_numpy().astype(np.int64)
+            f = forest.Forest(rows, 2 * pair + b)
+            own = {c: f.ints(c)[0] for c in ("own_a", "own_b")}
+            up = f.up({c: ("xor", v) for c, v in own.items()})
+            keys = [pair, *[own[c] ^ up[c] for c in own]]
+            order = np.lexsort((b, *keys[::-1]))
+            same = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys])
+            at, to = order[:-1][same], order[1:][same]
+            twice = b[at] == b[to]
+            for c in ("depth", "kind", "name"):  # 128 bits agree where these do
+                code = forest.codes(rows, c)
+                twice |= code[at] != code[to]
+            odd = np.zeros(pair.max() + 1, bool)
+            odd[pair[f.odd | f.stuck]] = True
+            odd[pair[at[twice]]] = True
+            at, to = at[~twice], to[~twice]
+            lone = np.ones(f.n, bool)
+            lone[at] = lone[to] = False
+            lone = np.flatnonzero(lone)
+            none = np.full(len(lone), -1)
+            a, c = np.concatenate([at, np.where(b[lone] == 0, lone, none)]), np.concatenate([to, np.where(b[lone] == 1, lone, none)])
+            own_pair = pair[np.where(a >= 0, a, c)]
+            what = np.where(c < 0, "removed", np.where(a < 0, "added", "matched"))
+            new = {"pair_id": f.take("pair_id", np.where(a >= 0, a, c)), "side": pa.array(what), "odd": pa.array(odd[own_pair])}
+            new |= {p + x: f.take(x, i) for p, i in (("a_", a), ("b_", c)) for x in SIDE}
+            yield pa.RecordBatch.from_arrays([new[x.name].cast(x.type) for x in schema], schema=schema)
+    return run
+
+
+def _diff_by_joins(spans: DataFrame, pairs: DataFrame, chunked: bool) -> DataFrame:
+    """``diff_many`` of pairs of any size: a full outer join on the path keys."""
     ids = pairs.select(F.explode(F.array("a_run", "b_run")).alias("run_id")).distinct()
     rows = spans.count()
-    s = spread(spans, rows, "run_id").join(spread(ids, rows, "run_id"), "run_id", "left_semi")
-    call = (F.col("kind") == "llm_call") & F.col("model").isNotNull()
-    s = s.withColumns({"cost": F.when(call & (F.col("cost_source") != "unknown"), nz("cost_micro")).otherwise(0).cast("bigint"),
-                       "tokens": F.when(call, total_tokens()).otherwise(0).cast("bigint"), "dur": nz("duration_ms")})
-    s = path_keys(s, chunked, ["kind", "name", "status", "depth", "start_ms", "offset_ms", "cost", "tokens", "dur"], rows)
+    s = spread(_measured(spans, *([CHUNK] if chunked else [])), rows, "run_id").join(spread(ids, rows, "run_id"), "run_id", "left_semi")
+    s = path_keys(s, chunked, SIDE[2:], rows)
 
     def side(p: str) -> DataFrame:
         d = pairs.select("pair_id", F.col(p + "_run").alias("run_id")).join(s, "run_id")
         step = F.struct("depth", F.coalesce("kind", F.lit("")), F.coalesce("name", F.lit(""))).cast("struct<depth:int,kind:string,name:string>")
-        return d.select("pair_id", "path_a", "path_b", step.alias("step"), *[F.col(c).alias(p + "_" + c) for c in s.columns if c not in ("path_a", "path_b")])
+        return d.select("pair_id", "path_a", "path_b", step.alias("step"), *[F.col(c).alias(p + "_" + c) for c in SIDE])
 
     j = side("a").join(side("b"), ["pair_id", "path_a", "path_b", "step"], "full").drop("path_a", "path_b", "step")
     what = F.when(F.col("b_span_id").isNull(), "removed").when(F.col("a_span_id").isNull(), "added").otherwise("matched")

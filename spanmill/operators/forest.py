@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructType
 
-from ..session import cut, land
+from ..session import cut, land, setting
 from ..skew import bounded, hot_limit, spread
 
 RUN_ROWS = 250_000
@@ -26,13 +26,13 @@ LIST_DEPTH = 64  # a batch of rows holds at most this many list entries a row
 class Forest:
     """Rows of whole runs (all rows of a run together) with ``parent``: the row of each row's parent, -1 if there is none.
 
-    ``dangling``: the parent id is not in the run. ``odd``: rows of runs whose ids are null or repeated.
+    ``dangling``: the parent id is not in the run. ``odd``: rows of runs whose ids are null or repeated. ``run``: numbers that take the place of the run ids.
     """
 
-    def __init__(self, rows: pa.Table):
+    def __init__(self, rows: pa.Table, run: np.ndarray | None = None):
         self.rows, self.n = rows, rows.num_rows
         ids, ups = _flat(rows, "span_id"), _flat(rows, "parent_id")
-        self.run = _codes(_flat(rows, "run_id"))
+        self.run = _codes(_flat(rows, "run_id")) if run is None else run
         code = _codes(pa.concat_arrays([ids, ups]))
         own, up = code[: self.n], code[self.n :]
         key, want = self.run * (2 * self.n + 1) + own, self.run * (2 * self.n + 1) + up
@@ -139,8 +139,13 @@ def _codes(a: pa.Array) -> np.ndarray:
     return pc.fill_null(a.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of ``BATCH_ROWS`` rows or more, cut between runs."""
+def codes(rows: pa.Table, name: str) -> np.ndarray:
+    """Numbers from 0 for the values of a column, -1 for null."""
+    return _codes(_flat(rows, name))
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], key: str = "run_id") -> Iterator[pa.Table]:
+    """Tables of ``BATCH_ROWS`` rows or more, cut between the values of ``key``."""
     held: list[pa.RecordBatch] = []
     n = 0
     for b in batches:
@@ -149,7 +154,7 @@ def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held.append(b)
         n += b.num_rows
         if n >= BATCH_ROWS:
-            ids = b.column(b.schema.get_field_index("run_id"))
+            ids = b.column(b.schema.get_field_index(key))
             first = pc.index(ids, ids[-1]).as_py()
             if first > 0:  # the run before the last one ends in this batch
                 yield pa.Table.from_batches([*held[:-1], b.slice(0, first)])
@@ -163,7 +168,7 @@ Work = Callable[[Forest], tuple[dict[str, pa.Array], np.ndarray]]
 
 def _task(work: Work, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_runs(batches):
+        for rows in whole_runs(batches):
             f = Forest(rows)
             new, turned_down = work(f)
             odd = f.odd | f.whole_runs(turned_down)
@@ -174,11 +179,11 @@ def _task(work: Work, schema: pa.Schema):
 
 
 def by_run(df: DataFrame, work: Work, fields: str, order: Sequence[Column | str] = (), columns: Sequence[str] = (),
-           before: Callable[[DataFrame], DataFrame] | None = None, rows: int = 0) -> tuple[DataFrame, DataFrame | None]:
+           before: Callable[[DataFrame], DataFrame] | None = None, rows: int = 0, parts: int = 0) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ``df`` (run_id, span_id, parent_id and more; or its ``columns`` alone) with the ``fields`` (DDL) that ``work`` gives, landed; and the rows of the runs that need joins, if any.
 
     ``before`` adds columns per run while the rows lie by run (its windows need no shuffle; the second frame does not have them), ``order`` sorts inside the runs, ``rows`` sets the
-    number of tasks where ``df`` already lies by run.
+    number of tasks where ``df`` already lies by run. ``parts``: the result is bucketed by run into so many, as ``df`` is.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     limit = min(hot_limit(df), RUN_ROWS)
@@ -194,7 +199,10 @@ def by_run(df: DataFrame, work: Work, fields: str, order: Sequence[Column | str]
     s = s if s is not easy else easy.repartition("run_id")
     s = (before(s) if before else s).sortWithinPartitions("run_id", *order)
     schema = StructType([*s.schema.fields, *StructType.fromDDL(fields).fields]).add("odd", BooleanType())
-    out = land(s.mapInArrow(_task(work, to_arrow_schema(schema)), schema))
+    # a table bucketed alike is not shuffled again; then it has to be read by buckets, for no operator behind asks for whole runs
+    with setting(df.sparkSession, "spark.sql.sources.bucketing.autoBucketedScan.enabled", "false"):
+        out = s.mapInArrow(_task(work, to_arrow_schema(schema)), schema)
+        out = land(out, "run_id", parts) if parts else land(out)
     odd = out.filter("odd").select("run_id").distinct()
     ids = [x for x in (big, None if odd.isEmpty() else odd) if x is not None]
     if not ids:
@@ -203,15 +211,13 @@ def by_run(df: DataFrame, work: Work, fields: str, order: Sequence[Column | str]
     return out.filter("not odd").drop("odd"), land(df.join(bounded(rest), F.col("run_id").eqNullSafe(F.col("rest_id")), "left_semi"))
 
 
-def beside(wide: DataFrame, narrow: DataFrame, after: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def beside(wide: DataFrame, narrow: DataFrame, after: Callable[[DataFrame], DataFrame], parts: int = 0) -> DataFrame:
     """Rows of ``wide`` with the columns that ``by_run`` gave for them, landed after ``after``.
 
-    Both sides are shuffled by run alone, so the rows of a run stay together in the files; that a join on more columns may use this has to be allowed.
+    Both sides are shuffled by run alone, so the rows of a run stay together in the files; that a join on more columns may use this has to be allowed. With ``parts``
+    the result is bucketed by run into so many; sides that are bucketed alike are not shuffled.
     """
-    spark, conf = wide.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition"
-    rows, was = narrow.count(), spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
-    spark.conf.set(conf, "false")
-    try:
-        return land(after(spread(wide, rows, "run_id").join(spread(narrow, rows, "run_id"), ["run_id", "span_id"])))
-    finally:
-        spark.conf.set(conf, was)
+    rows = narrow.count()
+    with setting(wide.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        out = after(spread(wide, rows, "run_id").join(spread(narrow, rows, "run_id"), ["run_id", "span_id"]))
+        return land(out, "run_id", parts) if parts else land(out)

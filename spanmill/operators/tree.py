@@ -248,7 +248,7 @@ def _repair(f: Forest) -> tuple[pa.Array, np.ndarray]:
 
 
 def _in_runs(spans: DataFrame, work: Callable[[Forest], tuple[dict[str, pa.Array], np.ndarray]], fields: str, before: Callable[[DataFrame], DataFrame] | None = None,
-             after: Callable[[DataFrame], DataFrame] = lambda s: s) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+             after: Callable[[DataFrame], DataFrame] = lambda s: s, parts: int = 0) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """Repair and ``work`` per run: the rows with ``fields``, landed, the broken spans (None: none), the rows that need joins (None: none)."""
     def task(f: Forest) -> tuple[dict[str, pa.Array], np.ndarray]:
         parents, broken = _repair(f)
@@ -257,9 +257,9 @@ def _in_runs(spans: DataFrame, work: Callable[[Forest], tuple[dict[str, pa.Array
 
     order = [F.col("start_ms"), F.coalesce("start_raw", F.lit("")), F.col("span_id")]
     read = [*NODE, "parent_id", "kind", "start_ms", "start_raw"]
-    done, rest = by_run(spans, task, fields + "broken boolean", order, read, before)
+    done, rest = by_run(spans, task, fields + "broken boolean", order, read, before, parts=parts)
     broken = done.filter("broken").select(*NODE)
-    wide = beside(spans.drop("parent_id"), done.drop("kind", "start_ms", "start_raw", "broken"), after)
+    wide = beside(spans.drop("parent_id"), done.drop("kind", "start_ms", "start_raw", "broken"), after, parts)
     return wide, None if broken.isEmpty() else broken, rest
 
 
@@ -308,11 +308,11 @@ def _first_ids(broken: DataFrame) -> DataFrame:
     return scan(b, ["run_id"], ["span_id"], {"rn": ("rownum", None)}, chunked)
 
 
-def place(spans: DataFrame, after: Callable[[DataFrame], DataFrame] = lambda s: s) -> tuple[DataFrame, DataFrame, bool]:
+def place(spans: DataFrame, after: Callable[[DataFrame], DataFrame] = lambda s: s, parts: int = 0) -> tuple[DataFrame, DataFrame, bool]:
     """Repair, then add depth, scope, owner, enclosing call and container, ``chunk`` and ``span_seq``; the silver ``spans`` table, landed. ``after`` is applied before that.
 
     The scope is the nearest subagent or session, the span itself included, else the top-most ancestor; the owner is the nearest proper subagent (null: main
-    session); the container is the nearest proper subagent or session.
+    session); the container is the nearest proper subagent or session. ``parts``: ``spans`` are bucketed by run into so many; so are the rows that need no joins.
     """
     def work(f: Forest) -> tuple[dict[str, pa.Array], np.ndarray]:
         kind = f.rows.column("kind").combine_chunks()
@@ -327,7 +327,7 @@ def place(spans: DataFrame, after: Callable[[DataFrame], DataFrame] = lambda s:
 
     ready = spans.withColumn("start_raw", F.coalesce("start_raw", F.lit("")))
     done, broken, rest = _in_runs(ready, work, "depth int, owner_id string, call_id string, parent_kind string, scope_of string, kind_of string, top_of string, top_kind string, ",
-                                  lambda s: scan(s.withColumn(CHUNK, F.lit(0)), ["run_id"], CANONICAL, {"span_seq": ("rownum", None)}), seen)
+                                  lambda s: scan(s.withColumn(CHUNK, F.lit(0)), ["run_id"], CANONICAL, {"span_seq": ("rownum", None)}), seen, parts)
     cols = [*spans.columns, "depth", "owner_id", "call_id", "parent_kind", "container_id", "scope_id", "scope_kind", CHUNK, "span_seq"]
     cols += [c for c in done.columns if c not in cols]
     if rest is None:

@@ -118,7 +118,9 @@ def pairs(spark, sf):
 
 def aligned(spark, sf):
     t = line_trace(spark, sf)
-    return t.once("aligned", lambda: D.diff_many(t.spans, pairs(spark, sf), t.chunked))
+    if "aligned" not in t.memo:  # diff_many lands it
+        t.memo["aligned"] = D.diff_many(t.spans, pairs(spark, sf), t.chunked)
+    return t.memo["aligned"]
 
 
 DIFF = """ks as (select *, row_number() over (partition by run_id, parent_id, kind, name order by start_ms, span_id) as kk from ls),

@@ -6,6 +6,8 @@ millisecond function differs and is filled in by the caller.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from ..operators.rules import Thresholds, Trace
 from ..operators.tree import place
 from ..schema import RUN_DDL, conform
 from ..session import land
-from ..skew import scan, spread, with_chunks
+from ..skew import TASK_ROWS, hot_limit, scan, spread, with_chunks
 
 BASE_MS = 1704067200000
 
@@ -196,12 +198,15 @@ def _once(spark: SparkSession, key: tuple, make):
     return _MEMO[k]
 
 
-def build_trace(spark: SparkSession, raw: DataFrame, runs: DataFrame, rates: DataFrame,
-                thresholds: Thresholds | None = None) -> Trace:
-    """Raw spans to silver: place in the tree, price, land once in the checkpoint folder."""
-    raw = land(raw)
-    priced, _, chunked = place(raw, lambda s: price_spans(s, rates, names=raw))
-    return Trace(priced, runs, rates, chunked, thresholds or Thresholds())
+def build_trace(spark: SparkSession, raw: DataFrame, runs: DataFrame | Callable[[DataFrame], DataFrame], rates: DataFrame,
+                thresholds: Thresholds | None = None, parts: int = 0) -> Trace:
+    """Raw spans to silver: place in the tree, price, land once in the checkpoint folder. ``runs`` may be made from the landed raw spans.
+
+    ``parts``: both landed tables are bucketed by run into so many (no run may be hot), so that the work by run shuffles the spans once.
+    """
+    raw = land(raw.repartition(parts, "run_id"), "run_id", parts) if parts > 1 else land(raw)
+    priced, _, chunked = place(raw, lambda s: price_spans(s, rates, names=raw), parts if parts > 1 else 0)
+    return Trace(priced, runs(raw) if callable(runs) else runs, rates, chunked, thresholds or Thresholds())
 
 
 def event_trace(spark: SparkSession, sf: str) -> Trace:
@@ -223,9 +228,11 @@ def raw_line_spans(spark: SparkSession, sf: str) -> DataFrame:
 def line_trace(spark: SparkSession, sf: str) -> Trace:
     """Silver tables of V2 (run = order)."""
     def make() -> Trace:
-        raw = raw_line_spans(spark, sf)
-        runs = raw.filter("kind = 'session'").select("run_id", F.lit("otlp").alias("source"), "start_ms")
-        return build_trace(spark, raw, conform(runs, RUN_DDL), pricing(spark))
+        runs = lambda raw: conform(raw.filter("kind = 'session'").select("run_id", F.lit("otlp").alias("source"), "start_ms"), RUN_DDL)
+        lines = read(spark, sf, "lineitem")
+        rows, most = lines.groupBy("l_orderkey").agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
+        parts = -(-rows // TASK_ROWS) if rows and most <= hot_limit(lines) else 0
+        return build_trace(spark, raw_line_spans(spark, sf), runs, pricing(spark), parts=parts)
     return _once(spark, ("v2", sf), make)
 
 
